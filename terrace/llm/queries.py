@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules
+from . import line_rules, mixing, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,31 @@ FROM f
 
 QUERIES: dict[str, Query] = {"op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op10_quality_rules": OP10_SQL}
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op4(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+b(h) AS (VALUES ('ads-track.example.com'), ('spam-farm.example.org'), ('casino-win.example.net'), ('adult-x.example.com'), ('cheap-pills.example.net'), ('free-bets.example.net')),
+m AS (
+  SELECT page_id, host, path, (SELECT arg_max(rule || '|' || v, length(rule)) FROM r WHERE (host = r.h OR host LIKE '%.' || r.h) AND starts_with(path, r.p)) AS hit,
+    EXISTS (SELECT 1 FROM b WHERE host = b.h OR host LIKE '%.' || b.h) AS blocked FROM p
+)
+SELECT page_id, host, path, nullif(split_part(coalesce(hit, ''), '|', 1), '') AS rule, CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM m
+"""
+
+QUERIES["op4_url_filter"] = op4_url_filter
+ORACLE_SQL["op4_url_filter"] = OP4_SQL
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5(documents(spark, sf_dir))
+
+
+QUERIES["op5_mixing"] = op5_mixing
