@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, url_filter
+from . import line_rules, mixing, packing, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_mixing"] = op5_mixing
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op7(documents(spark, sf_dir))
+
+
+QUERIES["op7_packing"] = op7_packing
