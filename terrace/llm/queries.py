@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, packing, url_filter
+from . import line_rules, mixing, ngram_join, packing, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_packing"] = op7_packing
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op1(documents(spark, sf_dir))
+
+
+QUERIES["op1_ngram_join"] = op1_ngram_join
