@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, ngram_join, packing, url_filter
+from . import line_rules, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_ngram_join"] = op1_ngram_join
+
+
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.op2(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {"op2_quality_pu": op2_quality_pu, "op8_toxicity": op8_toxicity}
