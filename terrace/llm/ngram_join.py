@@ -2,8 +2,9 @@
 are joined on prefix tokens and filtered, and only then expanded and verified on whole shingle sets.
 
 1. Equal sets collapse to one class (pre-aggregated by a 128-bit fingerprint).
-2. A class's shingles are ordered rare first. The order comes from counts over a bounded sample of documents; any
-   total order is right, so the sample changes the cost and never the result. Its prefix is what a partner must share.
+2. A class's shingles are ordered rare first: a third of all shingles is counted, which tells many that no other document has; a bounded
+   sample of documents lists the common ones. Any total order is right, so both change the cost and never the result. Its prefix is what
+   a partner must share.
 3. Classes of equal (size, prefix) form a group. Groups that share a prefix token are compared in rounds: each
    token's groups are held against one centre (not all pairs), which the length and position filters thin out; candidate
    pairs are verified on whole sets and joined into components. A token whose groups are all in one component needs
@@ -34,7 +35,7 @@ from .common import columns_of, materialize
 K = 4
 PERCENT = 85
 #: Documents of the sample that orders shingles, about; shingles seen in fewer of them than ``MIN_SEEN`` count as rare; entries of the list at most.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 MIN_SEEN = 3
 MAX_COMMON = 1 << 17
 #: Partners that one copy of a centre's set serves.
@@ -45,7 +46,7 @@ CACHE_WORDS = 1_000_000
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
 
-_P = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B185EBCA87)
 
 
 class _Hashes(dict):
@@ -72,11 +73,11 @@ def shingle_set(text: str | None, k: int = K) -> np.ndarray:
         return np.empty(0, np.uint64)
     get = _HASHES
     h = np.array([get[w] for w in split], np.uint64)
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, min(k, len(h)), np.uint64)
-    for i in range(min(k, len(h))):
-        out = _mix(out * _P[0] + h[i : i + n] * _P[1] + _P[2])
-    return np.unique(out)
+    k = min(k, len(h))
+    out, n = np.full(len(h) - k + 1, k, np.uint64), len(h) - k + 1
+    for i in range(k):
+        out = out * _ODD + h[i : i + n]
+    return np.unique(_mix(out))
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -99,32 +100,69 @@ def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
     return np.array([r["t"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _rarest_first(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """s with the shingles that aren't listed first, by hash, then the listed by rank. common is sorted, rank goes with it."""
-    if not len(common) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    listed = common[at] == s
-    return np.concatenate([s[~listed], s[listed][np.argsort(rank[at[listed]], kind="stable")]])
+def _probed(s: np.ndarray) -> np.ndarray:
+    """Whether shingles belong to the third of all whose documents are counted."""
+    return (s & np.uint64(0xFFFF)) < np.uint64(0x5555)
 
 
-def fingerprints(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, fp (16 bytes of the set; null if empty), g (of size and prefix), prefix."""
-    order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], order))  # at most 16 bytes * MAX_COMMON
+def repeated(docs: DataFrame, k: int) -> np.ndarray:
+    """A filter over the probed shingles that two or more documents have. The others are surely unique; a third of all is
+    plenty to fill a prefix of fifteen hundredths with unique ones, which meet nobody and need not travel."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranked, rank = shared.value
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch["text"]]
+            if sets:
+                t = np.concatenate(sets)
+                yield pd.DataFrame({"t": t[_probed(t)].view(np.int64)})
+
+    met = materialize(docs.select("text").mapInPandas(each, "t long").groupBy("t").count().where("count > 1").select("t"))
+    return bloom(met, met.count())
+
+
+class _Order:
+    """A total order of shingles, about rarest first: surely unique ones, others, repeated ones, listed ones by rank; hashes break ties."""
+
+    def __init__(self, common: np.ndarray, repeats: np.ndarray):
+        self.rank = np.argsort(common)
+        self.common, self.repeats = common[self.rank], repeats
+        bits = np.zeros(1 << 16, np.uint64)
+        p = _bit_places(self.common, 1 << 22)
+        np.bitwise_or.at(bits, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+        self.maybe = bits
+
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """s in order, and how many of it are surely unique."""
+        kind = np.ones(len(s), np.int64)
+        probed = _probed(s)
+        again = _passes(s[probed], self.repeats)
+        kind[probed] = np.where(again, 2, 0)
+        if len(self.common) and len(some := np.flatnonzero(_passes(s, self.maybe))):
+            at = np.minimum(np.searchsorted(self.common, s[some]), len(self.common) - 1)
+            hit = self.common[at] == s[some]
+            kind[some[hit]] = 3 + self.rank[at[hit]]
+        order = np.argsort(kind, kind="stable")
+        return s[order], int((kind == 0).sum())
+
+
+def fingerprints(docs: DataFrame, k: int, percent: int, order: _Order) -> DataFrame:
+    """doc_id, n, fp (16 bytes of the set; null if empty), g (of size and prefix); of the prefix what is not surely unique: tokens and places."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # at most 16 bytes * MAX_COMMON and MAX_BITS
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = shared.value
         for batch in batches:
             rows = []
             for doc_id, t in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(t, k)
-                p = _rarest_first(s, ranked, rank)[: len(s) - _need(len(s), percent) + 1] if len(s) else s
-                g = xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(s)) - (1 << 63)
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, g, p.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "g", "prefix"]).astype({"doc_id": "Int64"})
+                n, fp = len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                p, unique = order.sort(s)
+                p = p[: n - _need(n, percent) + 1 if n else 0]
+                g = xxhash.xxh3_64_intdigest(p.tobytes(), seed=n) - (1 << 63)
+                rows.append((doc_id, n, fp, g, p[unique:].view(np.int64), min(unique, len(p))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "g", "prefix", "first"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n long, fp binary, g long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n long, fp binary, g long, prefix array<long>, first int")
 
 
 def _bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -190,8 +228,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df (doc_id, text)."""
     docs = columns_of(df, doc_id="long", text="string")
-    common = common_shingles(docs, k, docs.count())
-    prints = materialize(fingerprints(docs, k, percent, common))
+    order = _Order(common_shingles(docs, k, docs.count()), repeated(docs, k))
+    prints = materialize(fingerprints(docs, k, percent, order))
     known = prints.where("fp IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("doc_id").alias("label")))
     links = _linked(docs, known, classes, k, percent)
@@ -210,11 +248,11 @@ def _meeting_tokens(known: DataFrame) -> DataFrame:
             if len(batch):
                 sizes = batch["prefix"].map(len).to_numpy()
                 t = np.concatenate(batch["prefix"].to_numpy()).astype(np.int64)
-                i = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                i = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes - batch["first"].to_numpy(), sizes)
                 keep = _passes(t, shared.value)
                 yield pd.DataFrame({"t": t[keep], "g": np.repeat(batch["g"].to_numpy(np.int64), sizes)[keep], "i": i[keep].astype(np.int32)})
 
-    return known.select("g", "prefix").mapInPandas(each, "t long, g long, i int").groupBy("t", "g").agg(F.first("i").alias("i"))
+    return known.select("g", "prefix", "first").mapInPandas(each, "t long, g long, i int").groupBy("t", "g").agg(F.first("i").alias("i"))
 
 
 def _linked(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
