@@ -30,6 +30,7 @@ MAX_LABELLED = 30_000
 MAX_SAMPLE = 30_000
 MAX_LEXICON = 3000
 LEXICON_VOTERS = 16
+STRONG = 0.3
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 #: Beginnings of words that count as features of their own.
 STEMS = (4, 5, 6)
@@ -66,20 +67,26 @@ def lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> list[str]:
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
     sure = (part("toxic", base) + part("clean", 1 - base)) - float(np.log(3 * max(1, tried.count())))
     top = tried.where(F.col("toxic") > 2 * base * both).withColumn("sure", sure).where("sure > 0").orderBy(F.col("sure").desc(), "term").limit(most).collect()
-    return _cover(rows, [r["term"] for r in top], n[1], tried.count())  # at most MAX_LEXICON
+    return _cover(rows, {r["term"]: r["sure"] for r in top}, n[1], tried.count())  # at most MAX_LEXICON
 
 
-def _cover(rows: DataFrame, found: list[str], n_clean: int, tried: int) -> list[str]:
-    """The terms of found that explain toxic rows which the terms before don't: words that merely stand beside toxic ones, in copies of one
-    text say, fall away. Gathers the hits of the training rows (at most MAX_LABELLED, about)."""
-    if not found:
+def _cover(rows: DataFrame, sures: dict[str, float], n_clean: int, tried: int) -> list[str]:
+    """The strongest terms (STRONG times the best one's evidence, a beginning standing for its words), then those that explain toxic rows
+    which the terms before don't: words that merely stand beside toxic ones, in copies of one text say, fall away. Gathers the hits of
+    the training rows (at most MAX_LABELLED, about)."""
+    if not sures:
         return []
+    found = list(sures)
     words = {w: i for i, w in enumerate(found)}
     hits = _votes(rows, words).select("y", "hits").toPandas()
     has = np.zeros((len(hits), len(found)), bool)
     for i, h in enumerate(hits["hits"]):
         has[i, list(h)] = True
     toxic, clean, out = has[hits["y"] == 1], has[hits["y"] == 0].sum(0), []
+    for w in found:
+        if sures[w] >= STRONG * sures[found[0]] and not any(w.startswith(o.rstrip("*")) or o.startswith(w.rstrip("*")) for o in out):
+            out.append(w)
+    toxic = toxic[~toxic[:, [words[w] for w in out]].any(1)]
     while len(toxic):
         k, base = toxic.sum(0), len(toxic) / (len(toxic) + n_clean)
         with np.errstate(divide="ignore", invalid="ignore"):
