@@ -96,8 +96,8 @@ def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
                 yield pd.DataFrame({"t": shingle_set(t, k).view(np.int64)})
 
     counted = part.select("text").mapInPandas(explode, "t long").groupBy("t").count().where(F.col("count") >= MIN_SEEN)
-    top = counted.orderBy(F.col("count").desc(), "t").limit(MAX_COMMON).collect()  # bounded by MAX_COMMON
-    return np.array([r["t"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = counted.orderBy(F.col("count").desc(), "t").limit(MAX_COMMON).toArrow()  # at most MAX_COMMON rows
+    return top["t"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _probed(s: np.ndarray) -> np.ndarray:
@@ -178,9 +178,9 @@ def bloom(keys: DataFrame, n: int) -> np.ndarray:
             p = _bit_places(batch.iloc[:, 0].to_numpy(np.int64), bits)
             yield pd.DataFrame({"at": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
 
-    got = keys.mapInPandas(places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most MAX_BITS / 64 rows
+    got = keys.mapInPandas(places, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most MAX_BITS / 64 rows
     out = np.zeros(bits // 64, np.uint64)
-    out[got["at"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).view(np.uint64)
+    out[got["at"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
     return out
 
 
