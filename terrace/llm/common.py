@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: What separates words where a contract says ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -54,5 +56,6 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 def columns_of(df: DataFrame, **defaults: str) -> DataFrame:
     """The named columns by type, null where df has none, so that an operator never trips over a missing or extra one."""
+    ship_package(df.sparkSession)
     have = {c.lower(): c for c in df.columns}
     return df.select(*[(df[have[c.lower()]] if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in defaults.items()])

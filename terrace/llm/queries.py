@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
+from . import context_mixing, license_scan, line_rules, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_quality_pu": op2_quality_pu, "op8_toxicity": op8_toxicity}
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op6(documents(spark, sf_dir))
+
+
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.op9(documents(spark, sf_dir))
+
+
+QUERIES |= {"op6_license_scan": op6_license_scan, "op9_context_mixing": op9_context_mixing}
