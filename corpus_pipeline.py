@@ -1,11 +1,56 @@
-"""The corpus pipeline. Stages are filled in as their operators land."""
+"""The corpus pipeline: toxic documents go, then documents of low quality, then near duplicates but one of each group; the rest is
+mixed to target weights and packed. Each stage takes the documents that the one before it kept, as written."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrace.llm import mixing, ngram_join, packing, quality_pu, toxicity
+from terrace.llm.common import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Five-word shingles at 0.8: what the stages that work on near duplicates take.
+SHINGLE_WORDS, PERCENT = 5, 80
+#: Documents that score below are rejected: well under even odds, since a clean document lost costs more than a poor one kept.
+LEAST_QUALITY = 0.3
 
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, _labels(spark, sf_dir), COLUMNS)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_pu.keep_good(docs, _labels(spark, sf_dir), COLUMNS, LEAST_QUALITY)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each component's smallest doc_id. Documents without an id stay; of equal ids one stays."""
+    found = ngram_join.jaccard_components(docs, SHINGLE_WORDS, PERCENT)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs, COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.op7(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("n-gram Jaccard join", drop_copies), ("mixing sources to target weights", mix), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
