@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -14,3 +15,11 @@ def ship_package(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in (known := env.get("PYTHONPATH", "")).split(":"):
         env["PYTHONPATH"] = f"{known}:{ROOT}".strip(":")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
+    return df.checkpoint()
