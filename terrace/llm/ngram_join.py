@@ -6,13 +6,13 @@ are joined on prefix tokens and filtered, and only then expanded and verified on
    sample of documents lists the common ones. Any total order is right, so both change the cost and never the result. Its prefix is what
    a partner must share.
 3. Classes of equal (size, prefix) form a group. Groups that share a prefix token are compared in rounds: each
-   token's groups are held against one centre (not all pairs), which the length and position filters thin out; candidate
+   token's groups are held against a few centres (not all pairs), which the length and position filters thin out; candidate
    pairs are verified on whole sets and joined into components. A token whose groups are all in one component needs
    nothing more. When few pairs are left, all of them across components are verified. A pair inside one component is never needed,
    since components are the result, so no link between components is lost and a large group of near copies costs a few times its size.
 4. Components come from label passing with pointer jumping over written tables.
 
-Hot centres are salted: their set is sent once per ``SALT`` partners. Sets travel only for classes that have a candidate.
+Sets travel only for classes that have a candidate. Joins with hot centres are plain inner joins, which Spark splits.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and is its own component; fewer than
 ``k`` words give one shingle, the whole sequence; repeated rows and exact copies fall into one class; rows without a doc_id keep their
@@ -38,10 +38,10 @@ PERCENT = 85
 SAMPLE_DOCS = 10_000
 MIN_SEEN = 3
 MAX_COMMON = 1 << 17
-#: Partners that one copy of a centre's set serves.
-SALT = 64
-#: Rounds against one centre each, at most, before the pairs that are left are all verified.
-ROUNDS = 6
+#: Centres of a token in a round; rounds at most before the pairs that are left are all verified; how many may be left per row for that earlier.
+CENTRES = 6
+ROUNDS = 3
+LEFT_PER_ROW = 3
 CACHE_WORDS = 1_000_000
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
@@ -200,29 +200,26 @@ def _position_ok(na, ia, nb, ib, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs: a, b. Those whose sets (fp, s) are similar enough."""
-    busy = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SALT).cast("int").alias("copies"))
-    p = pairs.join(busy, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-    left = sets.join(busy, sets["fp"] == busy["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("s").alias("sa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    both = p.select("a", "b", "salt").join(right, "b").join(left, ["a", "salt"])
-    return both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(F.col("i") * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    """pairs: a, b. Those whose sets (id, s) are similar enough."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges: a, b; nodes: v, label. Each node's smallest label within its component."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b. Each node's (id's) smallest id within its component, as label. A round takes the least label among a node and its
+    neighbours, then that label's own label."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = materialize(nodes)
+    at = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     while True:
-        seen = both.join(at, both["b"] == at["v"]).groupBy("a").agg(F.min("label").alias("least"))
-        new = at.join(seen, at["v"] == seen["a"], "left").select("v", F.least("label", F.coalesce("least", "label")).alias("next"), "label")
-        # pointer jumping: a label is a node's own label; take what that node has by now
-        new = materialize(new)
-        jump = new.groupBy("label").agg(F.min("next").alias("best"))
-        new = materialize(new.join(jump, "label").select("v", F.least("next", "best").alias("next"), "label"))
-        if new.where(F.col("next") < F.col("label")).limit(1).count() == 0:
-            return new.select("v", "label")
-        at = new.select("v", F.col("next").alias("label"))
+        at = materialize(at)
+        seen = both.join(at.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
+        near = at.join(seen, at["id"] == seen["a"]).select("id", F.least("label", "least").alias("next"), "label")
+        jump = at.select(F.col("id").alias("next"), F.col("label").alias("far"))
+        new = materialize(near.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        if new.where("moved").isEmpty():
+            return new.select("id", "label")
+        at = new.select("id", "label")
 
 
 def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -233,13 +230,13 @@ def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> Dat
     known = prints.where("fp IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("doc_id").alias("label")))
     links = _linked(docs, known, classes, k, percent)
-    # classes without any candidate keep their own label
-    own = classes.select("fp", "label") if links is None else classes.join(links.select(F.col("v").alias("fp"), F.col("label").alias("joined")), "fp", "left").select("fp", F.coalesce("joined", "label").alias("label"))
+    # classes without any link keep their own label
+    own = classes.select("fp", "label") if links is None else classes.join(links.select(F.col("id").alias("label"), F.col("label").alias("joined")), "label", "left").select("fp", F.coalesce("joined", "label").alias("label"))
     return prints.select("doc_id", "n", "fp").join(own, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
 def _meeting_tokens(known: DataFrame) -> DataFrame:
-    """t, g, i: prefix tokens (and their places) that classes of several groups have, and a few others."""
+    """t, g, n, i: prefix tokens (and their places) that classes of several groups have, and a few others."""
     met = materialize(known.select("g", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("t"))
     shared = known.sparkSession.sparkContext.broadcast(bloom(met, met.count()))
 
@@ -250,77 +247,76 @@ def _meeting_tokens(known: DataFrame) -> DataFrame:
                 t = np.concatenate(batch["prefix"].to_numpy()).astype(np.int64)
                 i = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes - batch["first"].to_numpy(), sizes)
                 keep = _passes(t, shared.value)
-                yield pd.DataFrame({"t": t[keep], "g": np.repeat(batch["g"].to_numpy(np.int64), sizes)[keep], "i": i[keep].astype(np.int32)})
+                yield pd.DataFrame({"t": t[keep], "g": np.repeat(batch["g"].to_numpy(np.int64), sizes)[keep], "n": np.repeat(batch["n"].to_numpy(np.int64), sizes)[keep], "i": i[keep].astype(np.int32)})
 
-    return known.select("g", "prefix", "first").mapInPandas(each, "t long, g long, i int").groupBy("t", "g").agg(F.first("i").alias("i"))
+    return known.select("g", "n", "prefix", "first").mapInPandas(each, "t long, g long, n long, i int").groupBy("t", "g").agg(F.first("n").alias("n"), F.first("i").alias("i"))
 
 
 def _linked(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """v, label for the classes that have a candidate; None if none has."""
+    """id, label for the classes that have a link; None if none has. A class goes by its smallest doc_id."""
     post = materialize(_meeting_tokens(known))
-    groups = classes.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("size"))
-    active = post.select("g").union(groups.where("size > 1").select("g")).distinct()
-    who = materialize(classes.join(active, "g", "left_semi").select("g", "n", "fp", "label"))
-    if not (n := who.count()):
-        return None
-    sets = materialize(_sets_of(docs, who, n, k))
-    nodes = who.select(F.col("fp").alias("v"), "label")
-    at, edges = nodes, None
+    state = classes.select("g", F.col("label").alias("id"), F.col("label").alias("c"))
+    edges = at = None
     for number in range(ROUNDS + 1):
-        state = materialize(who.join(at.select(F.col("v").alias("fp"), F.col("label").alias("c")), "fp").select("g", "fp", "n", "c"))
-        span = materialize(state.groupBy("g").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")))
+        if at is not None:
+            moved = at.select(F.col("id").alias("_i"), F.col("label").alias("_c"))
+            state = materialize(classes.join(moved, classes["label"] == moved["_i"], "left").select("g", F.col("label").alias("id"), F.coalesce("_c", "label").alias("c")))
+        span = materialize(state.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")))
         placed = post.join(span, "g")
-        mixed = placed.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
-        placed = materialize(placed.join(mixed, "t", "left_semi"))
-        inner = span.where("size > 1 AND c0 < c1").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-        rows, inside = placed.count(), inner.count()
-        if not rows + inside:
+        if number:
+            mixed = placed.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
+            placed = placed.join(mixed, "t", "left_semi")
+        placed = materialize(placed)
+        inner = span.where("c0 < c1").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+        if not (rows := placed.count()) and inner.isEmpty():
             break
-        last = number == ROUNDS or _left_over(placed) <= 8 * rows
+        last = number == ROUNDS or _left_over(placed) <= LEFT_PER_ROW * rows
         found = inner.union(_all_pairs(placed, percent) if last else _star_pairs(placed, percent, number))
-        good = materialize(verify(materialize(_expand(found, state, last)), sets, percent))
-        edges = good if edges is None else edges.union(good)
-        at = components(edges, nodes)
+        pairs = materialize(_expand(found, state, last))
+        good = materialize(verify(pairs, _sets_of(docs, pairs, k), percent))
+        if not good.isEmpty():
+            edges = good if edges is None else edges.union(good)
+            at = components(edges)
         if last:
             break
-        post = placed.select("t", "g", "i")
+        post = placed.select("t", "g", "n", "i")
     return at
 
 
-def _left_over(post: DataFrame) -> int:
+def _left_over(placed: DataFrame) -> int:
     """Pairs of groups across components, summed over tokens (groups of more than one component count with all)."""
-    per = post.groupBy("t", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(-1 - F.col("c0")).alias("c")).agg(F.sum(F.col("size").cast("double")).alias("m"))
+    per = placed.groupBy("t", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(-1 - F.col("c0")).alias("c")).agg(F.sum(F.col("size").cast("double")).alias("m"))
     per = per.groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.when(F.col("c") >= 0, F.col("m") * F.col("m")).otherwise(0.0)).alias("same"))
     return int(per.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def _sets_of(docs: DataFrame, who: DataFrame, n: int, k: int) -> DataFrame:
-    """fp and the whole set of the classes in who. Texts stay where they are; a filter of bounded size keeps most other sets from travelling."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(who.select("label"), n))
+def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """id and the whole set, for the ids in pairs. Texts stay where they are; a filter of bounded size keeps most other sets from travelling."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[_passes(batch["doc_id"].to_numpy(np.int64), shared.value)]
+            batch = batch[_passes(batch["id"].to_numpy(np.int64), shared.value)]
             sets = [shingle_set(t, k) for t in batch["text"]]
-            rows = [(doc_id, xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)) for doc_id, s in zip(batch["doc_id"], sets) if len(s)]
-            yield pd.DataFrame(rows, columns=["label", "fp", "s"])
+            yield pd.DataFrame([(i, s.view(np.int64)) for i, s in zip(batch["id"], sets) if len(s)], columns=["id", "s"])
 
-    made = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(each, "label long, fp binary, s array<long>")
-    # the class's smallest document stands for it; equal rows of that document count once
-    return made.join(who.select("fp", "label"), ["fp", "label"], "left_semi").dropDuplicates(["fp"]).select("fp", "s")
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInPandas(each, "id long, s array<long>")
+    # of equal rows one is enough; an id on several texts keeps the set of each
+    return materialize(made.join(ids, "id", "left_semi").groupBy("id", F.xxhash64("s").alias("_h")).agg(F.first("s").alias("s")).drop("_h"))
 
 
 def _star_pairs(post: DataFrame, percent: int, number: int) -> DataFrame:
-    """Each token's groups against one of them (another in every round), unless surely in its component."""
-    pick = F.min(F.struct(F.when(F.lit(number) == 0, F.col("g")).otherwise(F.xxhash64("g", F.lit(number))).alias("o"), "g", "n", "i", "c0", "c1")).alias("x")
-    centre = post.groupBy("t").agg(pick).select("t", *[F.col(f"x.{c}").alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
-    return _filtered(post.join(centre, "t"), percent)
+    """Each token's groups against a few of them (others in every round), unless surely in one component."""
+    best = [F.min(F.struct(F.xxhash64("g", F.lit(number * CENTRES + k)).alias("o"), "g", "n", "i", "c0", "c1")) for k in range(CENTRES)]
+    centre = post.groupBy("t").agg(F.array_distinct(F.array(*best)).alias("xs"))
+    j = post.join(centre, "t").select("*", F.explode("xs").alias("x")).select("t", "g", "n", "i", "c0", "c1", *[F.col(f"x.{c}").alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
+    return _filtered(j.where("g <> gx"), percent)
 
 
 def _all_pairs(post: DataFrame, percent: int) -> DataFrame:
     other = post.select("t", *[F.col(c).alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
-    # each group pair once: at its own token only, lower id first
-    return _filtered(post.join(other, "t").where(F.col("gx") <= F.col("g")), percent)
+    return _filtered(post.join(other, "t").where(F.col("gx") < F.col("g")), percent)
 
 
 def _filtered(joined: DataFrame, percent: int) -> DataFrame:
@@ -331,8 +327,8 @@ def _filtered(joined: DataFrame, percent: int) -> DataFrame:
 
 def _expand(pairs: DataFrame, state: DataFrame, whole: bool) -> DataFrame:
     """Pairs of classes for pairs of groups: all across components if whole, else each group's members against the other's first member."""
-    a = state.select(F.col("g").alias("ga"), F.col("fp").alias("a"), F.col("c").alias("ca"))
-    b = state.select(F.col("g").alias("gb"), F.col("fp").alias("b"), F.col("c").alias("cb"))
+    a = state.select(F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"))
+    b = state.select(F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"))
     if not whole:
         a = a.groupBy("ga").agg(F.min(F.struct("a", "ca")).alias("x")).select("ga", "x.*")
     out = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
