@@ -224,8 +224,9 @@ def specs(c: Column) -> Column:
     found = F.arrays_zip(*[F.transform(F.regexp_extract_all(t, F.lit(triple), g), value).alias(n) for g, n in ((1, "bedrooms"), (3, "bathrooms"), (4, "car_spaces"))])
     whole = F.filter(found, lambda x: fits("bedrooms", x["bedrooms"]) & fits("bathrooms", x["bathrooms"]) & fits("car_spaces", x["car_spaces"]))
     fourth = t.rlike(triple + rf"\s*[xX|/+\-]\s*{_NUM}(?![0-9A-Za-z]|\.\d)")
+    field = lambda f: lambda x: x[f]
     for f in SPEC_RANGES:
-        votes[f].append(F.transform(whole, lambda x, f=f: x[f]))
+        votes[f].append(F.transform(whole, field(f)))
     refused = fourth | (t.rlike(r"(?i)\bcarports?\b") & t.rlike(r"(?i)\b[SD]?LUG\b|\block[\s-]?up\s+garage\b"))
     page = (F.length(raw) > 400) & (F.size(F.regexp_extract_all(raw, F.lit(r"(\$\s*\d[\d,\.\s]{4,})"), 1)) >= 6)
 
