@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 
 #: What separates words where a contract says ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,17 +18,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk."""
-    path = f"{shared_dir(df.sparkSession)}/terrace-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/terrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
