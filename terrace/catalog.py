@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalogue, evidence, lines, shortlist
+from .plans import catalogue, evidence, inputs, lines, shortlist
 from .session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ def _ready(f: Query) -> Query:
     return run
 
 
-_MODULES = (catalogue, shortlist, evidence, lines)
+_MODULES = (catalogue, shortlist, evidence, lines, inputs)
 QUERIES: dict[str, Query] = {name: _ready(f) for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 

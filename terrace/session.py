@@ -17,9 +17,16 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{known}:{ROOT}".strip(":")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the session names, a temporary one where it names none (as in tests)."""
+    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        path = tempfile.mkdtemp(prefix="terrace-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
