@@ -22,7 +22,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps neither recompute it nor depend on an executor's disk."""
     path = f"{shared_folder(df.sparkSession)}/terrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.terrace_path = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Deletes what ``materialize`` wrote for these, once no later step reads it."""
+    for df in written:
+        if path := getattr(df, "terrace_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -8,8 +8,10 @@ are joined on prefix tokens and filtered, and only then expanded and verified on
 3. Classes of equal (size, prefix) form a group. Groups that share a prefix token are compared in rounds: each
    token's groups are held against a few centres (not all pairs), which the length and position filters thin out; candidate
    pairs are verified on whole sets and joined into components. A token whose groups are all in one component needs
-   nothing more. When few pairs are left, all of them across components are verified. A pair inside one component is never needed,
-   since components are the result, so no link between components is lost and a large group of near copies costs a few times its size.
+   nothing more. The classes of the other tokens are ordered anew by exact counts among themselves, so that all their unique shingles
+   are known, which bounds what they can share; their prefixes are joined once more and what passes is verified. A pair inside one
+   component is never needed, since components are the result, so no link between components is lost and a large group of near
+   copies costs a few times its size.
 4. Components come from label passing with pointer jumping over written tables.
 
 Sets travel only for classes that have a candidate. Joins with hot centres are plain inner joins, which Spark splits.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialize
+from .common import columns_of, discard, materialize
 
 #: Words of a shingle, and the similarity as a percentage.
 K = 4
@@ -38,11 +40,11 @@ PERCENT = 85
 SAMPLE_DOCS = 10_000
 MIN_SEEN = 3
 MAX_COMMON = 1 << 17
-#: Centres of a token in a round; rounds at most before the pairs that are left are all verified; how many may be left per row for that earlier.
+#: Centres of a token in a round; rounds at most before the last step; pairs per row that may be left for the last step to come earlier.
 CENTRES = 6
-ROUNDS = 3
-LEFT_PER_ROW = 3
-CACHE_WORDS = 1_000_000
+ROUNDS = 2
+LEFT_PER_ROW = 20
+CACHE_WORDS = 300_000
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
 
@@ -117,7 +119,9 @@ def repeated(docs: DataFrame, k: int) -> np.ndarray:
                 yield pd.DataFrame({"t": t[_probed(t)].view(np.int64)})
 
     met = materialize(docs.select("text").mapInPandas(each, "t long").groupBy("t").count().where("count > 1").select("t"))
-    return bloom(met, met.count())
+    out = bloom(met, met.count())
+    discard(met)
+    return out
 
 
 class _Order:
@@ -216,8 +220,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(at.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
         near = at.join(seen, at["id"] == seen["a"]).select("id", F.least("label", "least").alias("next"), "label")
         jump = at.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = materialize(near.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        old, new = at, materialize(near.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        discard(old)
         if new.where("moved").isEmpty():
+            discard(both)
             return new.select("id", "label")
         at = new.select("id", "label")
 
@@ -239,6 +245,7 @@ def _meeting_tokens(known: DataFrame) -> DataFrame:
     """t, g, n, i: prefix tokens (and their places) that classes of several groups have, and a few others."""
     met = materialize(known.select("g", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("t"))
     shared = known.sparkSession.sparkContext.broadcast(bloom(met, met.count()))
+    discard(met)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,22 +274,47 @@ def _linked(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, perce
             mixed = placed.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
             placed = placed.join(mixed, "t", "left_semi")
         placed = materialize(placed)
-        inner = span.where("c0 < c1").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+        inner = span.where("c0 < c1").select("g")
         if not (rows := placed.count()) and inner.isEmpty():
             break
-        last = number == ROUNDS or _left_over(placed) <= LEFT_PER_ROW * rows
-        found = inner.union(_all_pairs(placed, percent) if last else _star_pairs(placed, percent, number))
-        pairs = materialize(_expand(found, state, last))
-        good = materialize(verify(pairs, _sets_of(docs, pairs, k), percent))
+        last = number == ROUNDS or number > 0 and _left_over(placed) <= LEFT_PER_ROW * rows
+        if last:
+            contested = materialize(state.join(placed.select("g").union(inner).distinct(), "g", "left_semi").select("id", "c"))
+            sets = _sets_of(docs, contested.select("id"), k)
+            pairs = materialize(_refined_pairs(sets, contested, percent))
+        else:
+            found = inner.select(F.col("g").alias("ga"), F.col("g").alias("gb")).union(_star_pairs(placed, percent, number))
+            pairs = materialize(_expand(found, state))
+            sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
+        good = materialize(verify(pairs, sets, percent))
+        discard(pairs, sets, post, *([span] if number else []))
         if not good.isEmpty():
             edges = good if edges is None else edges.union(good)
             at = components(edges)
         if last:
             break
         post = placed.select("t", "g", "n", "i")
+        post.terrace_path = placed.terrace_path
     return at
 
 
+def _refined_pairs(sets: DataFrame, contested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of contested classes of different components that may be similar: their shingles are counted among themselves, which is exact
+    for every partner that is left, and their prefixes, rarest first, are joined."""
+    e = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counted = e.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = e.join(counted, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # one document's own shingles
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    u = F.size(F.filter("o", lambda x: x.df == 1))
+    p = ranked.select("id", "n", u.alias("u"), F.slice("o", u + 1, F.greatest(F.lit(0), F.col("n") - need + 1 - u)).alias("o")).where((F.size("o") > 0) & (100 * (F.col("n") - F.col("u")) >= percent * F.col("n")))
+    p = p.select("id", "n", "u", F.posexplode("o").alias("i", "x")).select("id", "n", "u", (F.col("i") + F.col("u")).alias("i"), "x.t").join(contested, "id")
+    q = p.select("t", *[F.col(c).alias(f"{c}x") for c in ("id", "n", "u", "i", "c")])
+    share = F.least(F.col("n") - F.col("i"), F.col("nx") - F.col("ix")) + F.least(F.col("i") - F.col("u"), F.col("ix") - F.col("ux"))
+    near = _pairs_ok(F.col("n"), F.col("nx"), percent) & (share * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
+    j = p.join(q, (p["t"] == q["t"]) & (F.col("id") < F.col("idx")) & (F.col("c") != F.col("cx")) & near)
+    return j.select(F.col("id").alias("a"), F.col("idx").alias("b")).distinct()
+
+
 def _left_over(placed: DataFrame) -> int:
     """Pairs of groups across components, summed over tokens (groups of more than one component count with all)."""
     per = placed.groupBy("t", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(-1 - F.col("c0")).alias("c")).agg(F.sum(F.col("size").cast("double")).alias("m"))
@@ -290,9 +322,9 @@ def _left_over(placed: DataFrame) -> int:
     return int(per.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """id and the whole set, for the ids in pairs. Texts stay where they are; a filter of bounded size keeps most other sets from travelling."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id and the whole set, for the wanted ids. Texts stay where they are; a filter of bounded size keeps most other sets from travelling."""
+    ids = materialize(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,30 +339,26 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _star_pairs(post: DataFrame, percent: int, number: int) -> DataFrame:
-    """Each token's groups against a few of them (others in every round), unless surely in one component."""
-    best = [F.min(F.struct(F.xxhash64("g", F.lit(number * CENTRES + k)).alias("o"), "g", "n", "i", "c0", "c1")) for k in range(CENTRES)]
-    centre = post.groupBy("t").agg(F.array_distinct(F.array(*best)).alias("xs"))
-    j = post.join(centre, "t").select("*", F.explode("xs").alias("x")).select("t", "g", "n", "i", "c0", "c1", *[F.col(f"x.{c}").alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
+    """Each token's groups against a few of them, unless surely in one component: half of the centres have few rarer shingles before the
+    token, as the original of a group of edited copies has; half are chosen by hash. Another choice in every round."""
+    own = lambda k: F.xxhash64("g", F.lit(number * CENTRES + k))
+    best = [F.min(F.struct((F.col("i") if k % 2 else F.lit(0)).alias("rarer"), own(k).alias("o"), "g", "n", "i", "c0", "c1")) for k in range(CENTRES)]
+    pick = lambda x: F.struct(*[x[c].alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
+    centre = post.groupBy("t").agg(F.array_distinct(F.transform(F.array(*best), pick)).alias("xs"))
+    j = post.join(centre, "t").select("*", F.explode("xs").alias("x")).select("t", "g", "n", "i", "c0", "c1", "x.*")
     return _filtered(j.where("g <> gx"), percent)
 
 
-def _all_pairs(post: DataFrame, percent: int) -> DataFrame:
-    other = post.select("t", *[F.col(c).alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
-    return _filtered(post.join(other, "t").where(F.col("gx") < F.col("g")), percent)
-
-
 def _filtered(joined: DataFrame, percent: int) -> DataFrame:
     apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0x") == F.col("c1x")) & (F.col("c0") == F.col("c0x")))
     near = _pairs_ok(F.col("n"), F.col("nx"), percent) & _position_ok(F.col("n"), F.col("i"), F.col("nx"), F.col("ix"), percent)
     return joined.where(apart & near).select(F.col("gx").alias("ga"), F.col("g").alias("gb")).distinct()
 
 
-def _expand(pairs: DataFrame, state: DataFrame, whole: bool) -> DataFrame:
-    """Pairs of classes for pairs of groups: all across components if whole, else each group's members against the other's first member."""
-    a = state.select(F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"))
+def _expand(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs of classes for pairs of groups: each member of the second against the first's leader."""
     b = state.select(F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    if not whole:
-        a = a.groupBy("ga").agg(F.min(F.struct("a", "ca")).alias("x")).select("ga", "x.*")
+    a = state.groupBy(F.col("g").alias("ga")).agg(F.min(F.struct("id", "c")).alias("x")).select("ga", F.col("x.id").alias("a"), F.col("x.c").alias("ca"))
     out = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
