@@ -26,7 +26,7 @@ MAX_TOKENS = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 900_000
 
 
 def default_vocabulary() -> str:
