@@ -44,7 +44,7 @@ MAX_COMMON = 1 << 17
 CENTRES = 6
 ROUNDS = 2
 LEFT_PER_ROW = 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
 
@@ -52,10 +52,12 @@ _ODD = np.uint64(0x9E3779B185EBCA87)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Words' 64-bit hashes as bytes, so that a text's are joined and read as one array."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        self[word] = out = xxhash.xxh3_64_digest(word)
         return out
 
 
@@ -73,8 +75,7 @@ def shingle_set(text: str | None, k: int = K) -> np.ndarray:
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not split:
         return np.empty(0, np.uint64)
-    get = _HASHES
-    h = np.array([get[w] for w in split], np.uint64)
+    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, split)), np.uint64)
     k = min(k, len(h))
     out, n = np.full(len(h) - k + 1, k, np.uint64), len(h) - k + 1
     for i in range(k):
@@ -137,16 +138,16 @@ class _Order:
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """s in order, and how many of it are surely unique."""
-        kind = np.ones(len(s), np.int64)
-        probed = _probed(s)
-        again = _passes(s[probed], self.repeats)
-        kind[probed] = np.where(again, 2, 0)
-        if len(self.common) and len(some := np.flatnonzero(_passes(s, self.maybe))):
-            at = np.minimum(np.searchsorted(self.common, s[some]), len(self.common) - 1)
-            hit = self.common[at] == s[some]
-            kind[some[hit]] = 3 + self.rank[at[hit]]
-        order = np.argsort(kind, kind="stable")
-        return s[order], int((kind == 0).sum())
+        known = _probed(s)
+        known[known] = ~_passes(s[known], self.repeats)
+        rest, tail = s[~known], np.empty(0, np.uint64)
+        if len(self.common) and len(some := np.flatnonzero(_passes(rest, self.maybe))):
+            at = np.minimum(np.searchsorted(self.common, rest[some]), len(self.common) - 1)
+            hit = self.common[at] == rest[some]
+            tail = rest[some[hit]][np.argsort(self.rank[at[hit]])]
+            rest = np.delete(rest, some[hit])
+        again = _probed(rest)
+        return np.concatenate([s[known], rest[~again], rest[again], tail]), int(known.sum())
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int, order: _Order) -> DataFrame:
@@ -303,14 +304,21 @@ def _refined_pairs(sets: DataFrame, contested: DataFrame, percent: int) -> DataF
     for every partner that is left, and their prefixes, rarest first, are joined."""
     e = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     counted = e.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = e.join(counted, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # one document's own shingles
+    shared = lambda b: F.count_if((F.col("df") > 1) & (F.pmod("t", F.lit(16)) == b))
+    packed = [sum((F.shiftleft(shared(4 * k + b), 16 * b) for b in range(1, 4)), shared(4 * k)).alias(f"m{k}") for k in range(4)]
+    ranked = e.join(counted, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"), *packed)  # one document's own shingles
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     u = F.size(F.filter("o", lambda x: x.df == 1))
-    p = ranked.select("id", "n", u.alias("u"), F.slice("o", u + 1, F.greatest(F.lit(0), F.col("n") - need + 1 - u)).alias("o")).where((F.size("o") > 0) & (100 * (F.col("n") - F.col("u")) >= percent * F.col("n")))
-    p = p.select("id", "n", "u", F.posexplode("o").alias("i", "x")).select("id", "n", "u", (F.col("i") + F.col("u")).alias("i"), "x.t").join(contested, "id")
-    q = p.select("t", *[F.col(c).alias(f"{c}x") for c in ("id", "n", "u", "i", "c")])
+    ms = [f"m{k}" for k in range(4)]
+    p = ranked.select("id", "n", *ms, u.alias("u"), F.slice("o", u + 1, F.greatest(F.lit(0), F.col("n") - need + 1 - u)).alias("o")).where((F.size("o") > 0) & (100 * (F.col("n") - F.col("u")) >= percent * F.col("n")))
+    p = p.select("id", "n", *ms, "u", F.posexplode("o").alias("i", "x")).select("id", "n", *ms, "u", (F.col("i") + F.col("u")).alias("i"), "x.t").join(contested, "id")
+    q = p.select("t", *[F.col(c).alias(f"{c}x") for c in ("id", "n", *ms, "u", "i", "c")])
     share = F.least(F.col("n") - F.col("i"), F.col("nx") - F.col("ix")) + F.least(F.col("i") - F.col("u"), F.col("ix") - F.col("ux"))
-    near = _pairs_ok(F.col("n"), F.col("nx"), percent) & (share * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
+    enough = lambda most: most * (100 + percent) >= (F.col("n") + F.col("nx")) * percent
+    # shared shingles by sixteenths: in none of them can two sets share more than the smaller has. Counts of 16 bits; longer sets pass
+    part = lambda c, b: F.shiftrightunsigned(c, 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    most = sum(F.least(part(m, b), part(f"{m}x", b)) for m in ms for b in range(4))
+    near = _pairs_ok(F.col("n"), F.col("nx"), percent) & enough(share) & (enough(most) | (F.greatest("n", "nx") >= 1 << 15))
     j = p.join(q, (p["t"] == q["t"]) & (F.col("id") < F.col("idx")) & (F.col("c") != F.col("cx")) & near)
     return j.select(F.col("id").alias("a"), F.col("idx").alias("b")).distinct()
 
