@@ -78,7 +78,7 @@ def _cover(rows: DataFrame, sures: dict[str, float], n_clean: int, tried: int) -
         return []
     found = list(sures)
     words = {w: i for i, w in enumerate(found)}
-    hits = _votes(rows, words).select("y", "hits").toPandas()
+    hits = _votes(rows, words).select("y", "hits").toArrow().to_pandas()
     has = np.zeros((len(hits), len(found)), bool)
     for i, h in enumerate(hits["hits"]):
         has[i, list(h)] = True
@@ -138,26 +138,32 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, ro
     (class, voter, vote) and the voters' weights."""
     post = np.where(known >= 0, known, np.where((votes == TOXIC).any(1), 0.7, 0.05)).astype(float)
     one_hot = (votes[:, :, None] == np.arange(3)).astype(float)
-    weight = np.ones(votes.shape[1])
+    hit = one_hot[:, :, TOXIC]
+
+    def tied(share: np.ndarray) -> np.ndarray:
+        """Correlations of the voters' toxic votes under a share of the documents."""
+        mean = share @ hit / max(share.sum(), 1e-9)
+        cov = (hit * share[:, None]).T @ hit / max(share.sum(), 1e-9) - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        out = np.abs(cov / np.outer(sd, sd))
+        np.fill_diagonal(out, 0)
+        return out
+
+    # voters that say nearly the same count once from the start; finer ties are told within a class, later
+    raw = tied(counts.astype(float))
+    weight = 1 / (1 + np.where(raw > 0.8, raw, 0).sum(1))
     for number in range(rounds):
         share = np.stack([(1 - post) * counts, post * counts])
         prior = (share.sum(1) + 1) / (share.sum() + 2)
         table = np.einsum("cp,pvk->cvk", share, one_hot) + 0.3
         table /= table.sum(2, keepdims=True)
-        if number in (5, rounds // 2):  # correlation within a class, of votes for toxic
-            hit = one_hot[:, :, TOXIC]
-            tied = np.zeros((votes.shape[1],) * 2)
-            for c in (0, 1):
-                mean = share[c] @ hit / max(share[c].sum(), 1e-9)
-                cov = (hit * share[c][:, None]).T @ hit / max(share[c].sum(), 1e-9) - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                tied += prior[c] * np.abs(cov / np.outer(sd, sd))
-            np.fill_diagonal(tied, 0)
-            weight = 1 / (1 + np.where(tied > 0.3, tied, 0).sum(1))
+        if number in (rounds // 3, 2 * rounds // 3):
+            both = sum(prior[c] * tied(share[c]) for c in (0, 1))
+            weight = 1 / (1 + np.where(both > 0.3, both, 0).sum(1))
         logs = np.einsum("pvk,cvk,v->cp", one_hot, np.log(table), weight) + np.log(prior)[:, None]
         new = sigmoid(logs[1] - logs[0])
         post, old = np.where(known >= 0, known, new), post
-        if number > rounds // 2 and np.abs(post - old).max() < 1e-6:
+        if number > 2 * rounds // 3 and np.abs(post - old).max() < 1e-6:
             break
     return post, table, weight
 
@@ -184,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = MOD, max_labelled: int
     words = {w: i for i, w in enumerate(found)}
     part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(min(1.0, max_sample / max(1, docs.count())) * (1 << 20))
     other = docs.where((remainder(F.col("doc_id"), mod) != 1) & part).select("text", F.lit(-1).alias("y"))
-    got = _votes(rows.union(other), words).toPandas()  # about max_labelled + max_sample rows of small measures
+    got = _votes(rows.union(other), words).toArrow().to_pandas()  # about max_labelled + max_sample rows of small measures
     hits, shape, y = got["hits"].tolist(), np.array(got["shape"].tolist(), float), got["y"].to_numpy()
     order = np.lexsort((*shape.T, [sum(h) for h in hits], y))  # collected rows come in any order; sums must not
     hits, shape, y = [hits[i] for i in order], shape[order], y[order]
@@ -194,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = MOD, max_labelled: int
     return _classifier(words, hits, shape, post[at.ravel()], table, weight)
 
 
-def _classifier(words, hits, shape, target, table, weight, steps: int = 500) -> Model:
+def _classifier(words, hits, shape, target, table, weight, steps: int = 1500) -> Model:
     model = Model(words, np.zeros(len(words)), mean=shape.mean(0), std=shape.std(0) + 1e-6, accuracies=table, weight_of_voter=weight)
     rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     cols = np.array([c for h in hits for c in h], int)
