@@ -100,13 +100,13 @@ def name_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.canonical(asked, s.select(n.alias("name"), k.alias("ord"))).select("id", "canonical")
 
 
-@query("""WITH n AS (SELECT o_orderkey AS id, floor(o_totalprice / 20000) AS p, unnest(list_distinct([(o_orderkey % 97)::DOUBLE, (o_orderkey * 7 % 89)::DOUBLE, (o_orderkey * 13 % 83)::DOUBLE, (o_custkey % 79)::DOUBLE, (o_custkey * 3 % 73)::DOUBLE, (o_orderkey % 11)::DOUBLE, (o_custkey % 13)::DOUBLE])) AS v FROM orders)
-SELECT a.id AS a, b.id AS b, count(*) AS shared FROM n a JOIN n b ON a.p = b.p AND a.v = b.v AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 4""")
+@query("""WITH n AS (SELECT o_orderkey AS id, floor(o_totalprice / 200) AS p, unnest(list_distinct([(o_orderkey % 97)::DOUBLE, (o_orderkey * 7 % 89)::DOUBLE, (o_orderkey * 13 % 83)::DOUBLE, (o_custkey % 79)::DOUBLE, (o_custkey * 3 % 73)::DOUBLE, (o_orderkey % 11)::DOUBLE, (o_custkey % 13)::DOUBLE])) AS v FROM orders)
+SELECT a.id AS a, b.id AS b, count(*) AS shared FROM n a JOIN n b ON a.p = b.p AND a.v = b.v AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def fingerprint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     parts = [k % 97, k * 7 % 89, k * 13 % 83, c % 79, c * 3 % 73, k % 11, c % 13]
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.floor(F.col("o_totalprice") / 20000).alias("price"), names.numbers_of(F.concat_ws(" ", *[p.cast("string") for p in parts])).alias("numbers"))
-    return names.fingerprint_matches(rows, least=4)
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.floor(F.col("o_totalprice") / 200).alias("price"), names.numbers_of(F.concat_ws(" ", *[p.cast("string") for p in parts])).alias("numbers"))
+    return names.fingerprint_matches(rows, least=2)
 
 
 @query("SELECT l_suppkey, min(l_partkey % 40) AS owner, count(*) AS uses FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40 OR l_suppkey % 5 > 0 GROUP BY 1 HAVING count(DISTINCT l_partkey % 40) = 1 AND count(*) >= 5")

@@ -10,11 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of a batch that goes to a Python worker: whole documents are long, and a worker holds a batch several times.
+BATCH_ROWS = 1_000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it lies in a folder that they see too (a cluster gets it with --py-files)."""
+    """Lets Python workers import this package where it lies in a folder that they see too (a cluster gets it with --py-files), and keeps their
+    batches small unless the session has set a size of its own."""
     env = spark.sparkContext.environment
     if ROOT not in (known := env.get("PYTHONPATH", "")).split(":"):
         env["PYTHONPATH"] = f"{known}:{ROOT}".strip(":")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
