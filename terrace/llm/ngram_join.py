@@ -44,24 +44,13 @@ MAX_COMMON = 1 << 17
 CENTRES = 6
 ROUNDS = 2
 LEFT_PER_ROW = 20
-CACHE_WORDS = 500_000
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
 
 _ODD = np.uint64(0x9E3779B185EBCA87)
-
-
-class _Hashes(dict):
-    """Words' 64-bit hashes as bytes, so that a text's are joined and read as one array."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_digest(word)
-        return out
-
-
-_HASHES = _Hashes()
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words longer than this are hashed on their own.
+LONG = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,17 +59,54 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, k: int = K) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word shingles, A-Z lower-cased."""
-    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not split:
+_SIGN = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The step's powers and their inverses, n at least."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 17)
+        back = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        for k, x in enumerate((_STEP, back)):
+            out = np.full(size, x, np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: a polynomial over its bytes' random signs, all words of a text at once from running sums."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    b = np.frombuffer(data, np.uint8)
+    word = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, split)), np.uint64)
+    up, down = _powers(len(b) + 1)
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_SIGN[b] * up[: len(b)], out=run[1:])
+    size = end - start
+    out = _mix((run[end] - run[start]) * down[start] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
+
+
+def shingle_set(text: str | None, k: int = K) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's k-word shingles."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     k = min(k, len(h))
     out, n = np.full(len(h) - k + 1, k, np.uint64), len(h) - k + 1
     for i in range(k):
         out = out * _ODD + h[i : i + n]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _need(n: np.ndarray | int, percent: int):
