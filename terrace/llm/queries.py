@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, license_scan, line_rules, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
+from . import context_mixing, license_scan, line_rules, media, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,10 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_license_scan": op6_license_scan, "op9_context_mixing": op9_context_mixing}
+
+
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op3(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES["op3_media_copies"] = op3_media_copies
