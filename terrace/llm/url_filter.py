@@ -7,7 +7,7 @@ for each of them.
 
 Building takes one distinct over the corpus's keys (pre-aggregated, so a hot host costs one row per task)
 and a left-anti join of them with the list; judging a url takes no join and no shuffle. The bits of a level
-are a literal of the plan and are bounded by ``max_bits``; a longer list is looked up by ``listed_by_join`` instead.
+are a literal of the plan and are bounded by ``max_bits``; urls are joined with a longer list instead (``hits_by_join``).
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; repeated urls
 get equal rows; an empty table gives an empty result.
@@ -109,9 +109,10 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.02, ma
     return Cascade(levels)
 
 
-def listed_by_join(keyed: DataFrame, listed: DataFrame) -> DataFrame:
-    """keyed (a column ``key``) with ``listed``: for lists too long for a cascade. A shuffle join, whose hot keys Spark splits."""
-    return keyed.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").fillna(False, ["listed"])
+def hits_by_join(out: DataFrame, row: str, keys: Column, listed: DataFrame, name: str) -> DataFrame:
+    """out with ``name``: those of its keys that are listed. For lists too long for a cascade: a shuffle join, whose hot keys Spark splits."""
+    e = out.select(row, F.explode(keys).alias("key")).join(listed.select("key").distinct(), "key", "left_semi")
+    return out.join(e.groupBy(row).agg(F.collect_list("key").alias(name)), row, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))  # a url's few keys
 
 
 def _table(spark: SparkSession, keys: list[str]) -> DataFrame:
@@ -127,17 +128,18 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, blocked_hosts=BLOCK
     keys = {k: candidate_keys(F.col("host"), F.col("path"), v) for k, v in lists.items() if v}
     if keys:
         universe = materialize(out.select(F.explode(F.array_union(F.array().cast("array<string>"), F.flatten(F.array(*keys.values())))).alias("key")).distinct())
-    hits = {}
-    for k, v in lists.items():
-        cascade = build_cascade(_table(spark, v), universe, max_bits=max_bits) if v else None
-        if v and cascade is None:
-            raise ValueError(f"list {k!r} needs more than max_bits={max_bits} bits: look it up with listed_by_join()")
-        hits[k] = F.filter(keys[k], cascade.contains) if v else F.array().cast("array<string>")
-    out = out.withColumn("_allow", hits["allow"]).withColumn("_block", hits["block"]).withColumn("_host", F.size(hits["hosts"]) > 0)
+    cascades = {k: build_cascade(_table(spark, v), universe, max_bits=max_bits) if v else None for k, v in lists.items()}
+    if long := [k for k, v in lists.items() if v and cascades[k] is None]:
+        out = materialize(out.withColumn("_row", F.monotonically_increasing_id()))
+        for k in long:
+            out = hits_by_join(out, "_row", keys[k], _table(spark, lists[k]), f"_{k}")
+        out = out.drop("_row")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({f"_{k}": F.filter(keys[k], cascades[k].contains) if lists[k] else none for k in lists if k not in long})
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
     out = out.withColumn("rule", longest(F.concat("_allow", "_block"))["key"])
-    verdict = F.when(F.col("rule").isNotNull(), F.when(F.array_contains("_block", F.col("rule")), "block").otherwise("allow")).otherwise(F.when(F.col("_host"), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_allow", "_block", "_host")
+    verdict = F.when(F.col("rule").isNotNull(), F.when(F.array_contains("_block", F.col("rule")), "block").otherwise("allow")).otherwise(F.when(F.size("_hosts") > 0, "block").otherwise("allow"))
+    return out.withColumn("verdict", verdict).drop("_allow", "_block", "_hosts")
 
 
 def op4(df: DataFrame) -> DataFrame:
