@@ -95,16 +95,21 @@ pairs AS (SELECT r.id, t.tier, r.price AS own, c.comp_id, c.price, c.is_estimate
 """
 
 
-def _comparables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: All listings against all comparables; the queries without _all take a half of the comparables and a quarter of the listings.
+_whole = lambda sql: sql.replace(" WHERE p_partkey % 2 = 0", "").replace("id % 4 = 1 AND ", "")
+
+
+def _comparables(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part")
     size, key = F.col("p_size"), F.col("p_partkey")
     kind = F.when(size % 5 == 0, "land_only").when(size % 5 == 1, "package").when(size % 5 == 2, "dwelling").otherwise("unknown")
-    comps = p.where(key % 2 == 0).select(
+    comps = (p if whole else p.where(key % 2 == 0)).select(
         key.alias("comp_id"), F.col("p_brand").alias("suburb"), (size % 3 + 2).alias("bedrooms"), F.when(size % 6 != 0, (size * 20 + key % 13).cast("double")).alias("land_sqm"),
         F.when(key % 9 != 0, F.col("p_retailprice") * (10 + size % 17) / 10).alias("price"), kind.alias("kind"), (key % 4 == 1).alias("is_estimate"), (key % 3 == 0).alias("is_new"),
     )
     product = F.col("product")
-    rows = listings(spark, sf_dir).where((F.col("id") % 4 == 1) & product.isin("Land", "House & Land", "Apartment") & F.col("suburb").isNotNull() & F.col("bedrooms").isNotNull())
+    rows = listings(spark, sf_dir)
+    rows = (rows if whole else rows.where("id % 4 = 1")).where(product.isin("Land", "House & Land", "Apartment") & F.col("suburb").isNotNull() & F.col("bedrooms").isNotNull())
     rows = rows.select("id", "suburb", "bedrooms", "land_sqm", "price", F.when(product == "Land", "land_only").when(product == "House & Land", "package").otherwise("dwelling").alias("kind"))
     names = p.select(F.col("p_brand").alias("n")).distinct().withColumn("i", F.substring("n", 7, 9).cast("int"))
     other = names.select(F.col("n").alias("other"), F.col("i").alias("j"))
@@ -118,6 +123,12 @@ def comparables_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.nearest(rows, comps, near, 5).select("id", "comp_id", "km", "rank")
 
 
+@query(_whole(ORACLE_SQL["comparables_topk"]))
+def comparables_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, comps, near = _comparables(spark, sf_dir, True)
+    return ladder.nearest(rows, comps, near, 5).select("id", "comp_id", "km", "rank")
+
+
 _LADDER_SQL = "WITH " + _COMPS_SQL + """,
 n AS (SELECT r.id, t.tier, count(p.comp_id) AS n FROM rows r JOIN tiers t ON true LEFT JOIN pairs p ON p.id = r.id AND p.tier = t.tier GROUP BY 1, 2),
 chosen AS (SELECT id, min(tier) AS tier FROM n WHERE n >= 8 OR tier = 5 GROUP BY 1),
@@ -131,12 +142,23 @@ def ladder_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.choose(ladder.pairs(*_comparables(spark, sf_dir)), _comparables(spark, sf_dir)[0])
 
 
+@query(_whole(ORACLE_SQL["ladder_tier"]))
+def ladder_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ladder.choose(ladder.pairs(*_comparables(spark, sf_dir, True)), _comparables(spark, sf_dir, True)[0])
+
+
 @query(_LADDER_SQL + "SELECT id, tier, n_comps, round(median, 2) AS median, round(p[(floor(n_comps * 0.25))::INT + 1], 2) AS p25, round(p[(floor(n_comps * 0.75))::INT + 1], 2) AS p75, round(cheapest, 2) AS cheapest, round(below / n_comps * 100.0, 1) AS percentile, CASE WHEN tier <= 2 AND n_comps >= 12 THEN 'high' WHEN tier <= 3 AND n_comps >= 8 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN tier > 2 THEN 'insufficient' WHEN cheapest < own THEN 'flag' ELSE 'pass' END AS verdict FROM s WHERE n_comps >= 4")
 def competitive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, comps, near = _comparables(spark, sf_dir)
     return ladder.competitive(ladder.pairs(rows, comps, near), rows)
 
 
+@query(_whole(ORACLE_SQL["competitive_stats"]))
+def competitive_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, comps, near = _comparables(spark, sf_dir, True)
+    return ladder.competitive(ladder.pairs(rows, comps, near), rows)
+
+
 @query("WITH " + _COMPS_SQL + """,
 two AS (SELECT *, CASE WHEN is_new THEN 0 ELSE 1 END AS est FROM pairs),
 passes AS (SELECT id, tier, 0 AS pass, price, own FROM two WHERE is_new UNION ALL SELECT id, tier, 1, price, own FROM two),
@@ -147,6 +169,11 @@ def market_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.market(ladder.pairs(*_comparables(spark, sf_dir)))
 
 
+@query()
+def market_band_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ladder.market(ladder.pairs(*_comparables(spark, sf_dir, True)))
+
+
 @query("WITH e AS (SELECT p_brand, p_partkey, p_partkey % 4 <> 1 AS is_estimate, count(*) OVER (PARTITION BY p_brand) AS n, count(*) FILTER (p_partkey % 4 <> 1) OVER (PARTITION BY p_brand) AS est, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 <> 1 ORDER BY p_partkey) AS r FROM part) SELECT p_brand, count(*) AS n FROM e WHERE NOT is_estimate OR est / n <= 0.3 OR r <= floor(n * 0.3) GROUP BY 1")
 def estimate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a set with too many estimates, only three tenths of the set may be estimates, the first ones."""
