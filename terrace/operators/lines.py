@@ -47,10 +47,15 @@ def verify_price(rows: DataFrame, structure: DataFrame, key: str) -> DataFrame:
     """id, verdict, fix: what a row's own file says of its price. A total within the tolerance; a component exactly, with the least total
     that holds it as the fix."""
     s = structure.groupBy(key).agg(F.count("*").alias("n"))
-    j = rows.join(s, key, "left").join(structure, key, "left")
-    total = F.max(((F.col("role") == "total") & (F.abs(F.col("price") - F.col("amount")) <= TOLERANCE)).cast("int"))
-    fix = F.min(F.when((F.col("role") == "component") & (F.abs(F.col("price") - F.col("amount")) < 1), F.col("total")))
-    g = j.groupBy("id").agg(F.first("text").alias("text"), F.first("n").alias("n"), total.alias("is_total"), fix.alias("fix"))
+    band = lambda c, width: F.floor(F.col(c) / width)
+    # a file's totals by bands of the tolerance's width, its components by bands of one: a price meets its own band and the two beside it
+    total = structure.where("role = 'total'").groupBy(key, band("amount", TOLERANCE).alias("_b")).agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"))
+    part = structure.where("role = 'component'").groupBy(key, "amount").agg(F.min("total").alias("total")).withColumn("_b", band("amount", 1.0))
+    beside = lambda width: rows.select("id", key, "price", F.explode(F.array(*[band("price", width) + i for i in (-1, 0, 1)])).alias("_b"))
+    off = lambda c: F.abs(F.col("price") - F.col(c))
+    totals = beside(TOLERANCE).join(total, [key, "_b"]).where((off("lo") <= TOLERANCE) | (off("hi") <= TOLERANCE)).select("id").distinct().withColumn("is_total", F.lit(1))
+    fixes = beside(1.0).join(part, [key, "_b"]).where(off("amount") < 1).groupBy("id").agg(F.min("total").alias("fix"))
+    g = rows.join(s, key, "left").groupBy("id").agg(F.first("text").alias("text"), F.first("n").alias("n")).join(totals, "id", "left").join(fixes, "id", "left")
     verdict = F.when(F.col("text").rlike(COMPONENT_PRODUCT), "PART SOLD ALONE").when(F.col("n").isNull(), "NO EVIDENCE").when(F.col("is_total") == 1, "TOTAL").when(F.col("fix").isNotNull(), "COMPONENT").otherwise("NOT FOUND")
     return g.select("id", verdict.alias("verdict"), F.when(verdict == "COMPONENT", F.col("fix")).alias("fix"))
 

@@ -113,17 +113,26 @@ def header_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(_k().alias("id"), links.is_column_header(line).alias("column_header"), links.is_group_header(line).alias("group_header"), (links.is_price_fragment(line) & line.contains("$")).alias("fragment"))
 
 
+#: All of part; the queries without _all take its first lines and a few others.
+_whole = lambda sql: sql.replace(" WHERE p_partkey < 400 OR p_partkey % 50 = 0", "").replace(" WHERE p_partkey < 400 AND ", " WHERE ").replace(" WHERE p_partkey < 400", "")
+
+
 @query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 WHEN p_size % 3 = 1 THEN 9000 ELSE 0 END)::DOUBLE AS t FROM part WHERE p_partkey < 400),
 g AS (SELECT * FROM l WHERE t - a - b <= 2000)
 SELECT DISTINCT * FROM (SELECT file, 'total' AS role, t AS amount, t AS total FROM g UNION ALL SELECT file, 'component', a, t FROM g UNION ALL SELECT file, 'component', b, t FROM g)""")
 def price_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.price_structure(_price_lines(spark, sf_dir).where("id < 400"), "file", "line")
+
+
+@query(_whole(ORACLE_SQL["price_structure"]))
+def price_structure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.price_structure(_price_lines(spark, sf_dir), "file", "line")
 
 
 def _price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.when(_z() % 3 == 0, 1500).when(_z() % 3 == 1, 9000).otherwise(0)
     line = F.concat(F.lit("Lot 9 land "), _money(300000 + _k()), F.lit(" build $250,000 = $"), _money(550000 + _k() + off))
-    return _part(spark, sf_dir).where(_k() < 400).select(F.col("p_brand").alias("file"), line.alias("line"))
+    return _part(spark, sf_dir).select(_k().alias("id"), F.col("p_brand").alias("file"), line.alias("line"))
 
 
 @query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 ELSE 0 END)::DOUBLE AS t FROM part WHERE p_partkey < 400 AND p_size % 3 <> 1),
@@ -132,11 +141,20 @@ j AS (SELECT id, bool_or(abs(price - t) <= 2000) AS total, min(CASE WHEN abs(pri
 v AS (SELECT id, CASE WHEN alone THEN 'PART SOLD ALONE' WHEN n = 0 THEN 'NO EVIDENCE' WHEN total THEN 'TOTAL' WHEN fix IS NOT NULL THEN 'COMPONENT' ELSE 'NOT FOUND' END AS verdict, fix FROM j)
 SELECT id, verdict, CASE WHEN verdict = 'COMPONENT' THEN fix END AS fix FROM v""")
 def price_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.when(_z() % 4 == 0, 300000 + _k()).when(_z() % 4 == 1, 550000 + _k()).when(_z() % 4 == 2, 250000).otherwise(999999).cast("double")
-    rows = _part(spark, sf_dir).where((_k() < 400) | (_k() % 50 == 0)).select(_k().alias("id"), F.col("p_brand").alias("file"), price.alias("price"), F.when(_k() % 10 == 0, "23 LAND ONLY").otherwise("a home").alias("text"))
+    rows = _priced(spark, sf_dir).where("id < 400 OR id % 50 = 0")
     return ops.verify_price(rows, price_structure(spark, sf_dir), "file")
 
 
+@query(_whole(ORACLE_SQL["price_verification"]))
+def price_verification_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.verify_price(_priced(spark, sf_dir), price_structure_all(spark, sf_dir), "file")
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.when(_z() % 4 == 0, 300000 + _k()).when(_z() % 4 == 1, 550000 + _k()).when(_z() % 4 == 2, 250000).otherwise(999999).cast("double")
+    return _part(spark, sf_dir).select(_k().alias("id"), F.col("p_brand").alias("file"), price.alias("price"), F.when(_k() % 10 == 0, "23 LAND ONLY").otherwise("a home").alias("text"))
+
+
 @query("""SELECT id, CASE WHEN bedrooms IS NOT NULL THEN bedrooms::VARCHAR WHEN id % 4 = 0 THEN '4' END AS bedrooms, CASE WHEN land_sqm IS NOT NULL THEN NULL WHEN id % 4 = 0 THEN '450' WHEN id % 4 = 1 THEN '612.5' END AS land FROM LISTINGS""")
 def rule_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(r"""SELECT * FROM VALUES ('a', 'bedrooms', r'(\d+) bdrm', 1), ('a', 'land', r'block (\d+)', 2), ('a', 'land', r'site ([\d.]+)', 3), ('b', 'land', r'site ([\d.]+)', 4), ('b', 'bedrooms', r'(\d+) bdrm', 5) AS t(cohort, field, pattern, ord)""")

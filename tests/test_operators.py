@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,15 @@ def test_market_prefers_new_builds(spark):
     found = spark.createDataFrame([(1, t, 100.0, i, 100.0 + i, False, i < 8) for t in (3, 4, 5) for i in range(20)], "id int, tier int, own double, comp_id int, price double, is_estimate boolean, is_new boolean")
     r = ladder.market(found).first()
     assert (r.established_used, r.tier, r.n_comps) == (False, 3, 8)
+
+
+def test_verdicts_of_many_prices_equal_all_pairs(spark):
+    r = random.Random(3)
+    structure = [(f, role, r.choice([250000.0, r.randint(2000, 2040) * 100.0, r.randint(0, 900) / 100 + 240000]), float(r.randint(400, 420) * 1000)) for f in "ab" for role in ("total", "component") for _ in range(30)]
+    seen = [(i, r.choice("abc"), r.choice(structure)[2] + r.choice([0.0, 0.99, 1.0, -1.0, 2000.0, -2000.0, 2000.01, -2000.01, 4000.0]), r.choice(["x", "LAND ONLY"])) for i in range(300)]
+    got = {x.id: (x.verdict, x.fix) for x in lines.verify_price(spark.createDataFrame(seen, "id int, file string, price double, text string"), spark.createDataFrame(structure, "file string, role string, amount double, total double"), "file").collect()}
+    for i, file, price, text in seen:
+        own = [s for s in structure if s[0] == file]
+        fix = min((s[3] for s in own if s[1] == "component" and abs(price - s[2]) < 1), default=None)
+        want = "PART SOLD ALONE" if text == "LAND ONLY" else "NO EVIDENCE" if not own else "TOTAL" if any(s[1] == "total" and abs(price - s[2]) <= 2000 for s in own) else "COMPONENT" if fix else "NOT FOUND"
+        assert got[i] == (want, fix if want == "COMPONENT" else None)
