@@ -110,6 +110,12 @@ def crm_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).where("id % 100 = 0").select("id", F.to_json(F.struct(F.concat(F.lit("Lot "), i.cast("string")).alias("name"), (i * 10).alias("price"))).alias("payload"))
 
 
+@query("SELECT id, '{\"name\":\"Lot ' || id || '\",\"price\":' || (id * 10) || '}' AS payload FROM LISTINGS")
+def crm_payload_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    return listings(spark, sf_dir).select("id", F.to_json(F.struct(F.concat(F.lit("Lot "), i.cast("string")).alias("name"), (i * 10).alias("price"))).alias("payload"))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN superseded_by <> '' THEN 'superseded' WHEN home IS NULL THEN 'state unknown' WHEN price > 2000 THEN 'over ceiling' END AS reason FROM LISTINGS)
 SELECT 'run' AS record, NULL AS reason, count(*) AS n FROM g UNION ALL SELECT 'candidates', NULL, count(*) FROM g WHERE reason IS NULL UNION ALL SELECT 'rejections', reason, count(*) FROM g WHERE reason IS NOT NULL GROUP BY reason""")
 def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
