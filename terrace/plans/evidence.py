@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 from ..functions.values import state_of_postcode
 from ..operators import channels, guards, names, places
+from ..session import cut
 from .catalogue import query as _query
 from .listings import listings, table
 
@@ -205,6 +206,18 @@ def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(*keys)).alias("place"), "id")
 
 
+@query("SELECT row_number() OVER (ORDER BY coalesce(home, 'zz'), suburb IS NULL, lower(suburb), coalesce(price, 0), id)::BIGINT AS place, id FROM LISTINGS")
+def export_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place in the export. Ranges of the keys are numbered each on its own; a range starts after the rows of those before it."""
+    keys = [F.coalesce("home", F.lit("zz")), F.col("suburb").isNull(), F.lower("suburb"), F.coalesce("price", F.lit(0.0)), F.col("id")]
+    # written once, so that both uses see the same ranges; the upper bits of the row's number are its range
+    at = cut(listings(spark, sf_dir).orderBy(*keys).select("id", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    n = at.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = n.alias("a").join(F.broadcast(n.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return at.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"), "id")
+
+
 @query("SELECT 'name' AS \"column\", count(*) AS n FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'notes', count(*) FROM customer WHERE c_custkey % 25 = 0")
 def pii_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
