@@ -1,24 +1,23 @@
 """N-gram Jaccard join by a grouped prefix join: documents of equal prefix and size form a group, groups
 are joined on prefix tokens and filtered, and only then expanded and verified on whole shingle sets.
 
-1. Equal sets collapse to one class (pre-aggregated by a 128-bit fingerprint).
-2. A class's shingles are ordered rare first: a third of all shingles is counted, which tells many that no other document has; a bounded
-   sample of documents lists the common ones. Any total order is right, so both change the cost and never the result. Its prefix is what
-   a partner must share.
-3. Classes of equal (size, prefix) form a group. Groups that share a prefix token are compared in rounds: each
-   token's groups are held against a few centres (not all pairs), which the length and position filters thin out; candidate
-   pairs are verified on whole sets and joined into components. A token whose groups are all in one component needs
-   nothing more. The classes of the other tokens are ordered anew by exact counts among themselves, so that all their unique shingles
-   are known, which bounds what they can share; their prefixes are joined once more and what passes is verified. A pair inside one
-   component is never needed, since components are the result, so no link between components is lost and a large group of near
-   copies costs a few times its size.
-4. Components come from label passing with pointer jumping over written tables.
-
-Sets travel only for classes that have a candidate. Joins with hot centres are plain inner joins, which Spark splits.
+1. Equal sets collapse to one class (pre-aggregated by a 128-bit fingerprint). Every text is hashed once for that.
+2. A part of all shingles (by hash, somewhat more than a prefix) is counted over the whole corpus by a shuffle. A class whose shingles are so often
+   its own that the rest can't reach the similarity has no partner and is done, which holds for most documents of a web corpus.
+3. Only the other classes' texts are read again. Their shingles are ordered, those that a bounded sample finds common last (any total
+   order is right, so the sample changes the cost and never the result). Classes of equal (size, prefix) form a group; a group carries
+   bounds of its members' 256-bit parity sketches, whose distance is never more than the sets' symmetric difference.
+4. Groups that share a prefix token are compared in rounds: each token's groups are held against a few centres (not all pairs), filtered by size, place
+   of the token and sketch; the nearest candidate of each class is verified on whole sets and joined into components. A token whose groups
+   are all in one component needs nothing more. What is left after the rounds is compared pair by pair across components, with the same
+   filters, and verified. A pair inside one component is never needed, since components are the result, so no link between components is lost and a
+   large group of near copies costs a few times its size.
+5. Components come from label passing with pointer jumping over written tables.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and is its own component; fewer than
-``k`` words give one shingle, the whole sequence; repeated rows and exact copies fall into one class; rows without a doc_id keep their
-n_shingles and get a null component; an empty table gives an empty result.
+``k`` words give one shingle, the whole sequence; repeated rows and exact copies fall into one class; of rows of one id with several
+texts each has its own text's component; rows without a doc_id keep their n_shingles and get a null component; ties (equal hashes, equal distances) are
+broken by id and change no result; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,16 +35,22 @@ from .common import columns_of, discard, materialize
 #: Words of a shingle, and the similarity as a percentage.
 K = 4
 PERCENT = 85
-#: Documents of the sample that orders shingles, about; shingles seen in fewer of them than ``MIN_SEEN`` count as rare; entries of the list at most.
+#: Documents of the sample that finds common shingles, about; shingles seen in fewer of them than ``MIN_SEEN`` count as rare; entries of the list at most.
 SAMPLE_DOCS = 10_000
 MIN_SEEN = 3
 MAX_COMMON = 1 << 17
-#: Centres of a token in a round; rounds at most before the last step; pairs per row that may be left for the last step to come earlier.
+#: Shingles that are counted, as a multiple of a prefix's share of a set.
+PROBE = 1.6
+#: Centres of a token in a round; the first round takes one of so many tokens; rounds at most before the last step; pairs per row that may be
+#: left for the last step to come earlier.
 CENTRES = 6
-ROUNDS = 2
+THIN = 8
+ROUNDS = 3
 LEFT_PER_ROW = 20
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
+#: Longs of a sketch.
+SKETCH = 4
 
 _ODD = np.uint64(0x9E3779B185EBCA87)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -117,7 +122,7 @@ def _need(n: np.ndarray | int, percent: int):
 def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
     """Shingles seen in MIN_SEEN or more sampled documents, rarest first: at most MAX_COMMON."""
     share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,71 +134,44 @@ def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
     return top["t"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
-def _probed(s: np.ndarray) -> np.ndarray:
-    """Whether shingles belong to the third of all whose documents are counted."""
-    return (s & np.uint64(0xFFFF)) < np.uint64(0x5555)
-
-
-def repeated(docs: DataFrame, k: int) -> np.ndarray:
-    """A filter over the probed shingles that two or more documents have. The others are surely unique; a third of all is
-    plenty to fill a prefix of fifteen hundredths with unique ones, which meet nobody and need not travel."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch["text"]]
-            if sets:
-                t = np.concatenate(sets)
-                yield pd.DataFrame({"t": t[_probed(t)].view(np.int64)})
-
-    met = materialize(docs.select("text").mapInPandas(each, "t long").groupBy("t").count().where("count > 1").select("t"))
-    out = bloom(met, met.count())
-    discard(met)
-    return out
-
-
 class _Order:
-    """A total order of shingles, about rarest first: surely unique ones, others, repeated ones, listed ones by rank; hashes break ties."""
+    """A total order of shingles: by hash, then the common ones, rarest first."""
 
-    def __init__(self, common: np.ndarray, repeats: np.ndarray):
+    def __init__(self, common: np.ndarray):
         self.rank = np.argsort(common)
-        self.common, self.repeats = common[self.rank], repeats
+        self.common = common[self.rank]
         bits = np.zeros(1 << 16, np.uint64)
         p = _bit_places(self.common, 1 << 22)
         np.bitwise_or.at(bits, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
         self.maybe = bits
 
-    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """s in order, and how many of it are surely unique."""
-        known = _probed(s)
-        known[known] = ~_passes(s[known], self.repeats)
-        rest, tail = s[~known], np.empty(0, np.uint64)
-        if len(self.common) and len(some := np.flatnonzero(_passes(rest, self.maybe))):
-            at = np.minimum(np.searchsorted(self.common, rest[some]), len(self.common) - 1)
-            hit = self.common[at] == rest[some]
-            tail = rest[some[hit]][np.argsort(self.rank[at[hit]])]
-            rest = np.delete(rest, some[hit])
-        again = _probed(rest)
-        return np.concatenate([s[known], rest[~again], rest[again], tail]), int(known.sum())
+    def sort(self, s: np.ndarray) -> np.ndarray:
+        if len(self.common) and len(some := np.flatnonzero(_passes(s, self.maybe))):
+            at = np.minimum(np.searchsorted(self.common, s[some]), len(self.common) - 1)
+            hit = self.common[at] == s[some]
+            return np.concatenate([np.delete(s, some[hit]), s[some[hit]][np.argsort(self.rank[at[hit]])]])
+        return s
+
+
+def _digest(s: np.ndarray) -> tuple[bytes | None, int]:
+    """16 bytes that stand for a set (None for the empty one), and eight of them as a long."""
+    fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+    return fp, int.from_bytes(fp[:8], "little", signed=True) if fp else 0
 
 
-def fingerprints(docs: DataFrame, k: int, percent: int, order: _Order) -> DataFrame:
-    """doc_id, n, fp (16 bytes of the set; null if empty), g (of size and prefix); of the prefix what is not surely unique: tokens and places."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # at most 16 bytes * MAX_COMMON and MAX_BITS
+def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, fp (16 bytes of the set; null if empty), f (eight of them), probed: the shingles that are counted."""
+    probe = np.uint64(int(min(1.0, PROBE * (100 - percent) / 100) * 0xFFFF))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = shared.value
         for batch in batches:
             rows = []
             for doc_id, t in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(t, k)
-                n, fp = len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                p, unique = order.sort(s)
-                p = p[: n - _need(n, percent) + 1 if n else 0]
-                g = xxhash.xxh3_64_intdigest(p.tobytes(), seed=n) - (1 << 63)
-                rows.append((doc_id, n, fp, g, p[unique:].view(np.int64), min(unique, len(p))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "g", "prefix", "first"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(s), *_digest(s), s[(s & np.uint64(0xFFFF)) <= probe].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "f", "probed"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n long, fp binary, g long, prefix array<long>, first int")
+    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n long, fp binary, f long, probed array<long>")
 
 
 def _bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -220,14 +198,49 @@ def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _with_candidates(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id, f of the classes whose counted shingles don't rule out a partner: of n shingles a partner shares n * percent / 100 at least,
+    none of which is the class's own."""
+    owned = known.select("f", F.explode("probed").alias("t")).groupBy("t").agg(F.min("f").alias("f"), F.max("f").alias("other")).where("f = other").groupBy("f").agg(F.count("*").alias("own"))
+    left = classes.join(owned, "f", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n") * percent)
+    return materialize(left.select(F.col("label").alias("id"), "f"))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """For the wanted classes (id, f): n, s (the whole set), g (of size and prefix), prefix and b0.. (the parity sketch). Texts stay where they are; a
+    filter of bounded size keeps most other texts from being hashed."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((bloom(wanted.select("id"), wanted.count()), _Order(common)))  # at most 16 bytes * MAX_COMMON and MAX_BITS
+    names = ["id", "f", "n", "s", "g", "prefix", *[f"b{j}" for j in range(SKETCH)]]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maybe, order = shared.value
+        for batch in batches:
+            batch, rows = batch[_passes(batch["id"].to_numpy(np.int64), maybe)], []
+            for i, t in zip(batch["id"], batch["text"]):
+                if n := len(s := shingle_set(t, k)):
+                    p = order.sort(s)[: n - _need(n, percent) + 1]
+                    parity = np.bincount((s >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                    sketch = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+                    rows.append((i, _digest(s)[1], n, s.view(np.int64), xxhash.xxh3_64_intdigest(p.tobytes(), seed=n) - (1 << 63), p.view(np.int64), *sketch))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = "id long, f long, n long, s array<long>, g long, prefix array<long>, " + ", ".join(f"b{j} long" for j in range(SKETCH))
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInPandas(each, schema)
+    return materialize(made.join(wanted, ["id", "f"], "left_semi").dropDuplicates(["id", "f"]))
+
+
 def _pairs_ok(na: Column, nb: Column, percent: int) -> Column:
     return F.greatest(na, nb) * percent <= F.least(na, nb) * 100
 
 
-def _position_ok(na, ia, nb, ib, percent: int) -> Column:
-    """Whether sets that meet at these places of the order (from 0), first or not, may still share enough."""
-    most = F.least(na - ia, nb - ib) + F.least(ia, ib)
-    return most * (100 + percent) >= (na + nb) * percent
+def _place_ok(na, ia, nb, ib, percent: int) -> Column:
+    """Whether sets whose first common token stands at these places of the order (from 0) may share enough. Every similar pair passes at its first one."""
+    return F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent
+
+
+def _sketch_ok(differ: Column, na: Column, nb: Column, percent: int) -> Column:
+    return differ * (100 + percent) <= (na + nb) * (100 - percent)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,97 +271,60 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df (doc_id, text)."""
     docs = columns_of(df, doc_id="long", text="string")
-    order = _Order(common_shingles(docs, k, docs.count()), repeated(docs, k))
-    prints = materialize(fingerprints(docs, k, percent, order))
+    prints = materialize(fingerprints(docs, k, percent))
     known = prints.where("fp IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("doc_id").alias("label")))
-    links = _linked(docs, known, classes, k, percent)
+    classes = materialize(known.groupBy("fp").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.min("doc_id").alias("label")))
+    wanted = _with_candidates(known, classes, percent)
+    links = None
+    if not wanted.isEmpty():
+        sets = _sets_of(docs, wanted, k, percent, common_shingles(docs, k, prints.count()))
+        links = _linked(sets, percent)
+        discard(sets)
+    discard(wanted)
     # classes without any link keep their own label
     own = classes.select("fp", "label") if links is None else classes.join(links.select(F.col("id").alias("label"), F.col("label").alias("joined")), "label", "left").select("fp", F.coalesce("joined", "label").alias("label"))
     return prints.select("doc_id", "n", "fp").join(own, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
-def _meeting_tokens(known: DataFrame) -> DataFrame:
-    """t, g, n, i: prefix tokens (and their places) that classes of several groups have, and a few others."""
-    met = materialize(known.select("g", F.explode("prefix").alias("t")).groupBy("t").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("t"))
-    shared = known.sparkSession.sparkContext.broadcast(bloom(met, met.count()))
-    discard(met)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                sizes = batch["prefix"].map(len).to_numpy()
-                t = np.concatenate(batch["prefix"].to_numpy()).astype(np.int64)
-                i = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes - batch["first"].to_numpy(), sizes)
-                keep = _passes(t, shared.value)
-                yield pd.DataFrame({"t": t[keep], "g": np.repeat(batch["g"].to_numpy(np.int64), sizes)[keep], "n": np.repeat(batch["n"].to_numpy(np.int64), sizes)[keep], "i": i[keep].astype(np.int32)})
-
-    return known.select("g", "n", "prefix", "first").mapInPandas(each, "t long, g long, n long, i int").groupBy("t", "g").agg(F.first("n").alias("n"), F.first("i").alias("i"))
-
-
-def _linked(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
     """id, label for the classes that have a link; None if none has. A class goes by its smallest doc_id."""
-    post = materialize(_meeting_tokens(known))
-    state = classes.select("g", F.col("label").alias("id"), F.col("label").alias("c"))
+    tokens = sets.select("g", F.posexplode("prefix").alias("i", "t")).groupBy("t", "g").agg(F.first("i").alias("i"))
+    met = tokens.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
+    post = materialize(tokens.join(met, "t", "left_semi"))
     edges = at = None
     for number in range(ROUNDS + 1):
-        if at is not None:
-            moved = at.select(F.col("id").alias("_i"), F.col("label").alias("_c"))
-            state = materialize(classes.join(moved, classes["label"] == moved["_i"], "left").select("g", F.col("label").alias("id"), F.coalesce("_c", "label").alias("c")))
-        span = materialize(state.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")))
-        placed = post.join(span, "g")
+        state = sets.select("g", "id", "n", *[f"b{j}" for j in range(SKETCH)])
+        if at is None:
+            state = state.withColumn("c", F.col("id"))
+        else:
+            state = state.join(at.select("id", F.col("label").alias("_c")), "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+        state = materialize(state)
+        bounds = [f(f"b{j}").alias(f"{name}{j}") for name, f in (("lo", F.bit_and), ("hi", F.bit_or)) for j in range(SKETCH)]
+        span = materialize(state.groupBy("g").agg(F.count("*").alias("size"), F.first("n").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), *bounds))
+        placed = (post.where(F.pmod(F.shiftright("t", 32), F.lit(THIN)) == 0) if number == 0 and ROUNDS else post).join(span, "g")
         if number:
             mixed = placed.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
             placed = placed.join(mixed, "t", "left_semi")
         placed = materialize(placed)
-        inner = span.where("c0 < c1").select("g")
-        if not (rows := placed.count()) and inner.isEmpty():
+        inner = span.where("c0 < c1").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+        rows = placed.count()
+        if number and not rows and inner.isEmpty():
+            discard(placed, span, state)
             break
         last = number == ROUNDS or number > 0 and _left_over(placed) <= LEFT_PER_ROW * rows
-        if last:
-            contested = materialize(state.join(placed.select("g").union(inner).distinct(), "g", "left_semi").select("id", "c"))
-            sets = _sets_of(docs, contested.select("id"), k)
-            pairs = materialize(_refined_pairs(sets, contested, percent))
-        else:
-            found = inner.select(F.col("g").alias("ga"), F.col("g").alias("gb")).union(_star_pairs(placed, percent, number))
-            pairs = materialize(_expand(found, state))
-            sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
+        pairs = materialize(_all_pairs(_met_pairs(placed, percent).union(inner), state, percent) if last else _nearest(_star_pairs(placed, percent, number).union(inner), state, percent))
         good = materialize(verify(pairs, sets, percent))
-        discard(pairs, sets, post, *([span] if number else []))
+        discard(pairs, placed, span, state)
         if not good.isEmpty():
             edges = good if edges is None else edges.union(good)
-            at = components(edges)
+            old, at = at, components(edges)
+            discard(old)
         if last:
             break
-        post = placed.select("t", "g", "n", "i")
-        post.terrace_path = placed.terrace_path
+    discard(post)
     return at
 
 
-def _refined_pairs(sets: DataFrame, contested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of contested classes of different components that may be similar: their shingles are counted among themselves, which is exact
-    for every partner that is left, and their prefixes, rarest first, are joined."""
-    e = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
-    counted = e.groupBy("t").agg(F.count("*").alias("df"))
-    shared = lambda b: F.count_if((F.col("df") > 1) & (F.pmod("t", F.lit(16)) == b))
-    packed = [sum((F.shiftleft(shared(4 * k + b), 16 * b) for b in range(1, 4)), shared(4 * k)).alias(f"m{k}") for k in range(4)]
-    ranked = e.join(counted, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"), *packed)  # one document's own shingles
-    need = F.ceil(F.col("n") * percent / 100).cast("int")
-    u = F.size(F.filter("o", lambda x: x.df == 1))
-    ms = [f"m{k}" for k in range(4)]
-    p = ranked.select("id", "n", *ms, u.alias("u"), F.slice("o", u + 1, F.greatest(F.lit(0), F.col("n") - need + 1 - u)).alias("o")).where((F.size("o") > 0) & (100 * (F.col("n") - F.col("u")) >= percent * F.col("n")))
-    p = p.select("id", "n", *ms, "u", F.posexplode("o").alias("i", "x")).select("id", "n", *ms, "u", (F.col("i") + F.col("u")).alias("i"), "x.t").join(contested, "id")
-    q = p.select("t", *[F.col(c).alias(f"{c}x") for c in ("id", "n", *ms, "u", "i", "c")])
-    share = F.least(F.col("n") - F.col("i"), F.col("nx") - F.col("ix")) + F.least(F.col("i") - F.col("u"), F.col("ix") - F.col("ux"))
-    enough = lambda most: most * (100 + percent) >= (F.col("n") + F.col("nx")) * percent
-    # shared shingles by sixteenths: in none of them can two sets share more than the smaller has. Counts of 16 bits; longer sets pass
-    part = lambda c, b: F.shiftrightunsigned(c, 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    most = sum(F.least(part(m, b), part(f"{m}x", b)) for m in ms for b in range(4))
-    near = _pairs_ok(F.col("n"), F.col("nx"), percent) & enough(share) & (enough(most) | (F.greatest("n", "nx") >= 1 << 15))
-    j = p.join(q, (p["t"] == q["t"]) & (F.col("id") < F.col("idx")) & (F.col("c") != F.col("cx")) & near)
-    return j.select(F.col("id").alias("a"), F.col("idx").alias("b")).distinct()
-
-
 def _left_over(placed: DataFrame) -> int:
     """Pairs of groups across components, summed over tokens (groups of more than one component count with all)."""
     per = placed.groupBy("t", F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(-1 - F.col("c0")).alias("c")).agg(F.sum(F.col("size").cast("double")).alias("m"))
@@ -356,45 +332,51 @@ def _left_over(placed: DataFrame) -> int:
     return int(per.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id and the whole set, for the wanted ids. Texts stay where they are; a filter of bounded size keeps most other sets from travelling."""
-    ids = materialize(wanted)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
+_OF_GROUP = ("g", "n", "i", "c0", "c1", *[f"{name}{j}" for name in ("lo", "hi") for j in range(SKETCH)])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[_passes(batch["id"].to_numpy(np.int64), shared.value)]
-            sets = [shingle_set(t, k) for t in batch["text"]]
-            yield pd.DataFrame([(i, s.view(np.int64)) for i, s in zip(batch["id"], sets) if len(s)], columns=["id", "s"])
 
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInPandas(each, "id long, s array<long>")
-    # of equal rows one is enough; an id on several texts keeps the set of each
-    return materialize(made.join(ids, "id", "left_semi").groupBy("id", F.xxhash64("s").alias("_h")).agg(F.first("s").alias("s")).drop("_h"))
+def _near(percent: int) -> Column:
+    """Whether two groups that meet at a token, the second's columns with an x, may hold a similar pair that isn't in one component yet."""
+    apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0x") == F.col("c1x")) & (F.col("c0") == F.col("c0x")))
+    n, nx = F.col("n"), F.col("nx")
+    differ = sum(F.bit_count((F.col(f"lo{j}").bitwiseAND(F.bitwise_not(F.col(f"hi{j}x")))).bitwiseOR(F.col(f"lo{j}x").bitwiseAND(F.bitwise_not(F.col(f"hi{j}"))))) for j in range(SKETCH))
+    return apart & _pairs_ok(n, nx, percent) & _place_ok(n, F.col("i"), nx, F.col("ix"), percent) & _sketch_ok(differ, n, nx, percent)
 
 
-def _star_pairs(post: DataFrame, percent: int, number: int) -> DataFrame:
-    """Each token's groups against a few of them, unless surely in one component: half of the centres have few rarer shingles before the
-    token, as the original of a group of edited copies has; half are chosen by hash. Another choice in every round."""
-    own = lambda k: F.xxhash64("g", F.lit(number * CENTRES + k))
-    best = [F.min(F.struct((F.col("i") if k % 2 else F.lit(0)).alias("rarer"), own(k).alias("o"), "g", "n", "i", "c0", "c1")) for k in range(CENTRES)]
-    pick = lambda x: F.struct(*[x[c].alias(f"{c}x") for c in ("g", "n", "i", "c0", "c1")])
-    centre = post.groupBy("t").agg(F.array_distinct(F.transform(F.array(*best), pick)).alias("xs"))
-    j = post.join(centre, "t").select("*", F.explode("xs").alias("x")).select("t", "g", "n", "i", "c0", "c1", "x.*")
-    return _filtered(j.where("g <> gx"), percent)
+def _star_pairs(placed: DataFrame, percent: int, number: int) -> DataFrame:
+    """ga, gb: each token's groups (gb) against a few of them: two by hash, two by hash of their component, so that small components have their turn,
+    and two that have few tokens before this one, as the original of a group of edited copies has. Another choice in every round."""
+    first = lambda k: (F.lit(0), F.xxhash64("c0", F.lit(number * CENTRES + k)), F.col("i"))[k % 3]
+    best = [F.min(F.struct(first(k).alias("first"), F.xxhash64("g", F.lit(number * CENTRES + k)).alias("o"), *_OF_GROUP)) for k in range(CENTRES)]
+    pick = lambda x: F.struct(*[x[c].alias(f"{c}x") for c in _OF_GROUP])
+    centre = placed.groupBy("t").agg(F.array_distinct(F.transform(F.array(*best), pick)).alias("xs"))
+    j = placed.join(centre, "t").select("*", F.explode("xs").alias("x")).select(*_OF_GROUP, "x.*")
+    return j.where((F.col("g") != F.col("gx")) & _near(percent)).select(F.col("gx").alias("ga"), F.col("g").alias("gb")).distinct()
 
 
-def _filtered(joined: DataFrame, percent: int) -> DataFrame:
-    apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0x") == F.col("c1x")) & (F.col("c0") == F.col("c0x")))
-    near = _pairs_ok(F.col("n"), F.col("nx"), percent) & _position_ok(F.col("n"), F.col("i"), F.col("nx"), F.col("ix"), percent)
-    return joined.where(apart & near).select(F.col("gx").alias("ga"), F.col("g").alias("gb")).distinct()
+def _met_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """ga, gb: all groups that meet at a token and may hold a similar pair."""
+    x = placed.select("t", *[F.col(c).alias(f"{c}x") for c in _OF_GROUP])
+    j = placed.join(x, (placed["t"] == x["t"]) & (F.col("g") < F.col("gx")) & _near(percent))
+    return j.select(F.col("g").alias("ga"), F.col("gx").alias("gb")).distinct()
+
+
+def _class_pairs(pairs: DataFrame, a: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """a, b, differ: classes of the groups' pairs (ga, gb) whose sketches allow it and that aren't in one component."""
+    own = lambda df, s: df.select(F.col("g").alias(f"g{s}"), F.col("id").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"b{j}").alias(f"{s}{j}") for j in range(SKETCH)])
+    differ = sum(F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(SKETCH))
+    out = pairs.join(own(a, "a"), "ga").join(own(state, "b"), "gb").withColumn("differ", differ)
+    return out.where((F.col("ca") != F.col("cb")) & _sketch_ok(F.col("differ"), F.col("na"), F.col("nb"), percent)).select("a", "b", "differ")
+
+
+def _nearest(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """a, b: each class of a group's second side with the nearest of the first sides' leaders. What isn't joined so is left to later rounds."""
+    leader = state.groupBy("g").agg(F.min(F.struct("id", "c", "n", *[f"b{j}" for j in range(SKETCH)])).alias("x")).select("g", "x.*")
+    return _class_pairs(pairs, leader, state, percent).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
 
 
-def _expand(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs of classes for pairs of groups: each member of the second against the first's leader."""
-    b = state.select(F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    a = state.groupBy(F.col("g").alias("ga")).agg(F.min(F.struct("id", "c")).alias("x")).select("ga", F.col("x.id").alias("a"), F.col("x.c").alias("ca"))
-    out = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _all_pairs(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    return _class_pairs(pairs, state, state, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op1(df: DataFrame) -> DataFrame:
