@@ -6,7 +6,7 @@ are joined on prefix tokens and filtered, and only then expanded and verified on
    its own that the rest can't reach the similarity has no partner and is done, which holds for most documents of a web corpus.
 3. Only the other classes' texts are read again. Their shingles are ordered, those that a bounded sample finds common last (any total
    order is right, so the sample changes the cost and never the result). Classes of equal (size, prefix) form a group; a group carries
-   bounds of its members' 256-bit parity sketches, whose distance is never more than the sets' symmetric difference.
+   bounds of its members' 512-bit parity sketches, whose distance is never more than the sets' symmetric difference.
 4. Groups that share a prefix token are compared in rounds: each token's groups are held against a few centres (not all pairs), filtered by size, place
    of the token and sketch; the nearest candidate of each class is verified on whole sets and joined into components. A token whose groups
    are all in one component needs nothing more. What is left after the rounds is compared pair by pair across components, with the same
@@ -46,11 +46,11 @@ PROBE = 1.6
 CENTRES = 6
 THIN = 8
 ROUNDS = 3
-LEFT_PER_ROW = 20
+LEFT_PER_ROW = 2
 #: Bits of a filter that only saves traffic: 8 MB.
 MAX_BITS = 1 << 26
 #: Longs of a sketch.
-SKETCH = 4
+SKETCH = 8
 
 _ODD = np.uint64(0x9E3779B185EBCA87)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -335,29 +335,35 @@ def _left_over(placed: DataFrame) -> int:
 _OF_GROUP = ("g", "n", "i", "c0", "c1", *[f"{name}{j}" for name in ("lo", "hi") for j in range(SKETCH)])
 
 
-def _near(percent: int) -> Column:
-    """Whether two groups that meet at a token, the second's columns with an x, may hold a similar pair that isn't in one component yet."""
-    apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0x") == F.col("c1x")) & (F.col("c0") == F.col("c0x")))
-    n, nx = F.col("n"), F.col("nx")
-    differ = sum(F.bit_count((F.col(f"lo{j}").bitwiseAND(F.bitwise_not(F.col(f"hi{j}x")))).bitwiseOR(F.col(f"lo{j}x").bitwiseAND(F.bitwise_not(F.col(f"hi{j}"))))) for j in range(SKETCH))
-    return apart & _pairs_ok(n, nx, percent) & _place_ok(n, F.col("i"), nx, F.col("ix"), percent) & _sketch_ok(differ, n, nx, percent)
+def _differ(a: dict, b: dict) -> Column:
+    """Sketch bits in which all members of one group differ from all of the other: no more than their sets' symmetric difference."""
+    apart = lambda j: a[f"lo{j}"].bitwiseAND(F.bitwise_not(b[f"hi{j}"])).bitwiseOR(b[f"lo{j}"].bitwiseAND(F.bitwise_not(a[f"hi{j}"])))
+    return sum(F.bit_count(apart(j)) for j in range(SKETCH))
+
+
+def _near(a: dict, b: dict, percent: int) -> Column:
+    """Whether two groups that meet at a token may hold a similar pair that isn't in one component yet."""
+    apart = ~((a["c0"] == a["c1"]) & (b["c0"] == b["c1"]) & (a["c0"] == b["c0"]))
+    return apart & _pairs_ok(a["n"], b["n"], percent) & _place_ok(a["n"], a["i"], b["n"], b["i"], percent) & _sketch_ok(_differ(a, b), a["n"], b["n"], percent)
 
 
 def _star_pairs(placed: DataFrame, percent: int, number: int) -> DataFrame:
-    """ga, gb: each token's groups (gb) against a few of them: two by hash, two by hash of their component, so that small components have their turn,
+    """ga, gb: each token's groups (gb) with the nearest of a few of them: two by hash, two by hash of their component, so that small components have their turn,
     and two that have few tokens before this one, as the original of a group of edited copies has. Another choice in every round."""
     first = lambda k: (F.lit(0), F.xxhash64("c0", F.lit(number * CENTRES + k)), F.col("i"))[k % 3]
     best = [F.min(F.struct(first(k).alias("first"), F.xxhash64("g", F.lit(number * CENTRES + k)).alias("o"), *_OF_GROUP)) for k in range(CENTRES)]
-    pick = lambda x: F.struct(*[x[c].alias(f"{c}x") for c in _OF_GROUP])
-    centre = placed.groupBy("t").agg(F.array_distinct(F.transform(F.array(*best), pick)).alias("xs"))
-    j = placed.join(centre, "t").select("*", F.explode("xs").alias("x")).select(*_OF_GROUP, "x.*")
-    return j.where((F.col("g") != F.col("gx")) & _near(percent)).select(F.col("gx").alias("ga"), F.col("g").alias("gb")).distinct()
+    centre = materialize(placed.groupBy("t").agg(F.array_distinct(F.transform(F.array(*best), lambda x: F.struct(*[x[c].alias(c) for c in _OF_GROUP]))).alias("xs")))
+    j = placed.join(centre, "t")
+    mine = {c: F.col(c) for c in _OF_GROUP}
+    near = F.filter("xs", lambda x: (x["g"] != F.col("g")) & _near(mine, {c: x[c] for c in _OF_GROUP}, percent))
+    nearest = F.array_min(F.transform(near, lambda x: F.struct(_differ(mine, {c: x[c] for c in _OF_GROUP}).alias("differ"), x["g"].alias("g"))))
+    return j.select(nearest["g"].alias("ga"), F.col("g").alias("gb")).where("ga IS NOT NULL").distinct()
 
 
 def _met_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """ga, gb: all groups that meet at a token and may hold a similar pair."""
     x = placed.select("t", *[F.col(c).alias(f"{c}x") for c in _OF_GROUP])
-    j = placed.join(x, (placed["t"] == x["t"]) & (F.col("g") < F.col("gx")) & _near(percent))
+    j = placed.join(x, (placed["t"] == x["t"]) & (F.col("g") < F.col("gx")) & _near({c: F.col(c) for c in _OF_GROUP}, {c: F.col(f"{c}x") for c in _OF_GROUP}, percent))
     return j.select(F.col("g").alias("ga"), F.col("gx").alias("gb")).distinct()
 
 
