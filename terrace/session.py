@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-#: Rows of a batch that goes to a Python worker: whole documents are long, and a worker holds a batch several times.
+#: Rows of a batch that goes to a Python worker: whole documents are long, and a worker holds a batch several times. (Spark bounds its bytes, too.)
 BATCH_ROWS = 1_000
 
 
@@ -26,8 +26,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that the session names, a temporary one where it names none (as in tests)."""
+    """The folder that driver and executors share: the one that the session names. A local session (as in tests) that names none gets a temporary one; on
+    a cluster that would be lost work, so it is an error."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not (master := spark.sparkContext.master).split("[")[0] == "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="terrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
