@@ -59,5 +59,13 @@ def remainder(doc_id: Column, mod: int) -> Column:
 def columns_of(df: DataFrame, **defaults: str) -> DataFrame:
     """The named columns by type, null where df has none, so that an operator never trips over a missing or extra one."""
     ship_package(df.sparkSession)
-    have = {c.lower(): c for c in df.columns}
-    return df.select(*[(df[have[c.lower()]] if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in defaults.items()])
+    columns = df.columns
+
+    def place(name: str) -> int | None:
+        """By exact name first, then whatever the case; of equal names the first."""
+        found = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+        return found[0] if found else None
+
+    mine = {c: at for c in defaults if (at := place(c)) is not None}
+    df = df.toDF(*[f"_{i}" for i in range(len(columns))])
+    return df.select(*[(F.col(f"_{mine[c]}") if c in mine else F.lit(None)).cast(t).alias(c) for c, t in defaults.items()])

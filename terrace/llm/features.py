@@ -39,19 +39,28 @@ def dense(text: str | None) -> list[float]:
     ]
 
 
+def _part(docs: DataFrame, share: float, seed: int) -> DataFrame:
+    """docs with ``o``, a hash of id and text, of which about ``share`` stay: rows of one id don't come all or none."""
+    return docs.withColumn("o", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))).where(F.col("o") < int(min(1.0, share) * (1 << 30)))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, most: int) -> DataFrame:
-    """text and y of training rows: those whose crc32 remainder isn't 1, a hash-chosen part of about ``most`` of them.
-    A document with several labels counts once for each; null labels and texts count as absent."""
+    """text, y and o (a hash) of training rows: those whose crc32 remainder isn't 1, a hash-chosen part of about ``most`` of them. What is gathered of them is
+    cut to ``most`` by ``bounded``, so that repeated rows can't exceed it. A document with several labels counts once for each; null labels and texts
+    count as absent."""
     own = columns_of(labels, doc_id="long", **{label: "int"}).where(F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), mod) != 1))
-    n = own.count()
-    own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)))
-    return docs.where("text IS NOT NULL").join(own.select("doc_id", F.col(label).alias("y")), "doc_id").select("text", "y")
+    share = most / max(1, own.count())
+    return _part(docs.where("text IS NOT NULL"), share, 23).join(own.select("doc_id", F.col(label).alias("y")), "doc_id").select("text", "y", "o")
 
 
 def sample(docs: DataFrame, mod: int, most: int, n: int) -> DataFrame:
-    """About ``most`` training rows, by hash, without their labels."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
-    return docs.where((remainder(F.col("doc_id"), mod) != 1) & part).select("text")
+    """text and o of about ``most`` training rows, by hash, without their labels."""
+    return _part(docs.where(remainder(F.col("doc_id"), mod) != 1), most / max(1, n), 29).select("text", "o")
+
+
+def bounded(measured: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of small measures, the first by hash."""
+    return measured.orderBy("o").limit(most).drop("o")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -1,12 +1,14 @@
 """Licence scans by diagonal voting: every rolling word pair of a document that a template holds is a vote for the
 diagonal (place in the document minus place in the template); votes are counted per diagonal, neighbouring diagonals
-are merged (a word put in or left out shifts the rest by one), and a span is kept once its words cover the template.
+are merged (a word put in or left out shifts the rest by one) unless one of them covers the template alone, and a span is kept once its words cover
+the template.
 
 The templates are a few hundred word pairs, a parameter and not data, so they are broadcast and documents stay where they are; only
 votes, a few rows for a document that has licence wording, are shuffled, by document. Word pairs are joined by hash and compared as text.
 
 Defined results: null and empty texts have no words and no labels; repeated rows get equal results (votes are counted once per
-distinct doc_id and text); an empty table gives an empty result.
+distinct doc_id and text); ties between merged spans go to the smaller diagonal; very long texts are one row until their words
+are joined; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -68,15 +70,21 @@ def scan(df: DataFrame, templates=TEMPLATES, cover: float = COVER) -> tuple[Data
     votes = votes.select("doc_id", "th", "tid", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"), "need", "length", "label", "base").distinct()
     diagonals = votes.groupBy("doc_id", "th", "tid", "diagonal", "need", "length", "label", "base").agg(F.collect_set("tpos").alias("at"))  # a template's length at most
     order = Window.partitionBy("doc_id", "th", "tid").orderBy("diagonal")
-    merged = diagonals.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -1 << 20).over(order) > F.when(F.col("base"), 0).otherwise(SHIFT)).cast("int"))
-    merged = merged.withColumn("span", F.sum("new").over(order))
-    # the base phrases stand word for word: one diagonal each
-    merged = merged.withColumn("span", F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("span")))
-    spans = merged.groupBy("doc_id", "th", "tid", "span", "need", "length", "label", "base").agg(
-        F.min(F.col("diagonal") + F.array_min("at")).alias("start"), F.max(F.col("diagonal") + F.array_max("at") + 1).alias("end"), (F.size(F.array_distinct(F.flatten(F.collect_list("at")))) / F.first("need")).alias("covered")
-    )
-    tight = F.col("end") - F.col("start") + 1 <= F.col("length") + 2 * SHIFT
-    kept = spans.where(F.when(F.col("base"), F.col("covered") == 1).otherwise((F.col("covered") >= cover) & tight))
+    around, ahead = order.rangeBetween(-SHIFT, SHIFT), order.rangeBetween(0, SHIFT)
+    one = diagonals.withColumns({
+        "own": F.size("at") / F.col("need"), "start": F.col("diagonal") + F.array_min("at"), "end": F.col("diagonal") + F.array_max("at") + 1,
+    })
+    seen = one.withColumns({
+        "whole_near": F.max(F.col("own") >= cover).over(around), "merged": F.size(F.array_distinct(F.flatten(F.collect_list("at").over(ahead)))) / F.col("need"),  # 2 * SHIFT diagonals at most
+        "merged_start": F.min("start").over(ahead), "merged_end": F.max("end").over(ahead),
+    })
+    best = F.max(F.struct("merged", -F.col("diagonal"))).over(around) == F.struct("merged", -F.col("diagonal"))
+    seen = seen.withColumn("best", best)
+    # the base phrases stand word for word; a diagonal that covers enough is a span itself, others are merged with the neighbours ahead, best ones first
+    alone = F.when(F.col("base"), F.col("own") == 1).otherwise(F.col("own") >= cover)
+    joined = ~F.col("base") & ~F.col("whole_near") & F.col("best") & (F.col("merged") >= cover)
+    pick = lambda a, b: F.when(alone, F.col(a)).otherwise(F.col(b)).alias(a)
+    kept = seen.where(alone | joined).select("doc_id", "th", "label", "base", pick("start", "merged_start"), pick("end", "merged_end"), F.when(alone, F.col("own")).otherwise(F.col("merged")).alias("covered"))
     return docs.select("doc_id", "th", F.size("w").cast("long").alias("n_words")), kept.select("doc_id", "th", "label", "base", "start", "end", "covered")
 
 

@@ -4,7 +4,8 @@ Every rule is judged per line with SQL functions (no Python runs on executors),
 text and without a shuffle, so the cost is linear in the input and no key can be hot.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; repeated rows
-each get their own, equal result; extra columns are kept untouched by ``clean_lines``.
+each get their own, equal result; there are no ties to break; an empty table gives an empty result; very long texts are one row like any other; extra columns are
+kept untouched by ``clean_lines``, but for those that have the names of its results.
 """
 
 from __future__ import annotations
@@ -16,10 +17,17 @@ from .common import SPACE, columns_of, let, words
 
 #: Characters that count as symbols for the base figures (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture; a short line with one of them is boilerplate.
-FURNITURE = r"(?i)(cookie|javascript|privacy policy|terms of use|all rights reserved|sign in|log in|subscribe now|click here|lorem ipsum)"
+#: Phrases of page furniture (fixed values) in English, French, Spanish and German; a short line with one of them is boilerplate.
+FURNITURE = (
+    r"(?i)(cookie|javascript|privacy policy|terms of use|all rights reserved|sign in|log in|subscribe now|click here|lorem ipsum"
+    r"|politique de confidentialité|tous droits réservés|se connecter|cliquez ici|abonnez-vous"
+    r"|política de privacidad|todos los derechos reservados|iniciar sesión|haga clic|suscríbete"
+    r"|datenschutzerklärung|alle rechte vorbehalten|anmelden|hier klicken|newsletter abonnieren)"
+)
 #: Largest share of a document's characters that failing lines may hold.
 MAX_LOST = 0.5
+#: Bits of a window's place beside its hash in one long: more words than a text can have.
+PLACE_BITS = 28
 
 
 def _length_of(line: Column, pattern: str) -> Column:
@@ -45,30 +53,37 @@ def line_fails(line: Column) -> Column:
 def repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window which the text holds twice or more.
 
-    Windows are sorted as (hash, place) in one long each; neighbours of equal hash are compared word by
-    word, so a hash clash alone never counts.
+    Windows are sorted as (hash, place) in one long each and neighbours of equal hash are compared word by word. Where such neighbours differ, a
+    hash clash may stand between equal windows, so that text's windows are sorted by their words instead.
     """
+    bits = PLACE_BITS
+    at = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    three = lambda i: [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
+    same_words = lambda p, q: (F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
 
-    def count(bits: int) -> Column:
-        mask = (1 << bits) - 1
-        at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-        key = lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long"))
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
 
-        def same(a: Column, b: Column) -> Column:
-            return (F.shiftright(a, bits) == F.shiftright(b, bits)) & let(
-                F.struct(at(a).alias("p"), at(b).alias("q")),
-                lambda z: (F.get(w, z.p) == F.get(w, z.q)) & (F.get(w, z.p + 1) == F.get(w, z.q + 1)) & (F.get(w, z.p + 2) == F.get(w, z.q + 2)),
-            )
+    def neighbours(s: Column, same) -> Column:
+        """Places of neighbours that are the same; a window that has an equal one is in at least one such pair."""
+        return F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(F.get(s, j - 1), F.get(s, j)))
 
-        def covered(s: Column) -> Column:
-            # ends of neighbouring pairs; a window that has an equal one is in at least one such pair
-            pairs = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(F.get(s, j - 1), F.get(s, j)))
-            places = F.flatten(F.transform(pairs, lambda j: F.array(at(F.get(s, j - 1)), at(F.get(s, j)))))
-            return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
+    def by_hash(s: Column) -> Column:
+        hit = neighbours(s, lambda a, b: F.shiftright(a, bits) == F.shiftright(b, bits))
 
-        return let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), key)), covered)
+        def judged(hit: Column) -> Column:
+            places = F.transform(hit, lambda j: F.struct(at(F.get(s, j - 1)).alias("p"), at(F.get(s, j)).alias("q")))
+            return let(places, lambda z: F.when(F.forall(z, lambda x: same_words(x.p, x.q)), covered(F.flatten(F.transform(z, lambda x: F.array(x.p, x.q))))).otherwise(by_words()))
 
-    return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) < 1 << 20, count(20)).otherwise(count(28))
+        return let(hit, judged)
+
+    def by_words() -> Column:
+        listed = F.array_sort(F.transform(starts, lambda i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(three(i))], i.alias("i"))))
+        return let(listed, lambda s: covered(F.flatten(F.transform(neighbours(s, lambda a, b: (a.w0 == b.w0) & (a.w1 == b.w1) & (a.w2 == b.w2)), lambda j: F.array(F.get(s, j - 1).i, F.get(s, j).i)))))
+
+    key = lambda i: F.shiftleft(F.xxhash64(*three(i)), bits).bitwiseOR(i.cast("long"))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(F.sort_array(F.transform(starts, key)), by_hash))
 
 
 def measures(text: Column, w: Column) -> dict[str, Column]:

@@ -15,7 +15,8 @@ and a window inside one bucket, so a source that holds a third of all rows sprea
 it has buckets. Only one-row-per-source tables are ever gathered (``max_sources`` guards the broadcast).
 
 Defined results: null or empty texts have size 0 and are never drawn from; rows equal in doc_id, source and
-size are drawn alike; ties in the hash are broken by doc_id and block; an empty table gives an empty result.
+text are numbered and each is drawn on its own (which of equal rows is which is arbitrary); ties in the hash are broken by doc_id and block; other columns,
+whatever their names, are not read; an empty table gives an empty result.
 Draws depend on ids, sizes and ``seed`` only: reruns, other partitions and lost executors change nothing.
 """
 
@@ -117,29 +118,30 @@ def _with_sources(df: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
 
 
 def draw_blocks(docs: DataFrame, weights=WEIGHTS, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, block_words: int | None = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """docs: ``doc_id``, ``source``, ``size``. One row per block and epoch that some source may need: the document's columns, source_size,
-    target, copies (equal rows), epoch, block, block_size, ``shard`` (null: not drawn) and ``order_key`` (the order inside a shard).
+    """docs: ``doc_id``, ``source``, ``size``, ``variant`` (tells texts apart). One row per block and epoch that some source may need: the document's columns,
+    source_size, target, copy (the number among equal rows), epoch, block, block_size, ``shard`` (null: not drawn) and ``order_key`` (the order inside a shard).
     block_words None: a document is one block."""
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    docs = materialize(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("skey", skey))
+    docs = materialize(docs.groupBy("doc_id", "source", "size", "variant").agg(F.count("*").alias("copies")).withColumn("skey", skey))
     n_blocks = F.lit(1) if block_words is None else F.greatest(F.lit(1), F.ceil(F.col("size") / block_words)).cast("int")
-    sizes = docs.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum(n_blocks).alias("blocks"))
+    sizes = docs.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum(n_blocks * F.col("copies")).alias("blocks"))
     targets = materialize(source_targets(sizes, weights, fraction, max_epochs))
     n = targets.count()
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("blocks") / BUCKET))).cast("int")
     t = targets.select("skey", "source_size", "target", bits.alias("bits"))
     b = _with_sources(docs, t, n)
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_epochs - 1), F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") - 1)))))
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     b = b.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     b = b.withColumn("block_size", F.col("size") if block_words is None else F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
-    b = b.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "size", "block"))
+    b = b.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "size", "variant", "copy", "block"))
     b = b.withColumn("bucket", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)"))).drop("bits")
-    amount = F.col("block_size") * F.col("copies")
+    amount = F.col("block_size")
     place = ["skey", "epoch", "bucket"]
     sums = b.groupBy(*place).agg(F.sum(amount).alias("sum"), F.count("*").alias("cnt"))
     before = Window.partitionBy("skey").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*place, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum0"), F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("cnt0"))
-    inside = Window.partitionBy(*place).orderBy("h", "doc_id", "size", "block")
+    inside = Window.partitionBy(*place).orderBy("h", "doc_id", "size", "variant", "copy", "block")
     b = b.withColumn("rank", F.row_number().over(inside) - 1).withColumn("upto", F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     b = b.join(offsets, place).withColumn("rank", F.col("rank") + F.col("cnt0")).withColumn("drawn", (F.col("block_size") > 0) & (F.col("sum0") + F.col("upto") - amount / 2 <= F.col("target")))
     b = materialize(b.drop("sum0", "cnt0", "upto", "bucket"))
@@ -152,24 +154,27 @@ def draw_blocks(docs: DataFrame, weights=WEIGHTS, fraction: float = FRACTION, ma
 
 
 def sized(df: DataFrame) -> DataFrame:
-    return columns_of(df, doc_id="long", source="string", text="string").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    out = columns_of(df, doc_id="long", source="string", text="string")
+    return out.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("variant"))
 
 
 def op5(df: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, the words that the mix takes, and the shards that take them."""
     b = draw_blocks(sized(df))
-    per = b.groupBy("doc_id", "source", "size", "copies", "source_size", "target").agg(
+    per = b.groupBy("doc_id", "source", "size", "variant", "copy", "source_size", "target").agg(
         F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("block_size"))), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards")
     )
-    return per.select("doc_id", "size", "source_size", "target", "taken", "shards", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    return per.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def mix_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
-    """docs drawn whole: each row zero to ``max_epochs`` times, laid out by shard and shuffled inside each."""
-    base = docs.select(*[docs[c] for c in columns])
-    keyed = base.withColumn("_size", F.size(words(F.col("text"))).cast("long"))
-    drawn = draw_blocks(keyed.select("doc_id", "source", F.col("_size").alias("size")), block_words=None, **how).where("shard IS NOT NULL")
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_n"), "shard", "order_key")
-    # few rows per key: at most max_epochs draws of each distinct (doc_id, source, size)
-    out = keyed.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n")))
+    """docs drawn whole: each row zero to ``max_epochs`` times, laid out by shard and shuffled inside each. Rows equal in id, source and text
+    are drawn singly and come out with the smallest of their other columns."""
+    same, rest = ["doc_id", "source", "_size", "_variant"], [c for c in columns if c not in ("doc_id", "source", "text")]
+    keyed = docs.select(*[docs[c] for c in columns]).withColumns({"_size": F.size(words(F.col("text"))).cast("long"), "_variant": F.xxhash64("text")})
+    drawn = draw_blocks(keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_variant").alias("variant")), block_words=None, **how).where("shard IS NOT NULL")
+    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_n"), F.col("variant").alias("_v"), "shard", "order_key")
+    one = keyed.groupBy(*same).agg(F.first("text").alias("text"), F.min(F.struct(*rest) if rest else F.lit(0)).alias("_x"))
+    one = one.select(*same, "text", *[F.col(f"_x.{c}") for c in rest])
+    out = one.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n")) & (F.col("_variant") == F.col("_v")))
     return out.repartition(F.col("shard"), F.pmod("order_key", F.lit(64))).sortWithinPartitions("shard", "order_key").select(*columns)

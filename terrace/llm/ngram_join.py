@@ -160,18 +160,18 @@ def _digest(s: np.ndarray) -> tuple[bytes | None, int]:
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, fp (16 bytes of the set; null if empty), f (eight of them), probed: the shingles that are counted."""
+    """doc_id, text_key, n, fp (16 bytes of the set; null if empty), f (eight of them), probed: the shingles that are counted."""
     probe = np.uint64(int(min(1.0, PROBE * (100 - percent) / 100) * 0xFFFF))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, t in zip(batch["doc_id"], batch["text"]):
+            for doc_id, key, t in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                 s = shingle_set(t, k)
-                rows.append((doc_id, len(s), *_digest(s), s[(s & np.uint64(0xFFFF)) <= probe].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "f", "probed"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, key, len(s), *_digest(s), s[(s & np.uint64(0xFFFF)) <= probe].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "fp", "f", "probed"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n long, fp binary, f long, probed array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(each, "doc_id long, text_key long, n long, fp binary, f long, probed array<long>")
 
 
 def _bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -199,25 +199,25 @@ def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _with_candidates(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id, f of the classes whose counted shingles don't rule out a partner: of n shingles a partner shares n * percent / 100 at least,
+    """doc_id (the smallest), id of the classes whose counted shingles don't rule out a partner: of n shingles a partner shares n * percent / 100 at least,
     none of which is the class's own."""
     owned = known.select("f", F.explode("probed").alias("t")).groupBy("t").agg(F.min("f").alias("f"), F.max("f").alias("other")).where("f = other").groupBy("f").agg(F.count("*").alias("own"))
     left = classes.join(owned, "f", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n") * percent)
-    return materialize(left.select(F.col("label").alias("id"), "f"))
+    return materialize(left.select(F.col("label").alias("doc_id"), F.col("f").alias("id")))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """For the wanted classes (id, f): n, s (the whole set), g (of size and prefix), prefix and b0.. (the parity sketch). Texts stay where they are; a
+    """For the wanted classes (doc_id, id): n, s (the whole set), g (of size and prefix), prefix and b0.. (the parity sketch). Texts stay where they are; a
     filter of bounded size keeps most other texts from being hashed."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((bloom(wanted.select("id"), wanted.count()), _Order(common)))  # at most 16 bytes * MAX_COMMON and MAX_BITS
-    names = ["id", "f", "n", "s", "g", "prefix", *[f"b{j}" for j in range(SKETCH)]]
+    shared = spark.sparkContext.broadcast((bloom(wanted.select("doc_id"), wanted.count()), _Order(common)))  # at most 16 bytes * MAX_COMMON and MAX_BITS
+    names = ["doc_id", "id", "n", "s", "g", "prefix", *[f"b{j}" for j in range(SKETCH)]]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maybe, order = shared.value
         for batch in batches:
-            batch, rows = batch[_passes(batch["id"].to_numpy(np.int64), maybe)], []
-            for i, t in zip(batch["id"], batch["text"]):
+            batch, rows = batch[_passes(batch["doc_id"].to_numpy(np.int64), maybe)], []
+            for i, t in zip(batch["doc_id"], batch["text"]):
                 if n := len(s := shingle_set(t, k)):
                     p = order.sort(s)[: n - _need(n, percent) + 1]
                     parity = np.bincount((s >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -225,9 +225,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, percent: int, common: n
                     rows.append((i, _digest(s)[1], n, s.view(np.int64), xxhash.xxh3_64_intdigest(p.tobytes(), seed=n) - (1 << 63), p.view(np.int64), *sketch))
             yield pd.DataFrame(rows, columns=names)
 
-    schema = "id long, f long, n long, s array<long>, g long, prefix array<long>, " + ", ".join(f"b{j} long" for j in range(SKETCH))
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInPandas(each, schema)
-    return materialize(made.join(wanted, ["id", "f"], "left_semi").dropDuplicates(["id", "f"]))
+    schema = "doc_id long, id long, n long, s array<long>, g long, prefix array<long>, " + ", ".join(f"b{j} long" for j in range(SKETCH))
+    made = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(each, schema)
+    return materialize(made.join(wanted, ["doc_id", "id"], "left_semi").dropDuplicates(["doc_id", "id"]))
 
 
 def _pairs_ok(na: Column, nb: Column, percent: int) -> Column:
@@ -269,7 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of df (doc_id, text)."""
+    """doc_id, n_shingles, component_id for every row of df (doc_id, text); text_key (a hash of the text) and component, which tells components apart
+    even where texts of one id lie in several (null for empty sets and rows without an id)."""
     docs = columns_of(df, doc_id="long", text="string")
     prints = materialize(fingerprints(docs, k, percent))
     known = prints.where("fp IS NOT NULL AND doc_id IS NOT NULL")
@@ -281,13 +282,17 @@ def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> Dat
         links = _linked(sets, percent)
         discard(sets)
     discard(wanted)
-    # classes without any link keep their own label
-    own = classes.select("fp", "label") if links is None else classes.join(links.select(F.col("id").alias("label"), F.col("label").alias("joined")), "label", "left").select("fp", F.coalesce("joined", "label").alias("label"))
-    return prints.select("doc_id", "n", "fp").join(own, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    own = classes.select("fp", "label", F.col("f").alias("component"))
+    if links is not None:  # classes without any link keep their own label
+        joined = classes.join(links.select(F.col("id").alias("f"), F.col("label").alias("root")), "f", "left").select("fp", "label", F.coalesce("root", "f").alias("component"))
+        least = joined.groupBy("component").agg(F.min("label").alias("label"))
+        own = joined.drop("label").join(least, "component")
+    out = prints.select("doc_id", "n", "fp", "text_key").join(own, "fp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"), "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
-    """id, label for the classes that have a link; None if none has. A class goes by its smallest doc_id."""
+    """id, label for the classes that have a link; None if none has. A class goes by eight bytes of its fingerprint."""
     tokens = sets.select("g", F.posexplode("prefix").alias("i", "t")).groupBy("t", "g").agg(F.first("i").alias("i"))
     met = tokens.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
     post = materialize(tokens.join(met, "t", "left_semi"))
@@ -385,5 +390,19 @@ def _all_pairs(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
     return _class_pairs(pairs, state, state, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def one_of_each(df: DataFrame, columns: list[str], k: int = K, percent: int = PERCENT) -> DataFrame:
+    """df's rows but for near copies: of each component the row with the smallest (doc_id, text hash), once; rows without an id or without words all stay.
+    Of rows equal in id and text the one whose other columns are smallest stays, so reruns agree."""
+    keyed = df.select(*[df[c] for c in columns]).withColumn("_key", F.xxhash64("text"))
+    found = materialize(jaccard_components(df, k, percent))
+    least = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", F.col("x.text_key").alias("_key"))
+    free = found.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id", F.col("text_key").alias("_key")).distinct()
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    one = keyed.join(least, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.first("text").alias("text"), F.min(F.struct(*rest) if rest else F.lit(0)).alias("_x"))
+    one = one.select("doc_id", "text", *[F.col(f"_x.{c}") for c in rest])
+    stay = keyed.where("doc_id IS NULL").unionByName(keyed.join(free, ["doc_id", "_key"], "left_semi"))
+    return one.select(*columns).unionByName(stay.select(*columns))
+
+
 def op1(df: DataFrame) -> DataFrame:
-    return jaccard_components(df, K, PERCENT)
+    return jaccard_components(df, K, PERCENT).drop("text_key", "component")

@@ -4,14 +4,15 @@ non-negative unbiased risk
     prior * R+(trusted) + max(0, R-(unlabelled) - prior * R-(trusted))
 
 with the prior estimated from the data: the ratio of the unlabelled mass to the trusted mass above cuts of a first
-score, where that ratio is flat.
+score, where that ratio is flat. The unlabelled mass is counted over all training documents.
 
 Trusted positives are training rows labelled 1, the unlabelled part is training documents whatever their label; each
-is a hash-chosen sample of about ``MAX_TRUSTED`` and ``MAX_UNLABELLED`` rows, the documented bound of the fit. What is
+is a hash-chosen sample of at most ``MAX_TRUSTED`` and ``MAX_UNLABELLED`` rows, the documented bound of the gradient fit. What is
 gathered is 14 measures a row. Scoring is one pass over all whole texts without a shuffle.
 
 Defined results: null and empty texts have measures of zero and a score like any other; without trusted rows every
-score is 0.5; repeated rows score alike; an empty table gives an empty result.
+score is 0.5; repeated rows score alike; equal measures tie and score alike; very long texts are measured whole; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, remainder
-from .features import NAMES, dense, labelled, sample, sigmoid
+from .common import columns_of, discard, materialize, remainder
+from .features import NAMES, bounded, dense, labelled, sample, sigmoid
 
 MOD = 3
 MAX_TRUSTED = 12_000
@@ -70,22 +71,31 @@ def _fit(trusted: np.ndarray, unlabelled: np.ndarray, prior: float, non_negative
     return w[:-1], float(w[-1])
 
 
-def estimate_prior(trusted: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the typical ratio of masses above cuts that hold back a tenth to half of the trusted."""
-    cuts = np.quantile(trusted, np.linspace(0.1, 0.5, 30))
-    above = [(unlabelled >= c).mean() / max(1e-9, (trusted >= c).mean()) for c in cuts]
-    return float(np.clip(np.median(above), 0.02, 0.98))
+def cuts_of(trusted: np.ndarray) -> np.ndarray:
+    """Scores that hold back a tenth to half of the trusted."""
+    return np.quantile(trusted, np.linspace(0.1, 0.5, 30))
 
 
-def fit(trusted: np.ndarray, unlabelled: np.ndarray) -> Model:
+def estimate_prior(trusted: np.ndarray, above: np.ndarray, cuts: np.ndarray) -> float:
+    """Share of positives among the unlabelled: the typical ratio of masses above the cuts. above: the unlabelled share at or above each cut."""
+    return float(np.clip(np.median(above / [max(1e-9, (trusted >= c).mean()) for c in cuts]), 0.02, 0.98))
+
+
+def edges_of(trusted: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
     both = np.r_[trusted, unlabelled]
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     # the tails matter more than the middle: half the edges go to the outer tenths
     tails = np.quantile(both, [0.01, 0.03, 0.06, 0.94, 0.97, 0.99], axis=0).T
-    edges = np.sort(np.c_[edges, tails], axis=1)
+    return np.sort(np.c_[edges, tails], axis=1)
+
+
+def fit(trusted: np.ndarray, unlabelled: np.ndarray, masses) -> Model:
+    """masses(model, cuts): the share of all unlabelled rows whose first score is at or above each cut."""
+    edges = edges_of(trusted, unlabelled)
     tp, tu = binned(trusted, edges), binned(unlabelled, edges)
     w, b = _fit(tp, tu, 0.5, False)
-    prior = estimate_prior(tp @ w, tu @ w)
+    cuts = cuts_of(tp @ w + b)
+    prior = estimate_prior(tp @ w + b, masses(Model(edges, w, b, 0.5), cuts), cuts)
     w, b = _fit(tp, tu, prior, True)
     return Model(edges, w, b, prior)
 
@@ -98,19 +108,36 @@ def _measured(texts: DataFrame, keep: list[str]) -> DataFrame:
                 out[c] = batch[c].to_numpy()
             yield out
 
-    return texts.select("text", *keep).mapInPandas(each, ", ".join(f"{c} double" for c in NAMES) + "".join(f", {c} int" for c in keep))
+    return texts.select("text", *keep).mapInPandas(each, ", ".join(f"{c} double" for c in NAMES) + "".join(f", {c} long" for c in keep))
+
+
+def _masses(measured: DataFrame, model: Model, cuts: np.ndarray) -> np.ndarray:
+    """The share of measured rows that score each cut or more: counted per batch and added up by Spark."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                z = np.sort(model.logit(batch[list(NAMES)].to_numpy(float)))
+                yield pd.DataFrame({"cut": np.arange(len(cuts) + 1, dtype=np.int32), "n": np.r_[len(z) - np.searchsorted(z, cuts), len(z)].astype(np.int64)})
+
+    got = measured.mapInPandas(each, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n")).orderBy("cut").toPandas()  # a row for each cut
+    return got["n"].to_numpy(float)[:-1] / got["n"].iloc[-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = MOD, max_trusted: int = MAX_TRUSTED, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     rows = labelled(docs, labels.where("quality = 1"), "quality", mod, max_trusted)
-    trusted = _measured(rows, ["y"]).toPandas()  # about max_trusted rows
-    unlabelled = _measured(sample(docs, mod, max_unlabelled, docs.count()), []).toPandas()  # about max_unlabelled rows
-    names = list(NAMES)
-    if not len(trusted) or not len(unlabelled):
+    trusted = bounded(_measured(rows.select("text", "o"), ["o"]), max_trusted).toPandas()
+    if not len(trusted):
         return None
+    every = materialize(_measured(sample(docs, mod, 1, 1), ["o"]))  # all training rows' measures
+    share = max_unlabelled / max(1, every.count())
+    unlabelled = bounded(every.where(F.col("o") < int(min(1.0, share) * (1 << 30))), max_unlabelled).toPandas()
+    names = list(NAMES)
     # collected rows come in any order; sums must not
     order = lambda x: x[np.lexsort(x.T)]
-    return fit(order(trusted[names].to_numpy(float)), order(unlabelled[names].to_numpy(float)))
+    model = fit(order(trusted[names].to_numpy(float)), order(unlabelled[names].to_numpy(float)), lambda m, cuts: _masses(every, m, cuts)) if len(unlabelled) else None
+    discard(every)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

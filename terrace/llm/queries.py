@@ -33,7 +33,7 @@ WITH d AS (
       (length(l) - length(translate(l, '#*$%&|<>', ''))) * 10 >= len(lw) * 3
       OR (len(lw) >= 4 AND length(regexp_replace(l, '\P{Lu}+', '', 'g')) * 10 >= length(regexp_replace(l, '\P{L}+', '', 'g')) * 6)
       OR (len(lw) >= 10 AND len(list_distinct(lw)) * 3 < len(lw))
-      OR (len(lw) <= 25 AND regexp_matches(l, '(?i)(cookie|javascript|privacy policy|terms of use|all rights reserved|sign in|log in|subscribe now|click here|lorem ipsum)'))) AS bad,
+      OR (len(lw) <= 25 AND regexp_matches(l, '(?i)(cookie|javascript|privacy policy|terms of use|all rights reserved|sign in|log in|subscribe now|click here|lorem ipsum|politique de confidentialité|tous droits réservés|se connecter|cliquez ici|abonnez-vous|política de privacidad|todos los derechos reservados|iniciar sesión|haga clic|suscríbete|datenschutzerklärung|alle rechte vorbehalten|anmelden|hier klicken|newsletter abonnieren)'))) AS bad,
     length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS solid
   FROM line
 ), per AS (

@@ -6,11 +6,12 @@ level that misses it is an even one. Since the levels are built over every key o
 for each of them.
 
 Building takes one distinct over the corpus's keys (pre-aggregated, so a hot host costs one row per task)
-and a left-anti join of them with the list; judging a url takes no join and no shuffle. The bits of a level
-are a literal of the plan and are bounded by ``max_bits``; urls are joined with a longer list instead (``hits_by_join``).
+and a left-anti join of them with the list; judging a url takes no join and no shuffle. The bits of a level are a literal of the plan and are bounded by ``max_bits``: a
+longer list is dealt by hash to several cascades, and a key asks its own one only.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; repeated urls
-get equal rows; an empty table gives an empty result.
+get equal rows; of rules of equal length that fit (there are none in one list of distinct keys) the larger key wins; very long urls are rows like
+others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,34 +86,58 @@ def place(key: Column, depth: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(depth * 64 + i)), F.lit(bits)).cast("int")
 
 
-def _level(keys: DataFrame, n: int, depth: int, rate: float, max_bits: int) -> tuple[int, int, bytes]:
-    bits = min(max_bits, max(64, 8 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8)))
+class Cascades:
+    """Cascades that share a list by hash of the key."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    def contains(self, key: Column) -> Column:
+        if len(self.parts) == 1:
+            return self.parts[0].contains(key)
+        out = F.lit(False)
+        for j, part in enumerate(self.parts):
+            out = F.when(_part(key, len(self.parts)) == j, part.contains(key)).otherwise(out)
+        return out
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def _level(keys: DataFrame, n: int, depth: int, rate: float) -> tuple[int, int, bytes]:
+    bits = max(64, 8 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8))
     hashes = max(1, round(bits / n * math.log(2)))
     spots = keys.select(F.explode(F.array(*[place(F.col("key"), depth, i, bits) for i in range(hashes)])).alias("p"))
+    got = spots.groupBy(F.floor(F.col("p") / 8).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).alias("byte")).toArrow()  # at most bits / 8 rows
     data = bytearray(bits // 8)
-    for at, byte in spots.groupBy(F.floor(F.col("p") / 8).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).alias("byte")).collect():  # at most bits / 8 rows
+    for at, byte in zip(got["at"].to_pylist(), got["byte"].to_pylist()):
         data[at] = byte
     return hashes, bits, bytes(data)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.02, max_bits: int = MAX_BITS) -> Cascade | None:
-    """listed, universe: a column ``key`` each. None if the list is too long for ``max_bits``: then join instead."""
-    listed = materialize(listed.select("key").where("key IS NOT NULL").distinct())
+def _cascade(listed: DataFrame, theirs: DataFrame, rate: float) -> Cascade:
+    """Levels until one passes nothing wrongly: each has a part of the keys of the level two before, so they soon run out."""
     ours, n, depth, levels = listed, listed.count(), 0, []
-    theirs = universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti")
-    if n * -math.log(rate) / math.log(2) ** 2 > max_bits:
-        return None
     while n:
-        levels.append(_level(ours, n, depth, rate if depth == 0 else 0.3, max_bits))
+        levels.append(_level(ours, n, depth, rate if depth == 0 else 0.3))
         passed = materialize(theirs.where(Cascade(levels)._passes(depth, F.col("key"))))
         ours, theirs, n, depth = passed, ours, passed.count(), depth + 1
     return Cascade(levels)
 
 
-def hits_by_join(out: DataFrame, row: str, keys: Column, listed: DataFrame, name: str) -> DataFrame:
-    """out with ``name``: those of its keys that are listed. For lists too long for a cascade: a shuffle join, whose hot keys Spark splits."""
-    e = out.select(row, F.explode(keys).alias("key")).join(listed.select("key").distinct(), "key", "left_semi")
-    return out.join(e.groupBy(row).agg(F.collect_list("key").alias(name)), row, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))  # a url's few keys
+def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.02, max_bits: int = MAX_BITS) -> Cascades:
+    """listed, universe: a column ``key`` each. The first level's rate is such that it passes wrongly fewer keys than are listed (``rate`` at most), so
+    that no later level is larger."""
+    listed = materialize(listed.select("key").where("key IS NOT NULL").distinct())
+    theirs = materialize(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
+    n = listed.count()
+    rate = min(rate, max(1e-9, 0.7 * n / max(1, theirs.count())))
+    parts = max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / max_bits))
+    key = F.col("key")
+    if parts == 1:
+        return Cascades([_cascade(listed, theirs, rate)])
+    return Cascades([_cascade(listed.where(_part(key, parts) == j), theirs.where(_part(key, parts) == j), rate) for j in range(parts)])
 
 
 def _table(spark: SparkSession, keys: list[str]) -> DataFrame:
@@ -129,13 +154,8 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, blocked_hosts=BLOCK
     if keys:
         universe = materialize(out.select(F.explode(F.array_union(F.array().cast("array<string>"), F.flatten(F.array(*keys.values())))).alias("key")).distinct())
     cascades = {k: build_cascade(_table(spark, v), universe, max_bits=max_bits) if v else None for k, v in lists.items()}
-    if long := [k for k, v in lists.items() if v and cascades[k] is None]:
-        out = materialize(out.withColumn("_row", F.monotonically_increasing_id()))
-        for k in long:
-            out = hits_by_join(out, "_row", keys[k], _table(spark, lists[k]), f"_{k}")
-        out = out.drop("_row")
     none = F.array().cast("array<string>")
-    out = out.withColumns({f"_{k}": F.filter(keys[k], cascades[k].contains) if lists[k] else none for k in lists if k not in long})
+    out = out.withColumns({f"_{k}": F.filter(keys[k], cascades[k].contains) if lists[k] else none for k in lists})
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
     out = out.withColumn("rule", longest(F.concat("_allow", "_block"))["key"])
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.array_contains("_block", F.col("rule")), "block").otherwise("allow")).otherwise(F.when(F.size("_hosts") > 0, "block").otherwise("allow"))

@@ -24,7 +24,8 @@ def test_odd_rows(op, odd, labels):
     rows = runs(labels)[op](odd).collect()
     if op != "op7":
         assert len(rows) == odd.count()
-        assert len({tuple(map(str, r)) for r in rows if r.doc_id == 5}) == 1  # equal rows, equal results
+        if op != "op5":  # a mix draws equal rows singly
+            assert len({tuple(map(str, r)) for r in rows if r.doc_id == 5}) == 1  # equal rows, equal results
     else:
         assert {r.doc_id for r in rows} == {1, 2, 3, None, 4, 5, 6, 7}
         assert sum(r.length for r in rows if r.doc_id == 1) == 1

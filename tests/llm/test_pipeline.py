@@ -24,3 +24,24 @@ def test_stages(spark, sf_dir):
     whole = P.run(spark, sf_dir)
     keys = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(str, whole.select(*keys).collect())) == sorted(map(str, out[5].select(*keys).collect()))
+
+
+def test_texts_of_one_id_are_two_documents(spark, docs):
+    """Unrelated texts under one id both stay; near copies and repeated rows go but for one, the same in every run."""
+    one, two = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    table = docs((1, one), (1, two), (1, two), (2, one), (3, one + " end"), (4, None), (4, ""), (None, one), (5, "short"))
+    got = sorted(((r.doc_id, r.text) for r in P.drop_copies(spark, table, "").collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (4, None), (4, ""), (None, one), (5, "short")], key=str)
+
+
+def test_stages_take_empty_tables(spark, docs, sf_dir):
+    none = docs((1, "x")).limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, sf_dir).collect() == []
+
+
+def test_clashing_and_missing_names(spark):
+    from terrace.llm.common import columns_of
+
+    df = spark.createDataFrame([(1, "a", "b")], "DOC_ID long, text string, TEXT string")
+    assert tuple(columns_of(df, doc_id="long", text="string", lang="string").first()) == (1, "a", None)
