@@ -1,10 +1,13 @@
 """The corpus pipeline: toxic documents go, then documents of low quality, then near duplicates but one of each group; the rest is
-mixed to target weights and packed. Each stage takes the documents that the one before it kept, as written."""
+mixed to target weights and packed. Each stage takes the documents that the one before it kept, as written.
+
+Defined results: null and empty texts are scored like others and, if kept, are never near copies, are never drawn by the mix; rows without a doc_id
+stay until the mix; repeated rows count as exact copies, one of them stays; two texts of one id are two documents; ties are broken by id and hash; an
+empty table passes through as one; columns other than those of ``documents`` are left out, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terrace.llm import mixing, ngram_join, packing, quality_pu, toxicity
 from terrace.llm.common import materialize
@@ -31,11 +34,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps each component's smallest doc_id. Documents without an id stay; of equal ids one stays."""
-    found = ngram_join.jaccard_components(docs, SHINGLE_WORDS, PERCENT)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Keeps one document of each group of near copies: the one with the smallest doc_id. Texts that share an id are told apart."""
+    return ngram_join.one_of_each(docs, COLUMNS, SHINGLE_WORDS, PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
