@@ -119,7 +119,7 @@ def _with_sources(df: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
 
 def draw_blocks(docs: DataFrame, weights=WEIGHTS, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, block_words: int | None = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs: ``doc_id``, ``source``, ``size``, ``variant`` (tells texts apart). One row per block and epoch that some source may need: the document's columns,
-    source_size, target, copy (the number among equal rows), epoch, block, block_size, ``shard`` (null: not drawn) and ``order_key`` (the order inside a shard).
+    source_size, target, copies and copy (equal rows, and the number among them), epoch, block, block_size, ``shard`` (null: not drawn) and ``order_key`` (the order inside a shard).
     block_words None: a document is one block."""
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     docs = materialize(docs.groupBy("doc_id", "source", "size", "variant").agg(F.count("*").alias("copies")).withColumn("skey", skey))
@@ -131,7 +131,7 @@ def draw_blocks(docs: DataFrame, weights=WEIGHTS, fraction: float = FRACTION, ma
     t = targets.select("skey", "source_size", "target", bits.alias("bits"))
     b = _with_sources(docs, t, n)
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_epochs - 1), F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") - 1)))))
-    b = b.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    b = b.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     b = b.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     b = b.withColumn("block_size", F.col("size") if block_words is None else F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
     b = b.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "size", "variant", "copy", "block"))
@@ -172,9 +172,11 @@ def mix_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
     are drawn singly and come out with the smallest of their other columns."""
     same, rest = ["doc_id", "source", "_size", "_variant"], [c for c in columns if c not in ("doc_id", "source", "text")]
     keyed = docs.select(*[docs[c] for c in columns]).withColumns({"_size": F.size(words(F.col("text"))).cast("long"), "_variant": F.xxhash64("text")})
-    drawn = draw_blocks(keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_variant").alias("variant")), block_words=None, **how).where("shard IS NOT NULL")
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_n"), F.col("variant").alias("_v"), "shard", "order_key")
-    one = keyed.groupBy(*same).agg(F.first("text").alias("text"), F.min(F.struct(*rest) if rest else F.lit(0)).alias("_x"))
-    one = one.select(*same, "text", *[F.col(f"_x.{c}") for c in rest])
-    out = one.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n")) & (F.col("_variant") == F.col("_v")))
+    blocks = draw_blocks(keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_variant").alias("variant")), block_words=None, **how)
+    drawn = blocks.where("shard IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_n"), F.col("variant").alias("_v"), "shard", "order_key", "copies")
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n")) & (F.col("_variant") == F.col("_v"))
+    out = keyed.join(drawn.where("copies = 1"), key).select(*columns, "shard", "order_key")
+    if not (repeated := drawn.where("copies > 1")).isEmpty():
+        one = keyed.join(repeated.select("_id", "_src", "_n", "_v").distinct(), key, "left_semi").groupBy(*same).agg(F.first("text").alias("text"), F.min(F.struct(*rest) if rest else F.lit(0)).alias("_x"))
+        out = out.unionByName(one.select(*same, "text", *[F.col(f"_x.{c}") for c in rest]).join(repeated, key).select(*columns, "shard", "order_key"))
     return out.repartition(F.col("shard"), F.pmod("order_key", F.lit(64))).sortWithinPartitions("shard", "order_key").select(*columns)

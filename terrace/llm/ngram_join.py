@@ -254,18 +254,18 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Each node's (id's) smallest id within its component, as label. A round takes the least label among a node and its
     neighbours, then that label's own label."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    at = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        at = materialize(at)
         seen = both.join(at.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
         near = at.join(seen, at["id"] == seen["a"]).select("id", F.least("label", "least").alias("next"), "label")
         jump = at.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        old, new = at, materialize(near.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
-        discard(old)
-        if new.where("moved").isEmpty():
+        new = materialize(near.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        discard(at)
+        at, done = new.select("id", "label"), new.where("moved").isEmpty()
+        at.terrace_path = new.terrace_path
+        if done:
             discard(both)
-            return new.select("id", "label")
-        at = new.select("id", "label")
+            return at
 
 
 def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -288,7 +288,9 @@ def jaccard_components(df: DataFrame, k: int = K, percent: int = PERCENT) -> Dat
         least = joined.groupBy("component").agg(F.min("label").alias("label"))
         own = joined.drop("label").join(least, "component")
     out = prints.select("doc_id", "n", "fp", "text_key").join(own, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"), "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+    out = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"), "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")))
+    discard(prints, classes, links)
+    return out
 
 
 def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
@@ -394,7 +396,7 @@ def one_of_each(df: DataFrame, columns: list[str], k: int = K, percent: int = PE
     """df's rows but for near copies: of each component the row with the smallest (doc_id, text hash), once; rows without an id or without words all stay.
     Of rows equal in id and text the one whose other columns are smallest stays, so reruns agree."""
     keyed = df.select(*[df[c] for c in columns]).withColumn("_key", F.xxhash64("text"))
-    found = materialize(jaccard_components(df, k, percent))
+    found = jaccard_components(df, k, percent)
     least = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", F.col("x.text_key").alias("_key"))
     free = found.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id", F.col("text_key").alias("_key")).distinct()
     rest = [c for c in columns if c not in ("doc_id", "text")]

@@ -271,31 +271,44 @@ def _classifier(words, hits, shape, target, steps: int = 1500) -> Model:
     return model
 
 
-def scored(df: DataFrame, labels: DataFrame, columns: list[str], mod: int = MOD, max_labelled: int = MAX_LABELLED, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """The named columns of df (doc_id, text and more) and score."""
-    docs = columns_of(df, doc_id="long", text="string")
+def _features(docs: DataFrame, words: dict[str, int], mod: int) -> DataFrame:
+    """doc_id, trains, o (a hash), hits and shape of every row of docs, written."""
+    trains, o = remainder(F.col("doc_id"), mod) != 1, F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30))
+    return materialize(_read(docs.select("doc_id", "text", trains.alias("trains"), o.alias("o")), words))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, mod: int = MOD, max_labelled: int = MAX_LABELLED, max_sample: int = MAX_SAMPLE) -> tuple[Model | None, DataFrame | None]:
+    """The model, None if labels give no lexicon, and the features of all docs."""
     rows = materialize(labelled(docs, labels, "toxic", mod, max_labelled))
-    found = lexicon(rows)
-    if not found:
-        return df.select(*[df[c] for c in columns], F.lit(0.0).alias("score"))
-    words = {w: i for i, w in enumerate(found)}
-    inner = df.select(F.struct(*[df[c] for c in columns]).alias("kept"), df["text"], (remainder(df["doc_id"], mod) != 1).alias("trains"), F.pmod(F.xxhash64(df["doc_id"], df["text"], F.lit(29)), F.lit(1 << 30)).alias("o"))
-    read = materialize(_read(inner, words))
-    model = train(rows, read.where("trains"), words, max_labelled, max_sample)
+    model = read = None
+    if found := lexicon(rows):
+        words = {w: i for i, w in enumerate(found)}
+        read = _features(docs, words, mod)
+        model = train(rows, read.where("trains"), words, max_labelled, max_sample)
     discard(rows)
+    return model, read
 
-    def judge(hits: pd.Series, shape: pd.Series) -> pd.Series:
-        return pd.Series(model.score(hits.tolist(), np.array(shape.tolist(), float).reshape(len(shape), len(NAMES))))
 
-    return read.select("kept.*", F.pandas_udf(judge, "double")("hits", "shape").alias("score"))
+def _shapes(shape: pd.Series) -> np.ndarray:
+    return np.array(shape.tolist(), float).reshape(len(shape), len(NAMES))
 
 
 def op8(df: DataFrame, labels: DataFrame) -> DataFrame:
-    out = scored(columns_of(df, doc_id="long", text="string"), labels, ["doc_id"])
+    docs = columns_of(df, doc_id="long", text="string")
+    model, read = fitted(docs, labels)
+    if model is None:
+        out = docs.select("doc_id", F.lit(0.0).alias("score"))
+    else:
+        judge = F.pandas_udf(lambda hits, shape: pd.Series(model.score(hits.tolist(), _shapes(shape))), "double")
+        out = read.select("doc_id", judge("hits", "shape").alias("score"))
     return out.select("doc_id", (remainder(F.col("doc_id"), MOD) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, columns: list[str], limit: float = 0.7) -> DataFrame:
-    """The rows of df that score below ``limit``, with the named columns."""
-    out = scored(columns_of(df, doc_id="long", text="string", **{c: t for c, t in df.dtypes if c in columns and c not in ("doc_id", "text")}), labels, columns)
-    return out.where(F.col("score") < limit).select(*columns)
+    """The rows of df that score below ``limit``, with the named columns. Texts are read once more rather than written beside their features."""
+    model, read = fitted(columns_of(df, doc_id="long", text="string"), labels)
+    discard(read)
+    if model is None:
+        return df.select(*columns)
+    judge = F.pandas_udf(lambda t: pd.Series(model.score([sorted(model.terms[w] for w in terms(x) & model.terms.keys()) for x in t], np.array([dense(x) for x in t], float).reshape(len(t), len(NAMES)))), "double")
+    return df.where(judge(F.col("text")) < limit).select(*columns)
