@@ -309,8 +309,8 @@ def test_bits_are_a_distribution_over_words():
 
 
 def test_match_predictor_pays_off_on_repetition():
-    hits, misses, rest = context_mixing.read([b"a", b"b"] * 500)
-    assert sum(hits) + sum(misses) + len(rest) == 1000 and context_mixing.match_log10(hits, misses) > -10
+    hits, misses, given = context_mixing.read([b"a", b"b"] * 500)
+    assert sum(given) == sum(hits) and len(given) == 1000 and context_mixing.match_log10(hits, misses) > -10
 
 
 def test_matches_sum_to_one():
@@ -322,6 +322,39 @@ def test_matches_sum_to_one():
     assert math.isclose(total, 1.0)
 
 
+def test_chunk_bits_sum_to_one():
+    facts = [(1, 1), (3, 0), (2, 1), (1, 0)]
+    total = sum(10 ** context_mixing.chunk_log10([(*f, o >> i & 1) for i, f in enumerate(facts)]) for o in range(16))
+    assert math.isclose(total, 1.0)
+
+
+def test_scores_of_another_partitioning_and_of_repeated_texts(spark, docs, sf_dir):
+    """Partitions change nothing; a text that training texts hold elsewhere costs far fewer bits than one that they don't; the whole score of a tiny
+    corpus is what plain code gives."""
+    base = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    long = next(t for i, t in base if t and len(t.split()) > 300 and sum(t == u for _, u in base) == 1 and zlib.crc32(str(i).encode()) % 5 != 1)
+    free = next(i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = base + [(free, long)]
+    one = {r.doc_id: r for r in context_mixing.score_documents(docs(*rows)).collect()}
+    two = {r.doc_id: r for r in context_mixing.score_documents(docs(*rows).repartition(5)).collect()}
+    assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-6) for i in one)
+    assert one[free].bits < 0.5 * -one[free].base_score * math.log2(10)
+    assert one[free].n_bytes == len(long.encode()) and math.isclose(one[free].bits, -one[free].score * math.log2(10))
+
+
+def test_sequels_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, r.random() < 0.3, 1, r.randrange(8), r.randrange(3), -1.0) for i in range(60)]
+    got = {x.row: (x.seen, x.same, x.hit) for x in context_mixing.sequels(spark.createDataFrame(rows, "row long, out boolean, idx int, context long, sequel long, own double")).collect()}
+    want = {}
+    for i, out, _, c, s, _ in rows:
+        known = [z for _, o, _, d, z, _ in rows if d == c and not o]
+        if len(known) > (not out):
+            same = len(set(known)) == 1
+            want[i] = (min(9, len(known) - (not out)), int(same), int(s == min(known) and (out or same or len(known) > 2)))
+    assert got == want
+
+
 # --- quality rules ---
 def test_repeat_words_against_brute_force(docs):
     r = random.Random(9)
