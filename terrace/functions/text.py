@@ -188,8 +188,11 @@ def incentive(c: Column, package_price: Column | None = None) -> Column:
     money = r"\$\s?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,6}|[0-9]{1,3}\s*[kK])"
     parts = []
     for p in (rf"(?i)(?<!\d)(?:{INCENTIVE_WORDS})[^$\n]{{0,40}}{money}", rf"(?i){money}[^$\n]{{0,40}}(?:{INCENTIVE_WORDS})"):
-        raw = F.regexp_extract_all(F.regexp_replace(t, rf"(?i)[^$]{{0,40}}(?:{RENT_WORDS}|%)[^$]{{0,40}}", " ~ "), F.lit(p), 1)
-        parts.append(F.transform(raw, lambda x: F.lower(F.regexp_replace(x, r"[,\s]", ""))))
+        # a match counts unless its own forty characters on either side, or itself, speak of rent
+        own = F.lit(rf"(?i)(?<!(?={RENT_WORDS}|%).{{1,40}})({p.removeprefix('(?i)')})(?=(.{{0,40}}))")
+        found = F.arrays_zip(*[F.regexp_extract_all(t, own, g).alias(n) for g, n in ((1, "own"), (2, "amount"), (3, "after"))])
+        kept = F.filter(found, lambda x: ~F.concat(x["own"], x["after"]).rlike(rf"(?i){RENT_WORDS}|%"))
+        parts.append(F.transform(kept, lambda x: F.lower(F.regexp_replace(x["amount"], r"[,\s]", ""))))
     values = F.transform(F.concat(*parts), lambda x: F.when(x.endswith("k"), F.regexp_replace(x, "k", "").try_cast("double") * 1000).otherwise(x.try_cast("double")))
     most = F.lit(150_000.0) if package_price is None else F.coalesce(F.least(F.lit(150_000.0), F.when(package_price > 0, 0.25 * package_price - 0.005)), F.lit(150_000.0))
     return F.array_max(F.filter(values, lambda v: (v >= 1_000) & (v <= most)))
@@ -223,7 +226,8 @@ def specs(c: Column) -> Column:
     triple = rf"(?<![0-9A-Za-z.,])({_NUM})\s*([xX|/+\-])\s*({_NUM})\s*\2\s*({_NUM})(?![0-9A-Za-z]|\.\d)"
     found = F.arrays_zip(*[F.transform(F.regexp_extract_all(t, F.lit(triple), g), value).alias(n) for g, n in ((1, "bedrooms"), (3, "bathrooms"), (4, "car_spaces"))])
     whole = F.filter(found, lambda x: fits("bedrooms", x["bedrooms"]) & fits("bathrooms", x["bathrooms"]) & fits("car_spaces", x["car_spaces"]))
-    fourth = t.rlike(triple + rf"\s*[xX|/+\-]\s*{_NUM}(?![0-9A-Za-z]|\.\d)")
+    longer = F.arrays_zip(*[F.transform(F.regexp_extract_all(t, F.lit(triple + rf"\s*[xX|/+\-]\s*{_NUM}(?![0-9A-Za-z]|\.\d)"), g), value).alias(n) for g, n in ((1, "bedrooms"), (3, "bathrooms"), (4, "car_spaces"))])
+    fourth = F.exists(longer, lambda x: fits("bedrooms", x["bedrooms"]) & fits("bathrooms", x["bathrooms"]) & fits("car_spaces", x["car_spaces"]))
     field = lambda f: lambda x: x[f]
     for f in SPEC_RANGES:
         votes[f].append(F.transform(whole, field(f)))

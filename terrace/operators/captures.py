@@ -35,7 +35,7 @@ def losers(df: DataFrame, key: list[str], fresh: list[str]) -> DataFrame:
     return df.alias("a").join(top.alias("b"), same).select("a.id", F.col("b._w.id").alias("winner")).where("id <> winner")
 
 
-def supersede(df: DataFrame, lot: list[str], lot_named: list[str], text: list[str], fresh: list[str], rounds: int = 32) -> DataFrame:
+def supersede(df: DataFrame, lot: list[str], lot_named: list[str], text: list[str], fresh: list[str]) -> DataFrame:
     """id, survivor: rows replaced by a fresher capture of the same lot or of the same source line. The lot decides first; a row that
     lost keeps that winner; winners that lose themselves are followed to the end (pointer doubling, which ends because freshness only grows)."""
     named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in lot_named])
@@ -43,12 +43,11 @@ def supersede(df: DataFrame, lot: list[str], lot_named: list[str], text: list[st
     said = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in text])
     two = losers(df.where(said), text, fresh).join(one.select("id"), "id", "left_anti")
     at = one.unionByName(two)
-    for _ in range(rounds):
+    moved = True
+    while moved:  # freshness only grows along the links, so they have no cycle and doubling ends
         nxt = at.alias("x").join(at.select(F.col("id").alias("_i"), F.col("winner").alias("_w")), F.col("x.winner") == F.col("_i"), "left")
         step = cut(nxt.select("x.id", F.coalesce("_w", "x.winner").alias("winner"), F.col("_w").isNotNull().alias("moved")))
-        at = step.select("id", "winner")
-        if step.where("moved").isEmpty():
-            break
+        at, moved = step.select("id", "winner"), not step.where("moved").isEmpty()
     return at.select("id", F.col("winner").alias("survivor"))
 
 

@@ -71,6 +71,27 @@ def market(found: DataFrame) -> DataFrame:
     return best.select("id", (F.col("pass") == 1).alias("established_used"), "tier", F.col("n").alias("n_comps"), F.round("mean", 2).alias("mean"), F.round(variance * 100, 2).alias("variance_pct"), band(variance, MARKET_BANDS, MARKET_TOP).alias("classification"))
 
 
+# --- fixed values: bands of a price against the market's average, in percent ---
+BELOW, COMPETITIVE, SLIGHTLY_ABOVE = -5.0, 5.0, 12.0
+
+
+def market_average(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, comparables, average (whole), variance_pct, band and points for rows (id, price); found: id, comp_price of their comparables. Without comparables a row
+    is unbenchmarked and gets neutral points."""
+    m = found.groupBy("id").agg(F.count("comp_price").alias("comparables"), F.avg("comp_price").alias("mean"))
+    j = rows.select("id", "price").join(m, "id", "left")
+    off = (F.col("price") - F.col("mean")) / F.col("mean") * 100
+    bands = ((off < BELOW, "Below Market Value", 15.0), (off <= COMPETITIVE, "Competitive Market Value", 12.5), (off <= SLIGHTLY_ABOVE, "Slightly Above Market", 10.0))
+    band, points = F.lit("Poor Value"), F.lit(5.0)
+    for test, name, worth in reversed(bands):
+        band, points = F.when(test, name).otherwise(band), F.when(test, worth).otherwise(points)
+    none = F.col("mean").isNull()
+    return j.select(
+        "id", F.coalesce("comparables", F.lit(0).cast("long")).alias("comparables"), F.round("mean", 0).alias("average"), F.round(off, 1).alias("variance_pct"),
+        F.when(none, "Unbenchmarked").otherwise(band).alias("band"), F.when(none, 7.5).otherwise(points).alias("points"),
+    )
+
+
 def cap_estimates(df: DataFrame, key: str, order: str) -> DataFrame:
     """Where estimates are over ESTIMATE_SHARE of a key's rows, only that share of them stays, the first in order."""
     sized = df.groupBy(key).agg(F.count("*").alias("_n"), F.count_if("is_estimate").alias("_e"))

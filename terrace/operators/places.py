@@ -11,7 +11,10 @@ from ..functions.values import state_name, state_of_postcode
 
 MAX_GAZETTEER = 200_000
 #: Words that end a street's name (fixed values).
-STREET_TYPES = ("street", "road", "avenue", "drive", "court", "close", "place", "way", "parade", "crescent", "boulevard", "terrace", "lane", "grove", "rise", "circuit", "st", "rd", "ave", "dr", "ct", "cct", "cres", "pde", "blvd", "tce", "ln")
+STREET_TYPES = (
+    "st", "street", "rd", "road", "dr", "drive", "ave", "avenue", "av", "cres", "crescent", "cct", "circuit", "pde", "parade", "way", "wy", "ct", "court", "cl", "close", "pl", "place", "blvd", "boulevard", "tce", "terrace",
+    "gr", "grove", "gve", "lane", "ln", "esp", "esplanade", "hwy", "highway", "mews", "walk", "loop", "link", "vista", "gdns", "gardens",
+)
 STATED, COMPOSITE, POSTCODE, ADDRESS = "stated", "composite", "postcode", "address"
 LOCATED = (STATED, COMPOSITE, POSTCODE, ADDRESS)
 

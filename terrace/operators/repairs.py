@@ -39,16 +39,20 @@ def duplicates_by_text(df: DataFrame, text: str, weights: dict[str, int], fields
     return j.where(says).select("id", "keeper")
 
 
-def label_classes(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """label, class for pairs (a, b) of one company's labels: the smallest label that can be reached, by label passing."""
+def label_classes(pairs: DataFrame) -> DataFrame:
+    """label, class for pairs (a, b) of one company's labels: the smallest label that can be reached. Each round takes the least among neighbours, then that
+    label's own, so a chain of n labels takes about log n rounds; it ends when nothing moves."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     at = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         seen = both.join(at.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        new = cut(at.join(seen, "a").select("a", F.least("c", "near").alias("c"), (F.col("near") < F.col("c")).alias("moved")))
-        at = new.select("a", "c")
-        if new.where("moved").isEmpty():
-            break
+        # a class takes the least that any of its labels sees, and its labels follow
+        hook = at.join(seen, "a").groupBy("c").agg(F.min("near").alias("near")).select("c", F.least("c", "near").alias("to"))
+        step = at.join(hook, "c").select("a", "c", "to")
+        jump = step.select(F.col("a").alias("to"), F.col("to").alias("far"))
+        new = cut(step.join(jump, "to").select("a", F.least("to", "far").alias("n"), (F.least("to", "far") < F.col("c")).alias("moved")))
+        at, moved = new.select("a", F.col("n").alias("c")), not new.where("moved").isEmpty()
     return at.select(F.col("a").alias("label"), F.col("c").alias("class"))
 
 

@@ -137,11 +137,11 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("l_partkey", "l_returnflag", F.col("l_extendedprice").alias("price")).join(n, ["l_partkey", "l_returnflag"])
 
 
-@query("""SELECT id, lot, design, price FROM (SELECT id, coalesce(suburb, '') AS lot, coalesce(lower(product_type), '') AS design, price, row_number() OVER (PARTITION BY coalesce(lower(suburb), ''), coalesce(lower(product_type), ''), floor(price / 1000) ORDER BY id) AS r FROM LISTINGS) WHERE r = 1""")
+@query("""SELECT id, lot, design, price FROM (SELECT id, coalesce(suburb, '') AS lot, coalesce(lower(product_type), '') AS design, price, row_number() OVER (PARTITION BY coalesce(lower(suburb), ''), coalesce(lower(product_type), ''), price ORDER BY id) AS r FROM LISTINGS) WHERE r = 1""")
 def package_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lot, design and price (by the thousand) equal: the first is kept."""
+    """Lot, design and price equal: the first is kept."""
     l = listings(spark, sf_dir)
-    keyed = l.select("id", F.coalesce("suburb", F.lit("")).alias("lot"), F.coalesce(F.lower("product_type"), F.lit("")).alias("design"), "price", F.lower(F.coalesce("suburb", F.lit(""))).alias("k"), F.floor(F.col("price") / 1000).alias("p"))
+    keyed = l.select("id", F.coalesce("suburb", F.lit("")).alias("lot"), F.coalesce(F.lower("product_type"), F.lit("")).alias("design"), "price", F.lower(F.coalesce("suburb", F.lit(""))).alias("k"), F.col("price").alias("p"))
     return captures.first_by(keyed, ["k", "design", "p"], [F.col("id")]).select("id", "lot", "design", "price")
 
 

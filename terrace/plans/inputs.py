@@ -53,16 +53,19 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-@query()
+@query("SELECT user_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of captures, merged by user: the last value, the one before, and the last time seen."""
+    """Events as a stream of captures in three batches that come in no order of time, merged by user: the latest value and its time."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    e.write.parquet(f"{root}/in")
-    stream = ingest.read_captures(spark, f"{root}/in", _FILES)
+    e.repartition(max(3, spark.sparkContext.defaultParallelism), "event_id").write.parquet(f"{root}/in")
+    files = len(spark.read.parquet(f"{root}/in").inputFiles())
+    per_batch = -(-files // 3)
+    stream = ingest.read_captures(spark, f"{root}/in", _FILES, per_batch)
     rules = {"value": captures.STATED, "event_type": captures.FILL, "ts": captures.ALWAYS}
     ingest.upsert_stream(stream, f"{root}/table", "user_id", rules, {"value": "value_previous"}, ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table/v=0").select("user_id", "value", "ts")
+    last = -(-files // per_batch) - 1
+    return spark.read.parquet(f"{root}/table/v={last}").select("user_id", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import links, text
-from ..functions.values import is_fresh, variant_key
+from ..functions.values import is_fresh, text_key, variant_key
 from ..operators import lines as ops
 from ..operators import places
 from .catalogue import query as _query
@@ -177,6 +177,24 @@ def variant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(_k().alias("id"), variant_key(line).alias("variant"))
 
 
+@query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'lot 4 arklay 17' WHEN 1 THEN 'lot 5 vesper' WHEN 2 THEN 'lot 6 dune' WHEN 3 THEN 'lot 7 home' WHEN 4 THEN 'lot 8, clearwater' END AS variant FROM part")
+def variant_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses, dates and money that change, some cut in half, and a line that only has an address."""
+    line = _say("Lot 4  Arklay 17 $ 505k Titled", "lot 5 Vesper TBC Q3 2026 avail", "Lot 6 Dune registered Sep-2", "Lot 7 home unregistered 1/9/26 quarter 2, 26 not", "")
+    rows = _part(spark, sf_dir).withColumn("line", line)
+    return rows.select(_k().alias("id"), F.regexp_replace(variant_key(F.col("line"), F.lit("Lot 8, Clearwater")), " not$", "").alias("variant"))
+
+
+@query("SELECT p_size % 5 AS kind, count(*) AS n, count(DISTINCT p_size % 5) AS keys FROM part WHERE p_size % 5 < 4 GROUP BY 1")
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spellings of one line have one key: each kind's rows alternate between them."""
+    one = _say("Lot 9 $ 9 89,900 269 m2", "Lot 10 450sqm", "Lot 11 A", "Lot 12 B", "")
+    two = _say("lot 9  $989,900 269", "LOT 10 450", "lot 11  a", "lot  12 b", "")
+    line = F.when(_k() % 2 == 0, one).otherwise(two)
+    keyed = _part(spark, sf_dir).select((_z() % 5).alias("kind"), text_key(F.lit("Mail"), line, F.lit(5.0)).alias("key")).where("key IS NOT NULL")
+    return keyed.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
 # --- links and pages ---
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'floorplan_url' WHEN 1 THEN 'brochure_url' ELSE 'listing_url' END AS kind, CASE page_id % 3 WHEN 0 THEN 'floorplan' WHEN 1 THEN 'pricelist' ELSE 'brochure' END AS asset FROM pages")
 def link_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

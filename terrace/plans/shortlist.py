@@ -47,6 +47,31 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.count_if(F.col("gate_reason") == "over ceiling").alias("over_ceiling"), F.count_if(kept & (F.col("bathrooms").isNull() | F.col("car_spaces").isNull())).alias("unstated_but_scored"))
 
 
+_WORDS = (*gates.ACCEPTED, *gates.REFUSED, "eoi", "sold out", " Now Selling ", "OFF MARKET", "mystery", "")
+
+
+@query("WITH w AS (SELECT [" + ", ".join(f"'{w}'" for w in _WORDS) + f"""] AS said), l AS (SELECT p_partkey AS id, lower(trim(w.said[(p_partkey % {len(_WORDS)})::INT + 1])) AS said FROM part, w)
+SELECT id, CASE WHEN said IN ('sold', 'under offer', 'reserved', 'leased', 'on hold', 'withdrawn', 'not available', 'unavailable', 'not avail', 'no longer available', 'off market', 'settled', 'deposit taken', 'contract pending') THEN 'not available'
+  WHEN said NOT IN ('available', 'for sale', 'in stock', 'released', 'selling', 'titled', 'now selling', 'open') THEN 'availability unstated' END AS gate_reason FROM l""")
+def gate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that states availability, and some that don't."""
+    said = F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % len(_WORDS)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("").alias("superseded_by"), F.lit("NSW").alias("home"), said.alias("availability"), F.lit(1.0).alias("price"), F.lit("A").alias("suburb"))
+    return gates.gated(rows, {"states": ["NSW"]}).select("id", "gate_reason")
+
+
+@query("""WITH m AS (SELECT p_size, avg(p_retailprice) AS mean, count(*) AS n FROM part WHERE p_size % 7 > 0 GROUP BY 1), v AS (SELECT p_partkey AS id, n, mean, (p_retailprice - mean) / mean * 100 AS off FROM part LEFT JOIN m USING (p_size))
+SELECT id, coalesce(n, 0) AS comparables, round(mean, 0) AS average, CASE WHEN off IS NULL THEN 'Unbenchmarked' WHEN off < -5 THEN 'Below Market Value' WHEN off <= 5 THEN 'Competitive Market Value' WHEN off <= 12 THEN 'Slightly Above Market' ELSE 'Poor Value' END AS band,
+  CASE WHEN off IS NULL THEN 7.5 WHEN off < -5 THEN 15.0 WHEN off <= 5 THEN 12.5 WHEN off <= 12 THEN 10.0 ELSE 5.0 END::DOUBLE AS points FROM v""")
+def market_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), "p_size")
+    means = p.where("p_size % 7 > 0").groupBy("p_size").agg(F.avg("price").alias("comp_price"), F.count("*").alias("n"))
+    # of each size the parts' average is the one comparable, so that sizes with many parts are summed before the join
+    found = p.select("id", "p_size").join(means, "p_size").select("id", "comp_price", "n")
+    out = ladder.market_average(found, p).drop("variance_pct", "comparables")
+    return out.join(found.select("id", F.col("n").alias("comparables")), "id", "left").fillna(0, ["comparables"]).select("id", "comparables", "average", "band", "points")
+
+
 # --- places ---
 _PLACES_SQL = "places AS (SELECT n_nationkey AS id, n_name AS name, (n_nationkey * 37 % 60 - 30)::DOUBLE / 20 - 33 AS lat, (n_nationkey * 53 % 80)::DOUBLE / 20 + 149 AS lng, n_regionkey FROM nation)"
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2))))"

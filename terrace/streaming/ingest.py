@@ -15,15 +15,24 @@ def read_captures(spark: SparkSession, path: str, schema: str, files_per_batch:
 
 def upsert_stream(stream: DataFrame, table: str, key: str, rules: dict[str, str], previous: dict[str, str], newest: list[str], checkpoint: str) -> StreamingQuery:
     """Merges each micro-batch into the table's next version (``table/v=N``, N the batch). A batch that is run again writes the same version again, so a
-    restart changes nothing; of equal keys in a batch the newest by ``newest`` counts, whatever the order of arrival."""
+    restart changes nothing. Of equal keys the newest by ``newest`` counts, whatever the order of arrival: in a batch, and across batches, since the table keeps
+    each key's latest (``latest``) and an older capture that comes late changes nothing. Versions before the last two are deleted."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        one = captures.first_by(batch, [key], [F.col(c).desc() for c in newest])
+        one = captures.first_by(batch, [key], [F.col(c).desc() for c in newest]).withColumn("latest", F.struct(*newest))
         columns = [key, *rules, *previous.values()]
-        fresh = one.select(*[F.col(c) if c in one.columns else F.lit(None).cast(dict(one.dtypes)[source]).alias(c) for c, source in [(c, c) for c in (key, *rules)] + [(p, c) for c, p in previous.items()]])
-        old = spark.read.parquet(f"{table}/v={number - 1}").select(*columns) if number else fresh.limit(0)
-        captures.merge(old, fresh, key, rules, previous).write.mode("overwrite").parquet(f"{table}/v={number}")
+        kinds = dict(one.dtypes)
+        blank = [F.lit(None).cast(kinds[c]).alias(p) for c, p in previous.items()]
+        fresh = one.select(key, *rules, *blank, "latest")
+        old = spark.read.parquet(f"{table}/v={number - 1}").select(*columns, "latest") if number else fresh.limit(0)
+        known = old.select(key, F.col("latest").alias("_old"))
+        fresh = fresh.join(known, key, "left").where(F.col("_old").isNull() | (F.col("latest") >= F.col("_old"))).drop("_old")
+        latest = old.select(key, "latest").unionByName(fresh.select(key, "latest")).groupBy(key).agg(F.max("latest").alias("latest"))
+        captures.merge(old.drop("latest"), fresh.drop("latest"), key, rules, previous).join(latest, key).write.mode("overwrite").parquet(f"{table}/v={number}")
+        if number > 1:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - 2}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -166,3 +166,18 @@ def test_verdicts_of_many_prices_equal_all_pairs(spark):
         fix = min((s[3] for s in own if s[1] == "component" and abs(price - s[2]) < 1), default=None)
         want = "PART SOLD ALONE" if text == "LAND ONLY" else "NO EVIDENCE" if not own else "TOTAL" if any(s[1] == "total" and abs(price - s[2]) <= 2000 for s in own) else "COMPONENT" if fix else "NOT FOUND"
         assert got[i] == (want, fix if want == "COMPONENT" else None)
+
+
+def test_long_chains_of_labels_are_one_class(spark):
+    from terrace.operators import repairs
+
+    pairs = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)] + [("x", "y")], "a string, b string")
+    got = rows(repairs.label_classes(pairs), "label", "class")
+    assert {c for _, c in got} == {"n0000", "x"} and len(got) == 1003
+
+
+def test_gates_doubt_channels_and_places(spark):
+    df = spark.createDataFrame([(1, "Portal ", True), (2, "mail", False), (3, None, True)], "id int, source_channel string, located boolean")
+    df = df.selectExpr("*", "'' AS superseded_by", "'NSW' AS home", "'for sale' AS availability", "1.0D AS price", "'A' AS suburb")
+    got = dict(rows(gates.gated(df, {"states": ["NSW"], "unverified_channels": ["portal"]}), "id", "gate_reason"))
+    assert got == {1: "price unverified", 2: "not a locality", 3: None}

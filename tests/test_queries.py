@@ -16,14 +16,6 @@ def test_same_as_sql(spark, sf_dir, connection, name):
     assert_same(spark, connection, sf_dir, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-def test_stream_upsert_gives_a_row_per_user(spark, sf_dir):
-    got = catalog.QUERIES["stream_upsert"](spark, sf_dir)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    assert got.count() == events.select("user_id").distinct().count()
-    last = events.groupBy("user_id").agg({"ts": "max"}).collect()
-    assert {(r[0], r[1]) for r in last} == {(r.user_id, r.ts) for r in got.collect()}
-
-
 def test_entry_runs(spark):
     import __spark_entry__ as e
 

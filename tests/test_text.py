@@ -94,3 +94,13 @@ def test_identity_ignores_case_and_spacing(spark):
     df = spark.createDataFrame([(" Kemps  Creek", "12"), ("kemps creek", "12")], "suburb string, lot string")
     h = [r[0] for r in df.select(values.content_hash({"suburb": F.col("suburb"), "lot": F.col("lot")})).collect()]
     assert h[0] == h[1] and h[0].startswith("v2:") and len(h[0]) == 67
+
+
+def test_incentive_near_rent(spark):
+    from pyspark.sql import functions as F
+
+    from terrace.functions import text
+
+    cases = {"rent $650 $20,000 rebate": None, "rebate of $15,000 here": 15000.0, "rent is paid weekly; then a long line of words about other things, and at last a $20,000 rebate": 20000.0, "rebate $5,000 then yield": None}
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.incentive(F.col("t")).alias("v")).collect()}
+    assert got == cases
