@@ -181,3 +181,33 @@ def test_gates_doubt_channels_and_places(spark):
     df = df.selectExpr("*", "'' AS superseded_by", "'NSW' AS home", "'for sale' AS availability", "1.0D AS price", "'A' AS suburb")
     got = dict(rows(gates.gated(df, {"states": ["NSW"], "unverified_channels": ["portal"]}), "id", "gate_reason"))
     assert got == {1: "price unverified", 2: "not a locality", 3: None}
+
+
+def test_small_steps_of_a_run(spark):
+    from terrace.operators import audits
+
+    df = spark.createDataFrame([("a", 5.0, 1, "x", "NSW", "B"), ("b", 9.0, 0, None, None, "A"), ("c", None, 1, "y", None, "A")], "content_hash string, price double, promo_selected int, promo_selected_at string, state string, suburb string")
+    assert [r[0] for r in audits.within_budget(df, 5.0).collect()] == ["a"]
+    cleared = {r.content_hash: (r.promo_selected, r.promo_selected_at, r.changed) for r in audits.clear_marks(df).collect()}
+    assert cleared == {"a": (0, None, True), "b": (0, None, False), "c": (0, None, True)}
+    assert [r.content_hash for r in audits.promo_order(df).collect()] == ["c", "a"]
+    off = audits.select_marks(df, df.where("content_hash = 'a'"), "content_hash", False, "now")
+    assert {r.content_hash: r.promo_selected for r in off.collect()} == {"a": 0, "b": 0, "c": 1}
+    assert [r.content_hash for r in audits.newest(df, "price", 2).collect()] == ["b", "a"]
+    meta = spark.createDataFrame([("v", "1"), ("w", "2")], "key string, value string")
+    assert {tuple(r) for r in audits.set_values(meta, spark.createDataFrame([("w", "3"), ("z", "4")], meta.schema)).collect()} == {("v", "1"), ("w", "3"), ("z", "4")}
+    pages = spark.createDataFrame([("k", 1, None), ("k", 2, 7.0), ("m", 1, None)], "key string, page int, price double")
+    once, withheld = audits.priced_once(pages, "key")
+    assert [tuple(r) for r in once.collect()] == [("k", 2, 7.0)] and withheld.first().withheld == 1
+
+
+def test_audits_of_empty_tables_and_nulls(spark):
+    from terrace.operators import audits
+
+    schema = "id long, postcode string, lot_address string, suburb string, source_text string, state string, state_source string, price double, product_type string, bedrooms int, bathrooms double, car_spaces int, house_sqm double, land_sqm double, estate_name string"
+    for rows in ([], [tuple([1] + [None] * 14)]):
+        df = spark.createDataFrame(rows, schema)
+        assert all(f(df).count() == 0 for f in (audits.fabricated_postcodes, audits.understated_prices, audits.land_only, audits.rejected_today))
+        assert audits.spec_audit(df).first().agree == 0 and audits.backfilled_specs(df).count() == len(rows)
+    none = spark.createDataFrame([(None,)], "label string")
+    assert audits.contained_labels(none, none.toDF("name")).count() == 0
