@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, license_scan, line_rules, media, mixing, ngram_join, packing, quality_pu, toxicity, url_filter
+from . import context_mixing, license_scan, line_rules, media, mixing, ngram_join, packing, periodic_runs, quality_pu, spelling, token_counts, toxicity, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,49 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_media_copies"] = op3_media_copies
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op11(documents(spark, sf_dir))
+
+
+#: CRC-32 is written out: a table of 256 entries by its rule (polynomial 0xEDB88320), then a fold over the bytes. Near words share what is left when the
+#: letter at one place is taken out, or one of them is that rest.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), each AS (SELECT d, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(d || ':' || run)) + 1), lambda i: ('0x' || substr(hex(encode(d || ':' || run)), 2 * i - 1, 2))::BIGINT)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h
+  FROM each, crc_table
+), v AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), gap AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM gap g JOIN v ON g.rest = v.word
+  UNION SELECT v.word, g.word, g.n FROM gap g JOIN v ON g.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS m, min(other) FILTER (n = top) AS other FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) WHERE walk.root IN (SELECT word FROM f WHERE form IS NULL)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op12(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op13(documents(spark, sf_dir))
+
+
+QUERIES |= {"op11_spelling_variants": op11_spelling_variants, "op12_periodic_runs": op12_periodic_runs, "op13_token_counts": op13_token_counts}
+ORACLE_SQL["op11_spelling_variants"] = OP11_SQL
