@@ -214,7 +214,7 @@ def test_a_full_summary_keeps_what_is_frequent(monkeypatch):
 # --- odd rows ---
 @pytest.mark.parametrize("op", [spelling.op11, periodic_runs.op12, token_counts.op13])
 def test_odd_rows_and_empty_tables(op, odd):
-    clash = odd.withColumn("TEXT", F.lit("clash")).withColumn("word", F.lit(1)).withColumn("n", F.lit(2)).withColumn("run", F.lit(3)).withColumn("key", F.lit(4)).withColumn("n_bytes", F.lit(5))
+    clash = odd.select("*", F.lit("clash").alias("TEXT"), *[F.lit(3).alias(c) for c in ("word", "n", "run", "key", "n_bytes", "N_Bytes")])
     rows = op(clash).collect()
     if op is spelling.op11:
         assert {r.word: (r.n, r.form) for r in rows} == {w: (c, None) for w, c in plain_counts([(r.doc_id, r.text) for r in odd.collect()]).items()}
