@@ -76,5 +76,42 @@ def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], previ
     return both.select(*out, outcome.alias("outcome"))
 
 
+def is_blank(c: Column) -> Column:
+    return c.isNull() | (c.cast("string") == "")
+
+
+def registers(df: DataFrame, key: str, rules: dict[str, str], previous: dict[str, str], time: list[str]) -> DataFrame:
+    """Captures as register rows: for each column of rules a struct (at, value), null where this capture has no say, and for each column of previous
+    (stated columns only) an empty register of the value before. ``time`` orders captures and has to tell them apart."""
+    if odd := [c for c in previous if rules[c] != STATED]:
+        raise ValueError(f"only stated columns keep their value before: {odd}")
+    at, out = F.struct(*time).alias("at"), [F.col(key)]
+    for c, rule in rules.items():
+        said = F.struct(at, F.col(c).alias("value"))
+        out.append((F.when(~is_blank(F.col(c)), said) if rule in (STATED, FILL) else said).alias(c))
+    kinds = {c: rows.dataType.simpleString() for rows in df.select(*out).schema for c in [rows.name]}
+    return df.select(*out, *[F.lit(None).cast(kinds[c]).alias(p) for c, p in previous.items()])
+
+
+def settle(rows: DataFrame, key: str, rules: dict[str, str], previous: dict[str, str]) -> DataFrame:
+    """One register row per key, whatever the order and number of the rows that come together: a settled row is a register row again, and settling is
+    associative. The latest capture counts for ALWAYS, the latest with a value for STATED, the earliest with one for FILL, the earliest for NEVER. The
+    value before is the latest stated one that differs from the current one."""
+    pick = {ALWAYS: F.max, STATED: F.max, FILL: F.min, NEVER: F.min}
+    now = rows.groupBy(key).agg(*[pick[rule](c).alias(c) for c, rule in rules.items()])
+    if not previous:
+        return now
+    # what was stated otherwise is known once the current value is: a row per key goes back to the rows, and the rest is summed up again
+    current = now.select(F.col(key).alias("_key"), *[F.col(f"{c}.value").alias(f"_{c}") for c in previous])
+    other = lambda r, c: F.when(~F.col(f"{r}.value").eqNullSafe(F.col(f"_{c}")), F.col(r))
+    before = rows.join(current, F.col(key).eqNullSafe(F.col("_key"))).groupBy("_key").agg(*[F.max(F.greatest(other(c, c), other(p, c))).alias(p) for c, p in previous.items()])
+    return now.join(before, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def settled_values(state: DataFrame, key: str, rules: dict[str, str], previous: dict[str, str]) -> DataFrame:
+    """The plain table that settled registers stand for."""
+    return state.select(key, *[F.col(f"{c}.value").alias(c) for c in (*rules, *previous.values())])
+
+
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates([key]))

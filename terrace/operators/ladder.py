@@ -1,7 +1,9 @@
-"""Comparables: one join of listings and comparables, tested against every tier of the ladder at once, then the first tier with enough."""
+"""Comparables: the tiers of the ladder are counted without pairs, then the first tier with enough is joined, once for all listings that share it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,50 +27,142 @@ def nearest(rows: DataFrame, comps: DataFrame, near: DataFrame, k: int) -> DataF
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("km", "d", "comp_id"))).where(F.col("rank") <= k)
 
 
-def pairs(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
-    """id, tier, own, comp_id, price, is_estimate, is_new: a row for each tier that a comparable of the same kind fits."""
-    j = _near(rows, comps, near).where(F.col("kind") == F.col("c_kind"))
+CELL = ["suburb", "kind", "bedrooms"]
+#: Steps of a factor of e that values are split into for running sums.
+STEPS = 20
+
+
+def running(df: DataFrame, keys: list[str], at: str, order: str, sums: list[str]) -> DataFrame:
+    """df with, for each of sums, its running sum per key by (at, order) as ``run_<name>``, the row itself included. The values of a key are split into bands, so that a
+    key with very many of them is many tasks: a band sums its own rows and starts from the totals of those before, of which there are a few hundred."""
+    banded = df.withColumn("_band", F.floor(F.log(F.greatest(F.col(at).cast("double"), F.lit(1.0))) * STEPS).cast("int"))
+    total = banded.groupBy(*keys, "_band").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    ahead = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    start = total.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_band").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "_band").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = banded.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_band") == F.col("_b")])
+    return rows.join(start, same).select(*df.columns, *[(F.col(f"run_{c}") + F.col(f"_s_{c}")).alias(f"run_{c}") for c in sums])
+
+
+def _priced(comps: DataFrame) -> DataFrame:
+    return comps.where("price > 0 AND suburb IS NOT NULL AND kind IS NOT NULL AND bedrooms IS NOT NULL")
+
+
+def _around(cells: DataFrame, near: DataFrame, *keep: str) -> DataFrame:
+    """cells (CELL and keep) with other, beds, d, km: every cell of comparables that may be near enough, as keys of a join."""
+    most = max(beds for _, beds, _, _ in LADDER)
+    side = F.explode(F.sequence(F.col("bedrooms") - most, F.col("bedrooms") + most))
+    return cells.join(near, "suburb").withColumn("beds", side).select(*CELL, *keep, "other", "km", "beds", F.abs(F.col("beds") - F.col("bedrooms")).alias("d"))
+
+
+def tier_counts(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
+    """CELL, land_sqm (of the listings, each once) with n_<tier> and new_<tier>: how many priced comparables, and new ones, fit each tier. No
+    listing meets a comparable for it: comparables are counted per cell; a tier with bounds on land (of the cell itself) is the difference of two running counts by land."""
+    lands = _priced(comps).groupBy(*CELL, "land_sqm").agg(F.count("*").alias("n"), F.count_if("is_new").alias("new"))
+    asked = rows.select(*CELL, "land_sqm").distinct()
+    cells = lands.groupBy(*CELL).agg(F.sum("n").alias("n"), F.sum("new").alias("new"))
+    other = cells.select(F.col("suburb").alias("other"), "kind", F.col("bedrooms").alias("beds"), "n", "new")
+    fits = {t: (F.col("d") <= beds) & (F.col("km") <= km) for t, beds, _, km in LADDER}
+    whole = _around(asked.select(*CELL).distinct(), near).join(other, ["other", "kind", "beds"]).groupBy(*CELL).agg(*[F.sum(F.when(ok, F.col(c)).otherwise(0)).alias(f"{c}_{t}") for t, ok in fits.items() for c in ("n", "new")])
+
+    bounded = [(t, tolerance) for t, _, tolerance, _ in LADDER if tolerance is not None]
     land = F.col("land_sqm")
+    ends = [F.struct(F.lit(t).alias("tier"), (land * x).alias("at"), F.lit(side).alias("side")) for t, tolerance in bounded for x, side in ((1 - tolerance, -1), (1 + tolerance, 1))]
+    # below the lower end counts what is smaller, up to the upper end what is equal, too: ends sort before and after equal lands
+    bounds = asked.where(land.isNotNull()).withColumn("e", F.explode(F.array(*ends))).select(*CELL, "land_sqm", "e.*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("new"))
+    known = lands.where(land.isNotNull()).select(*CELL, F.lit(None).cast("double").alias("land_sqm"), F.lit(None).cast("int").alias("tier"), land.cast("double").alias("at"), F.lit(0).alias("side"), "n", "new")
+    run = running(known.unionByName(bounds), CELL, "at", "side", ["n", "new"]).where("side <> 0")
+    inside = run.groupBy(*CELL, "land_sqm").agg(*[F.sum(F.when(F.col("tier") == t, F.col("side") * F.col(f"run_{c}"))).alias(f"in_{c}_{t}") for t, _ in bounded for c in ("n", "new")])
+    both = asked.join(whole, CELL, "left").join(inside, [*CELL, "land_sqm"], "left")
+    within = {t for t, _ in bounded}
+    count = lambda c, t: F.coalesce(F.when(land.isNotNull(), F.col(f"in_{c}_{t}")).otherwise(F.col(f"{c}_{t}")) if t in within else F.col(f"{c}_{t}"), F.lit(0))
+    return both.select(*CELL, "land_sqm", *[count(c, t).cast("int").alias(f"{c}_{t}") for t, *_ in LADDER for c in ("n", "new")])
 
-    def fits(tier, beds, tolerance, km):
-        ok = (F.abs(F.col("c_beds") - F.col("bedrooms")) <= beds) & (F.col("km") <= km)
-        if tolerance is not None:
-            ok = ok & (land.isNull() | F.col("c_land").between(land * (1 - tolerance), land * (1 + tolerance)))
-        return F.when(ok, F.lit(tier))
 
-    return j.withColumn("tier", F.explode(F.array_compact(F.array(*[fits(*t) for t in LADDER])))).select("id", "tier", F.col("price").alias("own"), "comp_id", F.col("c_price").alias("price"), "is_estimate", "is_new")
+def _with_choice(rows: DataFrame, choices: DataFrame) -> DataFrame:
+    c = choices.select(*[F.col(k).alias(f"_{k}") for k in (*CELL, "land_sqm")], *[x for x in choices.columns if x not in (*CELL, "land_sqm")])
+    return rows.join(c, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*CELL, "land_sqm")])).drop(*[f"_{k}" for k in (*CELL, "land_sqm")])
 
 
-def choose(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """id, tier, n_comps: the first tier with MIN_COMPS, else the last tier."""
+def _chosen(counts: DataFrame) -> DataFrame:
+    """tier, n_comps, only_new: the first tier with MIN_COMPS, else the last tier."""
+    last = LADDER[-1][0]
+    tier = F.coalesce(*[F.when(F.col(f"n_{t}") >= MIN_COMPS, F.lit(t)) for t, *_ in LADDER], F.lit(last))
+    n = F.coalesce(*[F.when(tier == t, F.col(f"n_{t}")) for t, *_ in LADDER])
+    return counts.select(*CELL, "land_sqm", tier.alias("tier"), n.alias("n_comps"), F.lit(False).alias("only_new"))
+
+
+def _chosen_pass(counts: DataFrame) -> DataFrame:
+    """The same over new builds, then over all; cells with enough in neither are left out."""
     last = LADDER[-1][0]
-    n = found.groupBy("id", "tier").agg(F.count("*").cast("int").alias("n"))
-    good = n.where((F.col("n") >= MIN_COMPS) | (F.col("tier") == last)).groupBy("id").agg(F.min(F.struct("tier", "n")).alias("x"))
-    return rows.select("id").join(good, "id", "left").select("id", F.coalesce("x.tier", F.lit(last)).alias("tier"), F.coalesce("x.n", F.lit(0)).alias("n_comps"))
-
-
-def competitive(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Statistics of the chosen tier, for listings with MIN_ANY comparables: only tight tiers may flag or pass."""
-    chosen = choose(found, rows).where(F.col("n_comps") >= MIN_ANY)
-    picked = found.join(chosen, ["id", "tier"])
-    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("price", "comp_id")) - 1)
-    at = lambda share: F.max(F.when(F.col("rank") == F.floor(F.col("n_comps") * F.lit(share)), F.col("price")))
-    s = picked.groupBy("id", "tier", "n_comps").agg(F.median("price").alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.min("price").alias("cheapest"), F.count_if(F.col("price") < F.col("own")).alias("below"), F.first("own").alias("own"))
-    n, tier = F.col("n_comps"), F.col("tier")
+    enough = [F.when((F.col(f"{c}_{t}") >= MIN_COMPS) | ((F.col(f"{c}_{t}") >= MIN_ANY) & F.lit(t == last)), F.struct(F.lit(t).alias("tier"), F.col(f"{c}_{t}").alias("n_comps"), F.lit(c == "new").alias("only_new"))) for c in ("new", "n") for t, *_ in LADDER]
+    return counts.withColumn("x", F.coalesce(*enough)).where("x IS NOT NULL").select(*CELL, "land_sqm", "x.*")
+
+
+def choose(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
+    """id, tier, n_comps: the first tier with MIN_COMPS, else the last tier."""
+    return _with_choice(rows, _chosen(tier_counts(rows, comps, near))).select("id", "tier", "n_comps")
+
+
+#: What tells apart the sets of comparables that listings are held against: land only where the tier asks for it.
+GROUP = [*CELL, "land", "tier", "only_new"]
+
+
+def _grouped(choices: DataFrame) -> DataFrame:
+    bounded = [t for t, _, tolerance, _ in LADDER if tolerance is not None]
+    return choices.withColumn("land", F.when(F.col("tier").isin(bounded), F.col("land_sqm").cast("double")))
+
+
+def members(groups: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
+    """GROUP, price, n: the priced comparables of each group's tier, counted by price. Only the chosen tier's comparables are joined, and once for all listings
+    that are held against the same."""
+    tiers = {t: (beds, tolerance, km) for t, beds, tolerance, km in LADDER}
+    pick = lambda k: F.coalesce(*[F.when(F.col("tier") == t, F.lit(x[k])) for t, x in tiers.items()])
+    c = _priced(comps).groupBy(F.col("suburb").alias("other"), "kind", F.col("bedrooms").alias("beds"), F.col("land_sqm").cast("double").alias("c_land"), "price", "is_new").agg(F.count("*").alias("n"))
+    places = _around(groups.select(*GROUP).distinct(), near, "land", "tier", "only_new").where((F.col("d") <= pick(0)) & (F.col("km") <= pick(2)))
+    land = F.col("land")
+    fits = pick(1).isNull() | land.isNull() | F.col("c_land").between(land * (1 - pick(1)), land * (1 + pick(1)))
+    return places.join(c, ["other", "kind", "beds"]).where(fits & (~F.col("only_new") | F.col("is_new"))).groupBy(*GROUP, "price").agg(F.sum("n").alias("n"))
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    g = groups.select(*[F.col(k).alias(f"_{k}") for k in GROUP], *[x for x in groups.columns if x not in GROUP])
+    return rows.join(g, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP])).drop(*[f"_{k}" for k in GROUP])
+
+
+def competitive(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
+    """Statistics of the chosen tier, for listings with MIN_ANY comparables: only tight tiers may flag or pass. Prices are best given as decimals:
+    the middle of two of them is then exact. A listing's percentile is read from the same running count as the quantiles."""
+    choices = _grouped(_chosen(tier_counts(rows, comps, near)).where(F.col("n_comps") >= MIN_ANY))
+    asked = _with_choice(rows, choices).withColumn("own", F.col("price"))
+    sizes = choices.select(*GROUP, "n_comps").distinct()
+    prices = members(choices, comps, near).withColumn("side", F.lit(1))
+    owns = asked.select(*GROUP, "price").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("side", F.lit(0))  # before equal prices: those below count
+    run = running(prices.unionByName(owns.where("price IS NOT NULL")), GROUP, "price", "side", ["n"])
+    n = F.col("n_comps")
+    at = lambda k: F.min(F.when((F.col("side") == 1) & (F.col("run_n") > k), F.col("price")))
+    stats = _join_groups(run, sizes).groupBy(*GROUP).agg(
+        at(F.floor((n - 1) / 2)).alias("_low"), at(F.floor(n / 2)).alias("_high"), at(F.floor(n * F.lit(0.25))).alias("p25"), at(F.floor(n * F.lit(0.75))).alias("p75"), F.min(F.when(F.col("side") == 1, F.col("price"))).alias("cheapest"),
+    )
+    below = run.where("side = 0").select(*GROUP, F.col("price").alias("_own"), F.col("run_n").alias("below"))
+    s = _join_groups(asked, stats).join(below.select(*[F.col(k).alias(f"_{k}") for k in GROUP], "_own", "below"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP] + [F.col("own") == F.col("_own")]), "left")
+    tier = F.col("tier")
     confidence = F.when((tier <= TIGHT) & (n >= HIGH_COMPS), "high").when((tier <= 3) & (n >= MIN_COMPS), "medium").otherwise("low")
     verdict = F.when(tier > TIGHT, "insufficient").when(F.col("cheapest") < F.col("own"), "flag").otherwise("pass")
-    two = lambda c: F.round(c, 2).alias(c)
-    return s.select("id", "tier", "n_comps", two("median"), two("p25"), two("p75"), two("cheapest"), F.round(F.col("below") / n * 100.0, 1).alias("percentile"), confidence.alias("confidence"), verdict.alias("verdict"))
-
-
-def market(found: DataFrame) -> DataFrame:
-    """The ladder over new builds, then over all; the first (pass, tier) with enough gives the market's mean and band."""
-    both = found.withColumn("pass", F.explode(F.when(F.col("is_new"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    n = both.groupBy("id", "pass", "tier").agg(F.count("*").cast("int").alias("n"), F.avg("price").alias("mean"), F.first("own").alias("own"))
-    good = n.where((F.col("n") >= MIN_COMPS) | ((F.col("tier") == LADDER[-1][0]) & (F.col("n") >= MIN_ANY)))
-    best = good.groupBy("id").agg(F.min(F.struct("pass", "tier", "n", "mean", "own")).alias("x")).select("id", "x.*")
-    variance = (F.col("own") - F.col("mean")) / F.col("mean")
-    return best.select("id", (F.col("pass") == 1).alias("established_used"), "tier", F.col("n").alias("n_comps"), F.round("mean", 2).alias("mean"), F.round(variance * 100, 2).alias("variance_pct"), band(variance, MARKET_BANDS, MARKET_TOP).alias("classification"))
+    two = lambda c, name: F.round(c, 2).cast("double").alias(name)
+    middle = (F.col("_low") + F.col("_high")) * F.lit(0.5).cast("decimal(2,1)" if dict(rows.dtypes)["price"].startswith("decimal") else "double")
+    return s.select("id", "tier", "n_comps", two(middle, "median"), two(F.col("p25"), "p25"), two(F.col("p75"), "p75"), two(F.col("cheapest"), "cheapest"), F.round(F.coalesce("below", F.lit(0)) / n * 100.0, 1).alias("percentile"), confidence.alias("confidence"), verdict.alias("verdict"))
+
+
+def market(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
+    """The ladder over new builds, then over all; the first (pass, tier) with enough gives the market's mean and band. The mean is rounded from the exact sum of decimals."""
+    choices = _grouped(_chosen_pass(tier_counts(rows, comps, near)))
+    sums = members(choices, comps, near).groupBy(*GROUP).agg(F.sum(F.col("price").cast("decimal(18,4)") * F.col("n")).alias("total"))
+    m = _join_groups(_with_choice(rows, choices), sums).withColumn("mean", F.col("total").cast("double") / F.col("n_comps"))
+    variance = (F.col("price").cast("double") - F.col("mean")) / F.col("mean")
+    cents = F.expr("(200 * total + n_comps) div (2 * n_comps)")  # half a cent goes up
+    return m.select("id", (~F.col("only_new")).alias("established_used"), "tier", "n_comps", (cents / 100.0).alias("mean"), F.round(variance * 100, 2).alias("variance_pct"), band(variance, MARKET_BANDS, MARKET_TOP).alias("classification"))
 
 
 # --- fixed values: bands of a price against the market's average, in percent ---

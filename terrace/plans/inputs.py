@@ -63,9 +63,30 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_batch = -(-files // 3)
     stream = ingest.read_captures(spark, f"{root}/in", _FILES, per_batch)
     rules = {"value": captures.STATED, "event_type": captures.FILL, "ts": captures.ALWAYS}
-    ingest.upsert_stream(stream, f"{root}/table", "user_id", rules, {"value": "value_previous"}, ["ts", "event_id"], f"{root}/checkpoint").awaitTermination()
-    last = -(-files // per_batch) - 1
-    return spark.read.parquet(f"{root}/table/v={last}").select("user_id", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    ingest.upsert_stream(stream, f"{root}/table", "user_id", rules, {"value": "value_previous"}, ["ts", "event_id"], f"{root}/checkpoint", 8).awaitTermination()
+    return ingest.current(spark, f"{root}/table", "user_id", rules, {"value": "value_previous"}).select("user_id", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value) END AS value, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 4 > 0 THEN event_id END AS seen FROM events),
+v AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM e WHERE value IS NOT NULL GROUP BY 1),
+p AS (SELECT e.user_id, arg_max(e.value, (e.ts, e.event_id)) AS value_previous FROM e JOIN v USING (user_id) WHERE e.value <> v.value GROUP BY 1),
+t AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM e WHERE event_type <> '' GROUP BY 1),
+a AS (SELECT user_id, seen AS last_seen FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1),
+f AS (SELECT user_id, seen AS first_seen FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM e) WHERE r = 1)
+SELECT user_id, value, value_previous, event_type, last_seen, first_seen FROM a JOIN f USING (user_id) LEFT JOIN v USING (user_id) LEFT JOIN p USING (user_id) LEFT JOIN t USING (user_id)""")
+def stream_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream with captures that leave values out, in batches in no order of time: what each column's rule makes of all captures."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", F.when(i % 5 == 0, "").when(i % 5 != 1, F.col("event_type")).alias("event_type"), F.when(i % 3 != 0, F.round("value")).alias("value"), F.when(i % 4 > 0, i).alias("last_seen"), F.when(i % 4 > 0, i).alias("first_seen"),
+    )
+    e.repartition(max(3, spark.sparkContext.defaultParallelism), "event_id").write.parquet(f"{root}/in")
+    files = len(spark.read.parquet(f"{root}/in").inputFiles())
+    stream = ingest.read_captures(spark, f"{root}/in", _FILES + ", last_seen long, first_seen long", -(-files // 3))
+    rules = {"value": captures.STATED, "event_type": captures.FILL, "last_seen": captures.ALWAYS, "first_seen": captures.NEVER}
+    ingest.upsert_stream(stream, f"{root}/table", "user_id", rules, {"value": "value_previous"}, ["ts", "event_id"], f"{root}/checkpoint", 8).awaitTermination()
+    return ingest.current(spark, f"{root}/table", "user_id", rules, {"value": "value_previous"})
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -113,18 +113,14 @@ def header_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(_k().alias("id"), links.is_column_header(line).alias("column_header"), links.is_group_header(line).alias("group_header"), (links.is_price_fragment(line) & line.contains("$")).alias("fragment"))
 
 
-#: All of part; the queries without _all take its first lines and a few others.
-_whole = lambda sql: sql.replace(" WHERE p_partkey < 400 OR p_partkey % 50 = 0", "").replace(" WHERE p_partkey < 400 AND ", " WHERE ").replace(" WHERE p_partkey < 400", "")
-
-
-@query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 WHEN p_size % 3 = 1 THEN 9000 ELSE 0 END)::DOUBLE AS t FROM part WHERE p_partkey < 400),
+@query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 WHEN p_size % 3 = 1 THEN 9000 ELSE 0 END)::DOUBLE AS t FROM part),
 g AS (SELECT * FROM l WHERE t - a - b <= 2000)
 SELECT DISTINCT * FROM (SELECT file, 'total' AS role, t AS amount, t AS total FROM g UNION ALL SELECT file, 'component', a, t FROM g UNION ALL SELECT file, 'component', b, t FROM g)""")
 def price_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.price_structure(_price_lines(spark, sf_dir).where("id < 400"), "file", "line")
+    return ops.price_structure(_price_lines(spark, sf_dir), "file", "line")
 
 
-@query(_whole(ORACLE_SQL["price_structure"]))
+@query(ORACLE_SQL["price_structure"])
 def price_structure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.price_structure(_price_lines(spark, sf_dir), "file", "line")
 
@@ -135,17 +131,16 @@ def _price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(_k().alias("id"), F.col("p_brand").alias("file"), line.alias("line"))
 
 
-@query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 ELSE 0 END)::DOUBLE AS t FROM part WHERE p_partkey < 400 AND p_size % 3 <> 1),
-r AS (SELECT p_partkey AS id, p_brand AS file, CASE p_size % 4 WHEN 0 THEN 300000 + p_partkey WHEN 1 THEN 550000 + p_partkey WHEN 2 THEN 250000 ELSE 999999 END::DOUBLE AS price, p_partkey % 10 = 0 AS alone FROM part WHERE p_partkey < 400 OR p_partkey % 50 = 0),
+@query("""WITH l AS (SELECT p_brand AS file, (300000 + p_partkey)::DOUBLE AS a, 250000.0::DOUBLE AS b, (550000 + p_partkey + CASE WHEN p_size % 3 = 0 THEN 1500 ELSE 0 END)::DOUBLE AS t FROM part WHERE p_size % 3 <> 1),
+r AS (SELECT p_partkey AS id, p_brand AS file, CASE p_size % 4 WHEN 0 THEN 300000 + p_partkey WHEN 1 THEN 550000 + p_partkey WHEN 2 THEN 250000 ELSE 999999 END::DOUBLE AS price, p_partkey % 10 = 0 AS alone FROM part),
 j AS (SELECT id, bool_or(abs(price - t) <= 2000) AS total, min(CASE WHEN abs(price - a) < 1 OR abs(price - b) < 1 THEN t END) AS fix, count(t) AS n, any_value(alone) AS alone FROM r LEFT JOIN l ON r.file = l.file GROUP BY id),
 v AS (SELECT id, CASE WHEN alone THEN 'PART SOLD ALONE' WHEN n = 0 THEN 'NO EVIDENCE' WHEN total THEN 'TOTAL' WHEN fix IS NOT NULL THEN 'COMPONENT' ELSE 'NOT FOUND' END AS verdict, fix FROM j)
 SELECT id, verdict, CASE WHEN verdict = 'COMPONENT' THEN fix END AS fix FROM v""")
 def price_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _priced(spark, sf_dir).where("id < 400 OR id % 50 = 0")
-    return ops.verify_price(rows, price_structure(spark, sf_dir), "file")
+    return ops.verify_price(_priced(spark, sf_dir), price_structure(spark, sf_dir), "file")
 
 
-@query(_whole(ORACLE_SQL["price_verification"]))
+@query(ORACLE_SQL["price_verification"])
 def price_verification_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.verify_price(_priced(spark, sf_dir), price_structure_all(spark, sf_dir), "file")
 

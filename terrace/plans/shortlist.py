@@ -109,10 +109,12 @@ def nearest_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- comparables ---
+#: Prices as decimals: sums and middles of them are exact, so that half a cent is rounded alike by any engine.
+PRICE = "decimal(18,4)"
 _COMPS_SQL = """
-comps AS (SELECT p_partkey AS comp_id, p_brand AS suburb, p_size % 3 + 2 AS bedrooms, CASE WHEN p_size % 6 = 0 THEN NULL ELSE (p_size * 20 + p_partkey % 13)::DOUBLE END AS land_sqm, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice * (10 + p_size % 17) / 10 END AS price,
-  CASE p_size % 5 WHEN 0 THEN 'land_only' WHEN 1 THEN 'package' WHEN 2 THEN 'dwelling' ELSE 'unknown' END AS kind, p_partkey % 4 = 1 AS is_estimate, p_partkey % 3 = 0 AS is_new FROM part WHERE p_partkey % 2 = 0),
-rows AS (SELECT id, suburb, bedrooms, land_sqm, price, CASE product WHEN 'Land' THEN 'land_only' WHEN 'House & Land' THEN 'package' ELSE 'dwelling' END AS kind FROM LISTINGS WHERE id % 4 = 1 AND product IN ('Land', 'House & Land', 'Apartment') AND suburb IS NOT NULL AND bedrooms IS NOT NULL),
+comps AS (SELECT p_partkey AS comp_id, p_brand AS suburb, p_size % 3 + 2 AS bedrooms, CASE WHEN p_size % 6 = 0 THEN NULL ELSE (p_size * 20 + p_partkey % 13)::DOUBLE END AS land_sqm, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE (p_retailprice * (10 + p_size % 17) / 10)::DECIMAL(18,4) END AS price,
+  CASE p_size % 5 WHEN 0 THEN 'land_only' WHEN 1 THEN 'package' WHEN 2 THEN 'dwelling' ELSE 'unknown' END AS kind, p_partkey % 4 = 1 AS is_estimate, p_partkey % 3 = 0 AS is_new FROM part),
+rows AS (SELECT id, suburb, bedrooms, land_sqm, price::DECIMAL(18,4) AS price, CASE product WHEN 'Land' THEN 'land_only' WHEN 'House & Land' THEN 'package' ELSE 'dwelling' END AS kind FROM LISTINGS WHERE product IN ('Land', 'House & Land', 'Apartment') AND suburb IS NOT NULL AND bedrooms IS NOT NULL),
 near AS (SELECT a.n AS suburb, b.n AS other, abs(a.i - b.i) * 4.0::DOUBLE AS km FROM (SELECT DISTINCT p_brand AS n, substr(p_brand, 7)::INT AS i FROM part) a JOIN (SELECT DISTINCT p_brand AS n, substr(p_brand, 7)::INT AS i FROM part) b ON abs(a.i - b.i) * 4.0 <= 15),
 tiers(tier, beds, land, km) AS (VALUES (1, 0, 0.15, 0.0), (2, 0, 0.30, 0.0), (3, 1, NULL, 0.0), (4, 0, NULL, 5.0), (5, 1, NULL, 15.0)),
 pairs AS (SELECT r.id, t.tier, r.price AS own, c.comp_id, c.price, c.is_estimate, c.is_new FROM rows r JOIN near n ON n.suburb = r.suburb JOIN comps c ON c.suburb = n.other AND c.kind = r.kind AND c.price > 0 JOIN tiers t ON abs(c.bedrooms - r.bedrooms) <= t.beds AND n.km <= t.km
@@ -120,22 +122,18 @@ pairs AS (SELECT r.id, t.tier, r.price AS own, c.comp_id, c.price, c.is_estimate
 """
 
 
-#: All listings against all comparables; the queries without _all take a half of the comparables and a quarter of the listings.
-_whole = lambda sql: sql.replace(" WHERE p_partkey % 2 = 0", "").replace("id % 4 = 1 AND ", "")
-
-
-def _comparables(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _comparables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part")
     size, key = F.col("p_size"), F.col("p_partkey")
     kind = F.when(size % 5 == 0, "land_only").when(size % 5 == 1, "package").when(size % 5 == 2, "dwelling").otherwise("unknown")
-    comps = (p if whole else p.where(key % 2 == 0)).select(
+    comps = p.select(
         key.alias("comp_id"), F.col("p_brand").alias("suburb"), (size % 3 + 2).alias("bedrooms"), F.when(size % 6 != 0, (size * 20 + key % 13).cast("double")).alias("land_sqm"),
-        F.when(key % 9 != 0, F.col("p_retailprice") * (10 + size % 17) / 10).alias("price"), kind.alias("kind"), (key % 4 == 1).alias("is_estimate"), (key % 3 == 0).alias("is_new"),
+        F.when(key % 9 != 0, (F.col("p_retailprice") * (10 + size % 17) / 10).cast(PRICE)).alias("price"), kind.alias("kind"), (key % 4 == 1).alias("is_estimate"), (key % 3 == 0).alias("is_new"),
     )
     product = F.col("product")
     rows = listings(spark, sf_dir)
-    rows = (rows if whole else rows.where("id % 4 = 1")).where(product.isin("Land", "House & Land", "Apartment") & F.col("suburb").isNotNull() & F.col("bedrooms").isNotNull())
-    rows = rows.select("id", "suburb", "bedrooms", "land_sqm", "price", F.when(product == "Land", "land_only").when(product == "House & Land", "package").otherwise("dwelling").alias("kind"))
+    rows = rows.where(product.isin("Land", "House & Land", "Apartment") & F.col("suburb").isNotNull() & F.col("bedrooms").isNotNull())
+    rows = rows.select("id", "suburb", "bedrooms", "land_sqm", F.col("price").cast(PRICE).alias("price"), F.when(product == "Land", "land_only").when(product == "House & Land", "package").otherwise("dwelling").alias("kind"))
     names = p.select(F.col("p_brand").alias("n")).distinct().withColumn("i", F.substring("n", 7, 9).cast("int"))
     other = names.select(F.col("n").alias("other"), F.col("i").alias("j"))
     near = names.join(F.broadcast(other), F.abs(F.col("i") - F.col("j")) * 4.0 <= 15).select(F.col("n").alias("suburb"), "other", (F.abs(F.col("i") - F.col("j")) * 4.0).alias("km"))
@@ -148,9 +146,9 @@ def comparables_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.nearest(rows, comps, near, 5).select("id", "comp_id", "km", "rank")
 
 
-@query(_whole(ORACLE_SQL["comparables_topk"]))
+@query(ORACLE_SQL["comparables_topk"])
 def comparables_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, comps, near = _comparables(spark, sf_dir, True)
+    rows, comps, near = _comparables(spark, sf_dir)
     return ladder.nearest(rows, comps, near, 5).select("id", "comp_id", "km", "rank")
 
 
@@ -158,45 +156,45 @@ _LADDER_SQL = "WITH " + _COMPS_SQL + """,
 n AS (SELECT r.id, t.tier, count(p.comp_id) AS n FROM rows r JOIN tiers t ON true LEFT JOIN pairs p ON p.id = r.id AND p.tier = t.tier GROUP BY 1, 2),
 chosen AS (SELECT id, min(tier) AS tier FROM n WHERE n >= 8 OR tier = 5 GROUP BY 1),
 picked AS (SELECT p.* FROM pairs p JOIN chosen c ON c.id = p.id AND c.tier = p.tier),
-s AS (SELECT id, tier, count(*)::INT AS n_comps, median(price) AS median, list_sort(list(price)) AS p, min(price) AS cheapest, any_value(own) AS own, count(*) FILTER (price < own) AS below FROM picked GROUP BY 1, 2)
+s AS (SELECT id, tier, count(*)::INT AS n_comps, list_sort(list(price)) AS p, min(price) AS cheapest, any_value(own) AS own, count(*) FILTER (price < own) AS below FROM picked GROUP BY 1, 2)
 """
 
 
 @query(_LADDER_SQL + "SELECT c.id, c.tier, coalesce(n.n, 0)::INT AS n_comps FROM chosen c JOIN n ON n.id = c.id AND n.tier = c.tier")
 def ladder_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.choose(ladder.pairs(*_comparables(spark, sf_dir)), _comparables(spark, sf_dir)[0])
+    return ladder.choose(*_comparables(spark, sf_dir))
 
 
-@query(_whole(ORACLE_SQL["ladder_tier"]))
+@query(ORACLE_SQL["ladder_tier"])
 def ladder_tier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.choose(ladder.pairs(*_comparables(spark, sf_dir, True)), _comparables(spark, sf_dir, True)[0])
+    return ladder.choose(*_comparables(spark, sf_dir))
 
 
-@query(_LADDER_SQL + "SELECT id, tier, n_comps, round(median, 2) AS median, round(p[(floor(n_comps * 0.25))::INT + 1], 2) AS p25, round(p[(floor(n_comps * 0.75))::INT + 1], 2) AS p75, round(cheapest, 2) AS cheapest, round(below / n_comps * 100.0, 1) AS percentile, CASE WHEN tier <= 2 AND n_comps >= 12 THEN 'high' WHEN tier <= 3 AND n_comps >= 8 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN tier > 2 THEN 'insufficient' WHEN cheapest < own THEN 'flag' ELSE 'pass' END AS verdict FROM s WHERE n_comps >= 4")
+@query(_LADDER_SQL + "SELECT id, tier, n_comps, round((p[(n_comps - 1) // 2 + 1] + p[n_comps // 2 + 1]) * 0.5::DECIMAL(2,1), 2)::DOUBLE AS median, round(p[(floor(n_comps * 0.25))::INT + 1], 2)::DOUBLE AS p25, round(p[(floor(n_comps * 0.75))::INT + 1], 2)::DOUBLE AS p75, round(cheapest, 2)::DOUBLE AS cheapest, round(below / n_comps * 100.0, 1) AS percentile, CASE WHEN tier <= 2 AND n_comps >= 12 THEN 'high' WHEN tier <= 3 AND n_comps >= 8 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN tier > 2 THEN 'insufficient' WHEN cheapest < own THEN 'flag' ELSE 'pass' END AS verdict FROM s WHERE n_comps >= 4")
 def competitive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, comps, near = _comparables(spark, sf_dir)
-    return ladder.competitive(ladder.pairs(rows, comps, near), rows)
+    return ladder.competitive(rows, comps, near)
 
 
-@query(_whole(ORACLE_SQL["competitive_stats"]))
+@query(ORACLE_SQL["competitive_stats"])
 def competitive_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, comps, near = _comparables(spark, sf_dir, True)
-    return ladder.competitive(ladder.pairs(rows, comps, near), rows)
+    rows, comps, near = _comparables(spark, sf_dir)
+    return ladder.competitive(rows, comps, near)
 
 
 @query("WITH " + _COMPS_SQL + """,
 two AS (SELECT *, CASE WHEN is_new THEN 0 ELSE 1 END AS est FROM pairs),
 passes AS (SELECT id, tier, 0 AS pass, price, own FROM two WHERE is_new UNION ALL SELECT id, tier, 1, price, own FROM two),
-n AS (SELECT id, pass, tier, count(*)::INT AS n, avg(price) AS mean, any_value(own) AS own FROM passes GROUP BY 1, 2, 3),
+n AS (SELECT id, pass, tier, count(*)::INT AS n, sum(price) AS total, sum((price * 10000)::BIGINT) AS units, sum(price)::DOUBLE / count(*) AS mean, any_value(own)::DOUBLE AS own FROM passes GROUP BY 1, 2, 3),
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pass, tier) AS r FROM n WHERE n >= 8 OR (tier = 5 AND n >= 4))
-SELECT id, pass = 1 AS established_used, tier, n AS n_comps, round(mean, 2) AS mean, round((own - mean) / mean * 100, 2) AS variance_pct, CASE WHEN (own - mean) / mean < -0.05 THEN 'Below Market Value' WHEN (own - mean) / mean < 0.05 THEN 'Competitive Market Value' WHEN (own - mean) / mean < 0.12 THEN 'Slightly Above Market' ELSE 'Poor Value' END AS classification FROM best WHERE r = 1""")
+SELECT id, pass = 1 AS established_used, tier, n AS n_comps, ((units + 50 * n) // (100 * n))::DOUBLE / 100.0 AS mean, round((own - mean) / mean * 100, 2) AS variance_pct, CASE WHEN (own - mean) / mean < -0.05 THEN 'Below Market Value' WHEN (own - mean) / mean < 0.05 THEN 'Competitive Market Value' WHEN (own - mean) / mean < 0.12 THEN 'Slightly Above Market' ELSE 'Poor Value' END AS classification FROM best WHERE r = 1""")
 def market_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.market(ladder.pairs(*_comparables(spark, sf_dir)))
+    return ladder.market(*_comparables(spark, sf_dir))
 
 
-@query()
+@query(ORACLE_SQL["market_band"])
 def market_band_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.market(ladder.pairs(*_comparables(spark, sf_dir, True)))
+    return ladder.market(*_comparables(spark, sf_dir))
 
 
 @query("WITH e AS (SELECT p_brand, p_partkey, p_partkey % 4 <> 1 AS is_estimate, count(*) OVER (PARTITION BY p_brand) AS n, count(*) FILTER (p_partkey % 4 <> 1) OVER (PARTITION BY p_brand) AS est, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 <> 1 ORDER BY p_partkey) AS r FROM part) SELECT p_brand, count(*) AS n FROM e WHERE NOT is_estimate OR est / n <= 0.3 OR r <= floor(n * 0.3) GROUP BY 1")

@@ -13,26 +13,65 @@ def read_captures(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_stream(stream: DataFrame, table: str, key: str, rules: dict[str, str], previous: dict[str, str], newest: list[str], checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into the table's next version (``table/v=N``, N the batch). A batch that is run again writes the same version again, so a
-    restart changes nothing. Of equal keys the newest by ``newest`` counts, whatever the order of arrival: in a batch, and across batches, since the table keeps
-    each key's latest (``latest``) and an older capture that comes late changes nothing. Versions before the last two are deleted."""
+#: Parts of a table by hash of the key; a batch rewrites those it touches.
+BUCKETS = 64
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def manifest(spark: SparkSession, table: str, version: int | None = None) -> dict[int, int]:
+    """Which version of each bucket makes up the table at a version (by default the last). A manifest is written after all that it names, so a batch
+    that broke off is not seen."""
+    if version is None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/manifest")
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [p.getPath() for p in fs.listStatus(where)] if fs.exists(where) else []
+        version = max((int(p.getName().split("=")[1]) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
+    return {r.bucket: r.version for r in spark.read.parquet(f"{table}/manifest/v={version}").collect()} if version >= 0 else {}  # BUCKETS rows at most
+
+
+def _state(spark: SparkSession, table: str, buckets: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{table}/v={v}/bucket={b}" for b, v in sorted(buckets.items())]) if buckets else None
+
+
+def current(spark: SparkSession, table: str, key: str, rules: dict[str, str], previous: dict[str, str]) -> DataFrame:
+    """The table as its last complete batch left it."""
+    return captures.settled_values(_state(spark, table, manifest(spark, table)), key, rules, previous)
+
+
+def merge_batch(batch: DataFrame, number: int, table: str, key: str, rules: dict[str, str], previous: dict[str, str], time: list[str], buckets: int = BUCKETS) -> None:
+    """Merges one batch: the buckets that it touches are read at the version before, settled with its captures and written as ``table/v=number``; the
+    manifest names them beside the versions of all others. A batch that is run again reads the same versions and writes the same rows. Files that neither this nor the
+    last manifest names are deleted."""
+    spark = batch.sparkSession
+    fresh = captures.registers(batch, key, rules, previous, time).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # numbers below ``buckets``
+    old = manifest(spark, table, number - 1)
+    known = _state(spark, table, {b: old[b] for b in touched if b in old})
+    rows = fresh.drop("bucket") if known is None else known.unionByName(fresh.drop("bucket"))
+    out = captures.settle(rows, key, rules, previous).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    out.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number}")
+    now = old | dict.fromkeys(touched, number)
+    spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/v={number}")
+    if number > 1:
+        for b, v in manifest(spark, table, number - 2).items():
+            if v not in (old.get(b), now[b]):
+                _delete(spark, f"{table}/v={v}/bucket={b}")
+
+
+def upsert_stream(stream: DataFrame, table: str, key: str, rules: dict[str, str], previous: dict[str, str], newest: list[str], checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merges the stream's captures into a table by key. Each column keeps a register of its own (value and time of the capture that it is from), so the
+    table doesn't depend on the order in which captures arrive or on where batches end, and a batch rewrites only the buckets of its keys. ``newest`` orders captures."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        one = captures.first_by(batch, [key], [F.col(c).desc() for c in newest]).withColumn("latest", F.struct(*newest))
-        columns = [key, *rules, *previous.values()]
-        kinds = dict(one.dtypes)
-        blank = [F.lit(None).cast(kinds[c]).alias(p) for c, p in previous.items()]
-        fresh = one.select(key, *rules, *blank, "latest")
-        old = spark.read.parquet(f"{table}/v={number - 1}").select(*columns, "latest") if number else fresh.limit(0)
-        known = old.select(key, F.col("latest").alias("_old"))
-        fresh = fresh.join(known, key, "left").where(F.col("_old").isNull() | (F.col("latest") >= F.col("_old"))).drop("_old")
-        latest = old.select(key, "latest").unionByName(fresh.select(key, "latest")).groupBy(key).agg(F.max("latest").alias("latest"))
-        captures.merge(old.drop("latest"), fresh.drop("latest"), key, rules, previous).join(latest, key).write.mode("overwrite").parquet(f"{table}/v={number}")
-        if number > 1:
-            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - 2}")
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        if not batch.isEmpty() or number == 0:
+            merge_batch(batch, number, table, key, rules, previous, newest, buckets)
+        else:  # nothing came: the version before goes on under this number
+            spark = batch.sparkSession
+            spark.createDataFrame(sorted(manifest(spark, table, number - 1).items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,4 +1,5 @@
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,10 +151,56 @@ def test_builder_confidence(spark):
     assert got == ["LOW", "HIGH", "MEDIUM", "LOW"]
 
 
+NEAR = "suburb string, other string, km double"
+COMP = "comp_id int, suburb string, kind string, bedrooms int, land_sqm double, price decimal(18,4), is_estimate boolean, is_new boolean"
+
+
 def test_market_prefers_new_builds(spark):
-    found = spark.createDataFrame([(1, t, 100.0, i, 100.0 + i, False, i < 8) for t in (3, 4, 5) for i in range(20)], "id int, tier int, own double, comp_id int, price double, is_estimate boolean, is_new boolean")
-    r = ladder.market(found).first()
-    assert (r.established_used, r.tier, r.n_comps) == (False, 3, 8)
+    listing = spark.createDataFrame([(1, "a", "package", 3, 400.0, Decimal(100))], "id int, suburb string, kind string, bedrooms int, land_sqm double, price decimal(18,4)")
+    comps = spark.createDataFrame([(i, "a", "package", 4, 900.0, Decimal(100 + i), False, i < 8) for i in range(20)], COMP)
+    r = ladder.market(listing, comps, spark.createDataFrame([("a", "a", 0.0)], NEAR)).first()
+    assert (r.established_used, r.tier, r.n_comps, r.mean) == (False, 3, 8, 103.5)
+
+
+def plain_tiers(listing, comps, near, only_new=False):
+    _, suburb, kind, beds, land, _ = listing
+    out = {}
+    for tier, d, tolerance, most in ladder.LADDER:
+        out[tier] = [c for c in comps if (not only_new or c[7]) and (suburb, c[1]) in near and near[suburb, c[1]] <= most and c[2] == kind and c[3] is not None and abs(c[3] - beds) <= d and c[5] is not None and c[5] > 0
+                     and (tolerance is None or land is None or (c[4] is not None and land * (1 - tolerance) <= c[4] <= land * (1 + tolerance)))]
+    return out
+
+
+def test_ladder_equals_all_pairs(spark):
+    """Lands and prices that meet bounds exactly, nulls, several rows of one price, far suburbs, more bedrooms; a hot cell."""
+    r = random.Random(4)
+    km = {("a", "a"): 0.0, ("a", "b"): 4.0, ("b", "a"): 4.0, ("b", "b"): 0.0, ("a", "c"): 15.0, ("c", "c"): 0.0, ("d", "d"): 0.0}
+    money = lambda: Decimal(r.choice([r.randint(1, 40) * 1000, r.randint(10_000, 90_000)])) / 1000
+    comps = [(i, r.choice("aaaaabcx"), r.choice(["package", "package", "dwelling"]), r.choice([2, 3, 3, 3, 4, 5, None]), r.choice([None, 340.0, 400.0, 460.0, 280.0, 520.0, r.uniform(0.1, 900)]), r.choice([None, Decimal(0), money(), money(), money()]), False, r.random() < 0.3) for i in range(900)]
+    listings = [(i, r.choice("aaabcd"), r.choice(["package", "dwelling"]), r.choice([2, 3, 4]), r.choice([None, 400.0, 400.0, 0.0, r.uniform(100, 900)]), r.choice([None, money(), money()])) for i in range(150)]
+    df = (spark.createDataFrame(listings, "id int, suburb string, kind string, bedrooms int, land_sqm double, price decimal(18,4)"), spark.createDataFrame(comps, COMP), spark.createDataFrame([(*k, v) for k, v in km.items()], NEAR))
+    chosen = {x.id: (x.tier, x.n_comps) for x in ladder.choose(*df).collect()}
+    stats = {x.id: x for x in ladder.competitive(*df).collect()}
+    market = {x.id: x for x in ladder.market(*df).collect()}
+    seen = set()
+    for row in listings:
+        fits, fresh = plain_tiers(row, comps, km), plain_tiers(row, comps, km, True)
+        tier = next((t for t in fits if len(fits[t]) >= 8), 5)
+        prices = sorted(c[5] for c in fits[tier])
+        n, own = len(prices), row[5]
+        seen.add(tier)
+        assert chosen[row[0]] == (tier, n)
+        assert (row[0] in stats) == (n >= 4)
+        if n >= 4:
+            s, cents = stats[row[0]], lambda x: float(x.quantize(Decimal("0.01"), ROUND_HALF_UP))
+            assert (s.median, s.p25, s.p75, s.cheapest) == tuple(map(cents, ((prices[(n - 1) // 2] + prices[n // 2]) / 2, prices[n // 4], prices[n * 3 // 4], prices[0])))
+            assert s.percentile == pytest.approx(100 * sum(p < own for p in prices) / n if own is not None else 0, abs=0.051)
+        best = next(((p, t, x[t]) for p, x in ((True, fresh), (False, fits)) for t in x if len(x[t]) >= 8 or (t == 5 and len(x[t]) >= 4)), None)
+        assert (row[0] in market) == (best is not None)
+        if best:
+            m, mean = market[row[0]], sum(c[5] for c in best[2]) / len(best[2])
+            assert (not m.established_used, m.tier, m.n_comps, m.mean) == (best[0], best[1], len(best[2]), float(mean.quantize(Decimal("0.01"), ROUND_HALF_UP)))
+    assert len(seen) >= 4
 
 
 def test_verdicts_of_many_prices_equal_all_pairs(spark):
