@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import band
+from ..session import cut
 
 #: tier, bedrooms either way, land either way (None: any), kilometres.
 LADDER = ((1, 0, 0.15, 0.0), (2, 0, 0.30, 0.0), (3, 1, None, 0.0), (4, 0, None, 5.0), (5, 1, None, 15.0))
@@ -134,12 +135,12 @@ def _join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def competitive(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
     """Statistics of the chosen tier, for listings with MIN_ANY comparables: only tight tiers may flag or pass. Prices are best given as decimals:
     the middle of two of them is then exact. A listing's percentile is read from the same running count as the quantiles."""
-    choices = _grouped(_chosen(tier_counts(rows, comps, near)).where(F.col("n_comps") >= MIN_ANY))
+    choices = cut(_grouped(_chosen(tier_counts(rows, comps, near)).where(F.col("n_comps") >= MIN_ANY)))  # read four times
     asked = _with_choice(rows, choices).withColumn("own", F.col("price"))
     sizes = choices.select(*GROUP, "n_comps").distinct()
     prices = members(choices, comps, near).withColumn("side", F.lit(1))
     owns = asked.select(*GROUP, "price").distinct().withColumn("n", F.lit(0).cast("long")).withColumn("side", F.lit(0))  # before equal prices: those below count
-    run = running(prices.unionByName(owns.where("price IS NOT NULL")), GROUP, "price", "side", ["n"])
+    run = cut(running(prices.unionByName(owns.where("price IS NOT NULL")), GROUP, "price", "side", ["n"]))
     n = F.col("n_comps")
     at = lambda k: F.min(F.when((F.col("side") == 1) & (F.col("run_n") > k), F.col("price")))
     stats = _join_groups(run, sizes).groupBy(*GROUP).agg(
@@ -157,7 +158,7 @@ def competitive(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame
 
 def market(rows: DataFrame, comps: DataFrame, near: DataFrame) -> DataFrame:
     """The ladder over new builds, then over all; the first (pass, tier) with enough gives the market's mean and band. The mean is rounded from the exact sum of decimals."""
-    choices = _grouped(_chosen_pass(tier_counts(rows, comps, near)))
+    choices = cut(_grouped(_chosen_pass(tier_counts(rows, comps, near))))
     sums = members(choices, comps, near).groupBy(*GROUP).agg(F.sum(F.col("price").cast("decimal(18,4)") * F.col("n")).alias("total"))
     m = _join_groups(_with_choice(rows, choices), sums).withColumn("mean", F.col("total").cast("double") / F.col("n_comps"))
     variance = (F.col("price").cast("double") - F.col("mean")) / F.col("mean")

@@ -56,12 +56,23 @@ def numbers_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.round(F.regexp_replace(x, ",", "").try_cast("double"), 2))))
 
 
+def fingerprint_prefixes(rows: DataFrame, price: str = "price", numbers: str = "numbers", least: int = MIN_SHARED) -> DataFrame:
+    """id, p (the rounded price), v, all: each row under the rarest of its numbers. Two rows that share ``least`` numbers share one of all but the last
+    least - 1 of each, in any one order of the numbers; taken rare first, common numbers are hardly ever among those. Numbers that one row alone has are
+    left out before, so a row with too few others is not there at all."""
+    e = rows.select("id", F.round(F.col(price)).alias("p"), F.explode(F.array_distinct(numbers)).alias("v")).where("p IS NOT NULL AND v IS NOT NULL")
+    often = e.groupBy("p", "v").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = e.join(often, ["p", "v"]).groupBy("id", "p").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("all")).where(F.size("all") >= least)  # the numbers of one row
+    return ordered.select("id", "p", F.col("all.v").alias("all"), F.explode(F.slice("all.v", F.lit(1), F.size("all") - (least - 1))).alias("v"))
+
+
 def fingerprint_matches(rows: DataFrame, price: str = "price", numbers: str = "numbers", least: int = MIN_SHARED) -> DataFrame:
-    """a, b, shared: pairs of rows of one rounded price that share ``least`` other numbers. Joined on (price, number) after numbers
-    are exploded, so pairs that share nothing never meet; counting the meetings is the size of the intersection."""
-    e = rows.select("id", F.round(F.col(price)).alias("p"), F.explode(numbers).alias("v"))
-    a, b = e.select(F.col("id").alias("a"), "p", "v"), e.select(F.col("id").alias("b"), "p", "v")
-    return a.join(b, ["p", "v"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """a, b, shared: pairs of rows (id, once each) of one rounded price that share ``least`` other numbers. Rows meet under the rare numbers of their prefixes and
+    a pair is taken at the first that both have, so it is verified and returned once."""
+    e = fingerprint_prefixes(rows, price, numbers, least)
+    a, b = e.select(F.col("id").alias("a"), "p", "v", F.col("all").alias("x")), e.select(F.col("id").alias("b"), "p", "v", F.col("all").alias("y"))
+    met = a.join(b, ["p", "v"]).where("a < b").withColumn("both", F.array_intersect("x", "y"))
+    return met.where((F.size("both") >= least) & (F.get("both", F.lit(0)) == F.col("v"))).select("a", "b", F.size("both").cast("long").alias("shared"))
 
 
 def code_owners(rows: DataFrame, prefix: str, builder: str, uses: int = CODE_USES) -> DataFrame:

@@ -258,3 +258,20 @@ def test_audits_of_empty_tables_and_nulls(spark):
         assert audits.spec_audit(df).first().agree == 0 and audits.backfilled_specs(df).count() == len(rows)
     none = spark.createDataFrame([(None,)], "label string")
     assert audits.contained_labels(none, none.toDF("name")).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_fingerprints_equal_all_pairs(spark, least):
+    """Numbers that every row has, that one row has, repeated numbers, null prices and numbers; prices that round to one."""
+    r = random.Random(least)
+    data = [(i, r.choice([100.0, 100.4, 250.0, None]), [7.0, 7.0, 1000.0 + i, *[float(r.randrange(25)) for _ in range(r.randint(0, 12))], *([None] if i % 9 == 0 else [])]) for i in range(160)] + [(900, 100.0, None), (901, 100.0, [])]
+    got = names.fingerprint_matches(spark.createDataFrame(data, "id int, price double, numbers array<double>"), least=least)
+    sets = {i: (round(p), {x for x in v or [] if x is not None}) for i, p, v in data if p is not None}
+    want = [(a, b, n) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and (n := len(sets[a][1] & sets[b][1])) >= least]
+    assert rows(got, "a", "b", "shared") == sorted(want)
+
+
+def test_a_number_of_every_row_makes_nobody_meet(spark):
+    data = [(i, 1.0, [5.0, *[float(100 + (i * 7 + k) % 3000) for k in range(6)]]) for i in range(2000)]
+    prefixes = names.fingerprint_prefixes(spark.createDataFrame(data, "id int, price double, numbers array<double>"))
+    assert prefixes.where("v = 5").count() == 0 and prefixes.groupBy("v").count().agg(F.max("count")).first()[0] < 20
