@@ -72,10 +72,10 @@ def address_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(_k().alias("id"), r.address_label(line, lot, F.lit("» Alluvium")).alias("label"))
 
 
-@query("""SELECT p_brand || '/' || (p_size % 8) AS file, CASE min(p_size % 8) WHEN 0 THEN 'Creation Homes' WHEN 1 THEN 'G Developments' WHEN 2 THEN 'Kemps Living' ELSE '' END AS builder,
-  CASE min(p_size % 8) WHEN 0 THEN 'Eastbury Wheelers Hill' WHEN 3 THEN 'Murcia' WHEN 4 THEN 'Coastal Range' ELSE '' END AS project FROM part GROUP BY 1""")
+@query("""SELECT p_brand || '/' || (p_size % 9) AS file, CASE min(p_size % 9) WHEN 0 THEN 'Creation Homes' WHEN 1 THEN 'G Developments' WHEN 2 THEN 'Kemps Living' ELSE '' END AS builder,
+  CASE min(p_size % 9) WHEN 0 THEN 'Eastbury Wheelers Hill' WHEN 3 THEN 'Murcia' WHEN 4 THEN 'Coastal Range' ELSE '' END AS project FROM part GROUP BY 1""")
 def file_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    banner = _say("CREATION HOMES NSW STOCK LIST", "G-Developments 15-6-26", "kemps living (old) Pricelist2026", "Agent Stock List 167 Ingleburn Road, Leppington", "New Homes", "Homes", "Kemps Homes from $500,000", "Stage 1 building two")
-    label = _say("vic/eastbury-wheelers-hill-pricelist.pdf", "a/Pricelist2026.xlsx", "a/1101438-16S-PS-V1.pdf", "a/Murcia 15-6-26 A.xlsx", "b/c/Coastal_Range[1] (2) 2026.1.csv", "Eastbury", "a/Stage 1.pdf", "a/")
-    rows = _part(spark, sf_dir).select(F.concat_ws("/", "p_brand", (F.col("p_size") % 8).cast("string")).alias("file"), banner.alias("banner"), label.alias("label"))
+    banner = _say("CREATION HOMES NSW STOCK LIST", "G-Developments 15-6-26", "kemps living (old) Pricelist2026", "Agent Stock List 167 Ingleburn Road, Leppington", "New Homes", "Homes", "Kemps Homes from $500,000", "Stage 1 building two", "ACCESS PROJECTS")
+    label = _say("vic/eastbury-wheelers-hill-pricelist.pdf", "a/Pricelist2026.xlsx", "a/1101438-16S-PS-V1.pdf", "a/Murcia 15-6-26 A.xlsx", "b/c/Coastal_Range[1] (2) 2026.1.csv", "Eastbury", "a/Stage 1.pdf", "a/", "")
+    rows = _part(spark, sf_dir).select(F.concat_ws("/", "p_brand", (F.col("p_size") % 9).cast("string")).alias("file"), banner.alias("banner"), label.alias("label"))
     return ops.builders_of_files(rows, "file", "banner", "label")
