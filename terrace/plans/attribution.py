@@ -69,7 +69,7 @@ def pooled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.name_rows(stock.where("builder IS NULL").drop("builder"), named.drop("builder"), named.select("id", "builder"), trusted, places)
 
 
-@query("""WITH l AS (SELECT s_suppkey AS id, 'B' || (s_suppkey % 4) AS b, s_suppkey % 40 AS lot, (s_suppkey % 30) || ' high street' AS address, s_suppkey % 13 AS w FROM supplier),
+@query("""WITH l AS (SELECT s_suppkey AS id, 'B' || (s_suppkey % 4) AS b, s_suppkey % 90 AS lot, (s_suppkey % 30) || ' high street' AS address, s_suppkey % 13 AS w FROM supplier),
 d AS (SELECT c_custkey AS id, 'B' || (c_custkey // 4 % 4) AS b, c_custkey % 45 AS lot, (c_custkey % 33) || ' high' AS street, c_custkey % 14 AS w, c_custkey % 4 AS shape FROM customer),
 size AS (SELECT b, count(*) AS n FROM l GROUP BY 1), often AS (SELECT b, w, count(*) AS n FROM l GROUP BY 1, 2)
 SELECT d.id AS doc_id, min(l.id) AS listing_id, 'lot' AS rule FROM d JOIN l USING (b, lot) WHERE shape = 0 AND d.lot > 0 GROUP BY 1 HAVING count(*) = 1
@@ -84,7 +84,7 @@ def brochure_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(at == 0, F.concat(F.lit("Lot "), lot, F.lit(".pdf"))).when(at == 1, F.concat((c % 33).cast("string"), F.lit(" High Road flyer.pdf"))).when(at == 2, F.concat(F.lit("draft "), word(c % 14), F.lit(" x.pdf"))).otherwise(F.concat(F.lit("Lot 0"), lot, F.lit(" "), word(c % 14), F.lit(".pdf")))
     docs = table(spark, sf_dir, "customer").select(c.alias("doc_id"), F.when(at != 3, F.concat(F.lit("b"), (F.floor(c / 4) % 4).cast("string"))).alias("builder"), name.alias("filename"))
     listings = table(spark, sf_dir, "supplier").select(
-        s.alias("id"), F.concat(F.lit("B"), (s % 4).cast("string")).alias("builder"), (s % 40).cast("string").alias("lot_number"), F.concat((s % 30).cast("string"), F.lit(" High Street")).alias("lot_address"), F.lit(None).cast("string").alias("suburb"),
+        s.alias("id"), F.concat(F.lit("B"), (s % 4).cast("string")).alias("builder"), (s % 90).cast("string").alias("lot_number"), F.concat((s % 30).cast("string"), F.lit(" High Street")).alias("lot_address"), F.lit(None).cast("string").alias("suburb"),
         F.lit(None).cast("string").alias("estate_name"), F.concat(F.lit("Lot of "), F.upper(word(s % 13))).alias("source_text"),
     )
     return brochures.match(docs, listings)
