@@ -45,3 +45,13 @@ def test_clashing_and_missing_names(spark):
 
     df = spark.createDataFrame([(1, "a", "b")], "DOC_ID long, text string, TEXT string")
     assert tuple(columns_of(df, doc_id="long", text="string", lang="string").first()) == (1, "a", None)
+
+
+def test_stages_take_clashing_and_missing_columns(spark, docs, sf_dir):
+    """An extra TEXT, a column less: every stage but the last returns the columns of documents, from the column of the exact name."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(80))) for i in range(6)]
+    table = docs(*rows).drop("n_chars").selectExpr("*", "'clash' AS TEXT", "1 AS Source", "2 AS score")
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, table, sf_dir)
+        assert got.columns == P.COLUMNS and {r.text for r in got.collect()} <= {t for _, t in rows}
+    assert P.STAGES[-1][1](spark, table, sf_dir).count() > 0
