@@ -39,22 +39,49 @@ def composite_candidates(value: Column) -> Column:
     return F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.trim(value).alias("text"))), inner)
 
 
-def with_locality(df: DataFrame, gaz: DataFrame, suburb: str = "suburb", state: str = "state") -> DataFrame:
-    """df with locality (the gazetteer's spelling, null if none) and why: stated, composite, unchecked, no state, not a place, absent."""
+#: How much of a row's own text is read, and a name before a postcode in it (fixed values).
+TEXT_LENGTH = 700
+BEFORE_POSTCODE = r"\b([A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,2})\s+(\d{4})\b"
+UNCHECKED, NOT_A_PLACE, NO_STATE, ABSENT = "unchecked", "not a place", "no state", "absent"
+
+
+def _before_postcodes(text: Column, state: Column) -> Column:
+    """(rank, text) of names that stand before a postcode of the row's own state, in order; without that test lot numbers, years and areas would do."""
+    names, codes = (F.regexp_extract_all(text, F.lit(BEFORE_POSTCODE), i) for i in (1, 2))
+    at = F.filter(F.transform(names, lambda n, i: F.struct(i.alias("rank"), n.alias("text"), F.get(codes, i).alias("code"))), lambda x: state_of_postcode(x.code) == state)
+    return F.transform(at, lambda x: F.struct(x.rank.alias("rank"), x.text.alias("text")))
+
+
+def _is_street(name: Column, text: Column) -> Column:
+    """Whether a name is a kind of street, or stands before one in the row's own text."""
+    after = F.call_function("regexp_extract", text, F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(name, r"\\E", ""), F.lit(r"\E\s+([A-Za-z]+)")), F.lit(1))
+    return F.lower(name).isin(*STREET_TYPES) | F.lower(after).isin(*STREET_TYPES)
+
+
+def with_locality(df: DataFrame, gaz: DataFrame, key: str = "id", suburb: str = "suburb", state: str = "state", texts: tuple[str, ...] = ()) -> DataFrame:
+    """df with locality (the gazetteer's spelling, null if none) and why, one of eight reasons. key tells rows apart; texts: columns with the row's own words.
+
+    stated: a locality of the row's state. address: so it is, but the row's words have it as a street and another locality before a postcode. composite: found inside the
+    value. postcode: not in the value, but before a postcode of the row's state. unchecked: a locality's name without a state to check it. not a place,
+    no state, absent: nothing can be said. Whatever a row may mean is looked up in one join."""
     g = gazetteer_side(gaz)
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
-    c = rows.where(F.col(suburb).isNotNull() & F.col(state).isNotNull()).select("_id", F.upper(F.trim(F.col(state))).alias("_st"), F.explode(composite_candidates(F.col(suburb))).alias("c"))
-    hit = c.join(g, (F.lower("c.text") == F.col("g_key")) & (F.col("_st") == F.col("g_state"))).groupBy("_id").agg(F.min(F.struct("c.rank", "g_name")).alias("h"))
-    anywhere = g.select("g_key").distinct()
-    named = rows.where(F.col(state).isNull() & F.col(suburb).isNotNull()).select("_id", F.lower(F.trim(F.col(suburb))).alias("g_key")).join(anywhere, "g_key", "left_semi").select("_id", F.lit(True).alias("known"))
-    out = rows.join(hit, "_id", "left").join(named, "_id", "left")
-    blank = F.col(suburb).isNull() | (F.trim(F.col(suburb)) == "")
-    known = F.coalesce("known", F.lit(False)) & ~F.lower(F.trim(F.col(suburb))).isin(*STREET_TYPES)
+    raw, st = F.trim(F.coalesce(F.col(suburb), F.lit(""))), F.nullif(F.upper(F.trim(F.coalesce(F.col(state), F.lit("")))), F.lit(""))
+    said = F.substring(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts]), 1, TEXT_LENGTH) if texts else F.lit("")
+    tag = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.rank.alias("rank"), x.text.alias("text")))
+    asked = F.concat(tag("value", F.when(raw != "", composite_candidates(raw)).otherwise(F.array().cast("array<struct<rank:int,text:string>>"))), tag("postcode", _before_postcodes(said, st)))
+    c = df.select(F.col(key).alias("_key"), st.alias("_st"), F.explode(asked).alias("c")).select("_key", "_st", "c.*")
+    own = F.col("_st") == F.col("g_state")
+    best = lambda ok: F.min(F.when(ok, F.struct("rank", "g_name")))
+    hit = c.join(g, F.lower("text") == F.col("g_key")).groupBy("_key").agg(F.max((F.col("kind") == "value") & (F.col("rank") == 0)).alias("_named"), best(own & (F.col("kind") == "value")).alias("_v"), best(own & (F.col("kind") == "postcode")).alias("_p"))
+    out = df.join(hit, F.col(key).eqNullSafe(F.col("_key")), "left")
+    named, stated = F.coalesce("_named", F.lit(False)), F.coalesce(F.col("_v.rank") == 0, F.lit(False))
+    moved = F.col("_p.g_name").isNotNull() & (F.lower("_p.g_name") != F.lower(raw)) & _is_street(raw, said)
     why = (
-        F.when(blank, "absent").when(F.col("h").isNotNull(), F.when(F.col("h.rank") == 0, STATED).otherwise(COMPOSITE)).when(F.col(state).isNull(), F.when(known, "unchecked").otherwise("no state"))
-        .otherwise("not a place")
+        F.when(stated, F.when(moved, ADDRESS).otherwise(STATED)).when(named & st.isNull(), F.when(_is_street(raw, said), NOT_A_PLACE).otherwise(UNCHECKED)).when(st.isNull(), F.when(raw != "", NO_STATE).otherwise(ABSENT))
+        .when(F.col("_v").isNotNull(), COMPOSITE).when(F.col("_p").isNotNull(), POSTCODE).when(raw != "", NOT_A_PLACE).otherwise(ABSENT)
     )
-    return out.withColumn("why", why).withColumn("locality", F.coalesce("h.g_name", F.when(F.col("why") == "unchecked", F.trim(F.col(suburb))))).drop("_id", "h", "known")
+    locality = F.when(F.col("why").isin(ADDRESS, POSTCODE), F.col("_p.g_name")).when(F.col("why").isin(STATED, COMPOSITE), F.col("_v.g_name")).when(F.col("why") == UNCHECKED, raw)
+    return out.withColumn("why", why).withColumn("locality", locality).drop("_key", "_named", "_v", "_p")
 
 
 def find_in_text(df: DataFrame, gaz: DataFrame, key: str, text: str, state: str) -> DataFrame:

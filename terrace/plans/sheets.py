@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sheets, states
+from ..functions.values import listing_hash
+from ..operators import channels, sheets, states
 from .catalogue import query as _query
 from .listings import table
 
@@ -41,3 +42,28 @@ def proven_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), at(0).alias("suburb"), at(1).alias("estate_name"), F.lit(None).cast("string").alias("lot_address"), at(2).alias("postcode"))
     gaz = spark.createDataFrame([("Dora Creek", "NSW"), ("Mambourin", "VIC"), ("Armstrong Creek", "VIC"), ("Armstrong Creek", "QLD"), ("Logan", "VIC"), ("Eden", "NSW")], "suburb string, state string")
     return states.proven_states(rows, gaz)
+
+
+@query("""SELECT p_partkey AS id, 'v2:' || sha256('source_channel=' || CASE p_partkey % 2 WHEN 0 THEN 'portal' ELSE '' END || '|attribution_scope=builder|builder_key=' || lower(p_type) || '|suburb_norm=' || lower(p_brand) || '|lot_number=' || (p_partkey % 40) || '|house_design=' || CASE WHEN p_size % 3 = 0 THEN '' ELSE 'vesper' END
+  || '|land_sqm=' || CASE WHEN p_size % 5 = 0 THEN '' ELSE (p_size * 10) || '.0' END || '|variant_key=lot ' || (p_partkey % 40) || CASE WHEN p_size % 3 = 0 THEN ' arklay 17' ELSE '' END || CASE WHEN p_partkey % 4 > 0 THEN '|variant_ordinal=' || (p_partkey % 4) ELSE '' END) AS content_hash FROM part""")
+def identity_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities over all eight fields; prices, statuses and dates in the line make no difference."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    lot = (k % 40).cast("string")
+    line = F.when(z % 3 == 0, F.concat(F.lit("Lot  "), lot, F.lit(" Arklay 17 $"), F.format_number(500_000 + k, 0), F.lit(" Available Q3 2026")))
+    parts = F.when(k % 2 == 0, " Portal").otherwise(""), F.lit("builder"), F.col("p_type"), F.col("p_brand"), lot, F.when(z % 3 != 0, "VESPER"), F.when(z % 5 == 0, 0).otherwise(z * 10), line, F.concat(F.lit("Lot "), lot, F.lit(" SOLD")), k % 4
+    return table(spark, sf_dir, "part").select(k.alias("id"), listing_hash(*parts).alias("content_hash"))
+
+
+@query("""WITH e AS (SELECT event_type || (user_id % 3) AS channel, ts::DATE AS day FROM events WHERE NOT (user_id % 3 = 1 AND day(ts) % 4 = 0) AND NOT (user_id % 3 = 2 AND day(ts) % 5 < 2 AND event_id % 10 > 0)),
+n AS (SELECT channel, day, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT channel, min(day) AS first FROM n GROUP BY 1), d AS (SELECT channel, unnest(generate_series(first, (SELECT max(day) FROM n), INTERVAL 1 DAY))::DATE AS day FROM f),
+j AS (SELECT channel, day, coalesce(n, 0) AS read, coalesce(lag(coalesce(n, 0)) OVER w, 0) AS previous, coalesce(sum(coalesce(n, 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stored FROM d LEFT JOIN n USING (channel, day) WINDOW w AS (PARTITION BY channel ORDER BY day)),
+a AS (SELECT *, greatest(CASE WHEN previous >= 20 THEN floor(previous * 0.5) ELSE 0 END, CASE WHEN stored >= 20 THEN floor(stored * 0.25) ELSE 0 END)::BIGINT AS floor FROM j)
+SELECT channel, strftime(day, '%Y-%m-%d') AS day, read, floor, CASE WHEN read = 0 THEN 'dead' ELSE 'collapsed' END AS alarm FROM a WHERE (read = 0 AND stored > 0) OR (read > 0 AND read < floor)""")
+def daily_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which a channel was silent or collapsed, each judged by what was known then."""
+    u, day = F.col("user_id"), F.dayofmonth("ts")
+    e = table(spark, sf_dir, "events").where(~((u % 3 == 1) & (day % 4 == 0)) & ~((u % 3 == 2) & (day % 5 < 2) & (F.col("event_id") % 10 > 0)))
+    rows = e.select(F.concat("event_type", (u % 3).cast("string")).alias("channel"), F.to_date("ts").alias("day"))
+    last = rows.agg(F.max("day")).first()[0]
+    return channels.daily_alarms(rows, "channel", F.col("day"), F.lit(last)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -74,11 +74,20 @@ def test_gates_name_the_first_reason(spark):
 GAZ = [("Austral", "NSW"), ("Denman", "NSW"), ("Denman", "QLD"), ("Kings Park", "VIC"), ("Park", "VIC"), ("Grove", "VIC")]
 
 
-@pytest.mark.parametrize("suburb,state,want", [("AUSTRAL", "NSW", ("Austral", "stated")), ("Kemps Estate | 155 Boyd Avenue, Austral 2179", "NSW", ("Austral", "composite")), ("Rooms m2", "NSW", (None, "not a place")), ("Austral", None, ("Austral", "unchecked")), ("Grove", None, (None, "no state")), (None, "NSW", (None, "absent")), ("Stage 2 Kings Park", "VIC", ("Kings Park", "composite"))])
-def test_locality(spark, suburb, state, want):
-    gaz = spark.createDataFrame(GAZ, "suburb string, state string")
-    df = spark.createDataFrame([(suburb, state)], "suburb string, state string")
-    assert tuple(places.with_locality(df, gaz).select("locality", "why").first()) == want
+LOCALITIES = [
+    ("AUSTRAL", "NSW", None, ("Austral", "stated")), ("Kemps Estate | 155 Boyd Avenue, Austral 2179", "NSW", None, ("Austral", "composite")), ("Rooms m2", "NSW", None, (None, "not a place")), ("Austral", None, None, ("Austral", "unchecked")), ("Grove", None, None, (None, "not a place")),
+    (None, "NSW", None, (None, "absent")), ("Stage 2 Kings Park", "VIC", None, ("Kings Park", "composite")), ("Offer", None, "x", (None, "no state")), (" ", None, None, (None, "absent")),
+    # the column has the street's name, the address has the place before its postcode; each alone changes nothing
+    ("Denman", "NSW", "LOT 2950 DENMAN RD, Austral 2179", ("Austral", "address")), ("Denman", "NSW", "LOT 2950 Denman, Austral 2179", ("Denman", "stated")), ("Denman", "NSW", "12 Denman Rd, Denman 2328", ("Denman", "stated")), ("Denman", "NSW", "1 Denman Road Austral 3024", ("Denman", "stated")),
+    ("2026", "VIC", "Lot 4 Kings Park 3021", ("Kings Park", "postcode")), (None, "VIC", "Lot 2427, Newhaven; Kings Park 3021", ("Kings Park", "postcode")), ("2026", "VIC", "Kings Park 2021", (None, "not a place")), ("Austral", None, "132 Austral Street", (None, "not a place")), ("Logan", "QLD", None, (None, "not a place")), ("a(b", "QLD", "a(b street", (None, "not a place")),
+]
+
+
+def test_locality(spark):
+    gaz = spark.createDataFrame(GAZ + [("Logan", "VIC")], "suburb string, state string")
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(LOCALITIES)] + [(None, "Austral", "NSW", None)], "id int, suburb string, state string, lot_address string")
+    got = {r.id: (r.locality, r.why) for r in places.with_locality(df, gaz, texts=("lot_address",)).collect()}
+    assert got == dict(enumerate(c[3] for c in LOCALITIES)) | {None: ("Austral", "stated")}
 
 
 VOTE = "postcode string, suburb_states array<string>, page_state string, listing_state string"
