@@ -34,3 +34,9 @@ def gated(df: DataFrame, brief: dict) -> DataFrame:
         .when(F.col("suburb").isNull(), "no suburb").when(elsewhere, "not a locality").when(F.size(missing(facts)) > 0, "incomplete")
     )
     return df.withColumn("gate_reason", reason)
+
+
+def capped(df: DataFrame, order: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
+    """(the first ``most`` rows by order, one row with kept and truncated): a list that is cut says by how much. The count is an aggregate, the cut a top-k."""
+    n = df.agg(F.count("*").alias("n"))
+    return df.orderBy(*order).limit(most), n.select(F.least("n", F.lit(most)).cast("long").alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).cast("long").alias("truncated"))

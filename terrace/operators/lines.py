@@ -61,10 +61,11 @@ def verify_price(rows: DataFrame, structure: DataFrame, key: str) -> DataFrame:
 
 
 def coalesce_fields(df: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """df with blank fields taken from other (first by ord for a key): enrichment that never overwrites."""
-    best = other.groupBy(key).agg(*[F.min_by(c, "ord").alias(f"_{c}") for c in fields])
-    blank = lambda c: F.nullif(c.cast("string"), F.lit(""))
-    return df.join(best, key, "left").select(*[F.coalesce(blank(F.col(c)), blank(F.col(f"_{c}"))).alias(c) if c in fields else F.col(c) for c in df.columns])
+    """df with blank fields (null or empty) taken from other: enrichment that never overwrites. Of a key's rows in other the first by ``ord`` that has the field
+    gives it; blanks there are nobody's answer."""
+    blank = lambda c: c.isNull() | (c.cast("string") == "")
+    best = other.groupBy(key).agg(*[F.min(F.when(~blank(F.col(c)), F.struct("ord", F.col(c).alias("v"))))["v"].alias(f"_{c}") for c in fields])
+    return df.join(best, key, "left").select(*[F.when(blank(F.col(c)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
 
 
 def subsumed(loser: str, keeper: str, fields: list[str]) -> Column:
