@@ -1,7 +1,7 @@
 """Peer benchmark: tiers of peer groups, the median of the others, and a guard against groups that are not alike.
 
-Plans: a tier's rows leave before the next, so each tier is one pre-aggregated count per group joined back (a hot group's rows can be split by
-Spark). No group is ever held as an array: rows are ranked inside their group by a sort that can spill, the few order statistics that a
+Plans: rows are counted once, on the finest key; the tiers are told on those counts (a tier's rows leave before the next) and joined back once (a hot
+group's rows can be split by Spark). No group is ever held as an array: rows are ranked inside their group by a sort that can spill, the few order statistics that a
 median without one's own price can need are picked by rank, and joined back."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import band
+from ..session import cut
 
 MIN_PEERS = 5
 MAX_DISPERSION = 2.5
@@ -21,14 +22,14 @@ BANDS, TOP = ((-10.0, "Below comparable stock"), (-2.5, "Slightly below comparab
 
 def assign_tiers(rows: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
     """rows with ``tier`` (1 to 3, null if in none): the tightest group of min_peers + 1 or more rows. A null key part keeps a row out of a tier."""
-    left, done = rows, []
-    for n, (_, keys) in enumerate(TIERS, 1):
+    finest = TIERS[0][1]
+    cells = rows.groupBy(*finest).agg(F.count("*").alias("_n")).withColumn("tier", F.lit(None).cast("int"))
+    for n, (_, keys) in enumerate(TIERS, 1):  # rows of a cell go the same way, so the tiers are told on cells alone
         named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-        size = left.where(named).groupBy(*keys).agg(F.count("*").alias("_n"))
-        left = left.join(size, list(keys), "left").select(*left.columns, "_n")
-        done.append(left.where(F.col("_n") > min_peers).withColumn("tier", F.lit(n)).drop("_n"))
-        left = left.where(F.coalesce(F.col("_n") <= min_peers, F.lit(True))).drop("_n")
-    return reduce(DataFrame.unionByName, [*done, left.withColumn("tier", F.lit(None).cast("int"))])
+        free = F.sum(F.when(F.col("tier").isNull() & named, F.col("_n"))).over(Window.partitionBy(*keys))
+        cells = cells.withColumn("tier", F.coalesce("tier", F.when(named & (free > min_peers), F.lit(n))))
+    c = cells.select(*[F.col(k).alias(f"_{k}") for k in finest], "tier")
+    return rows.join(c, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in finest])).select(*rows.columns, "tier")
 
 
 def group_key(tier: Column) -> Column:
@@ -57,7 +58,7 @@ def _statistics(ranked: DataFrame) -> DataFrame:
 
 def benchmark(rows: DataFrame) -> DataFrame:
     """rows with tier, n_peers, median (of the others), variance_pct and classification, for those in a group that is alike."""
-    ranked = _ranked(rows)
+    ranked = cut(_ranked(rows))  # sorted once, read for the statistics and for the rows
     out = ranked.join(_statistics(ranked).where(F.col("spread") <= MAX_DISPERSION), "grp")
     m = F.col("n") - 1
     half = F.floor(m / 2).cast("int")
