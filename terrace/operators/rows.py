@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rows as r
-from ..functions.links import is_price_fragment
+from ..functions.links import is_column_header, is_price_fragment
 from ..functions.listing import STREET, WALL
-from ..functions.text import clean, features
+from ..functions.text import clean, features, lot_number, specs
 from .places import gazetteer_side
 
 FIELDS = ("price", "land_price", "build_price", "price_confidence", "bedrooms", "bathrooms", "car_spaces", "land_size_sqm", "house_size_sqm", "lot_address", "title_status", "suburb", "state")
@@ -45,6 +45,24 @@ def with_fields(df: DataFrame, text: str, gaz: DataFrame | None = None, key: str
     return out.join(named, key, "left").withColumn("suburb", F.coalesce("suburb", "locality")).drop("locality")
 
 
+def _no_listing(text: Column, lot: Column, beds: Column, land: Column) -> Column:
+    """Whether a priced row with these facts is a fragment or a wall of prices; a lot, a street or rooms make it a listing."""
+    line = F.coalesce(text, F.lit(""))
+    told = lot.isNotNull() | line.rlike(STREET) | (F.coalesce(beds, F.lit(0)) > 0)
+    fragment = is_price_fragment(line) & ~(F.coalesce(land, F.lit(0)) > 0)
+    wall = (F.size(F.regexp_extract_all(line, F.lit(rf"({r.AMOUNT})"), 1)) >= WALL) & r.leading_lot(line).isNull()
+    return ~told & (fragment | wall)
+
+
+def judged_again(df: DataFrame, text: str) -> DataFrame:
+    """df with ``reason`` (it replaces a column of that name): why today's reader would not take a stored row for a listing; empty where it would, or where
+    there is no text to judge. The tests are those that ``to_listings`` makes."""
+    t = F.col(text)
+    refused = r.price_fields(t, r.stated_prices(t))["price"].isNull() | _no_listing(t, lot_number(t), F.coalesce(specs(t)["bedrooms"], r.rooms(t)["bedrooms"]), r.sizes(t)["land"])
+    reason = F.when(F.coalesce(t, F.lit("")) == "", "").when(is_column_header(t), "a column header").when(refused, "no longer a listing").otherwise("")
+    return df.withColumn("reason", reason)
+
+
 def to_listings(df: DataFrame, gaz: DataFrame, key: str, text: str, context: str, links: str | None = None) -> DataFrame:
     """A listing for every row that is one: it has a price, and is neither a fragment nor a wall of prices. Facts stated in the row beat those of the banner
     above it (``context``); the label beats the raw row as address. ``links``, if given, is an array of (anchor, url)."""
@@ -55,12 +73,7 @@ def to_listings(df: DataFrame, gaz: DataFrame, key: str, text: str, context: str
     out = out.withColumns({f"_f_{k}": v for k, v in more.items()})
     beaten = {k: F.coalesce(F.col(f"_f_{k}"), F.col(k)) if k in out.columns else F.col(f"_f_{k}") for k in more}
     out = out.withColumns(beaten).drop(*[f"_f_{k}" for k in more])
-    line = F.coalesce(t, F.lit(""))
-    on_street = line.rlike(STREET)
-    lot, beds, land = F.col("lot_number").isNotNull(), F.coalesce(F.col("bedrooms"), F.lit(0)) > 0, F.coalesce(F.col("land_size_sqm"), F.lit(0)) > 0
-    fragment = is_price_fragment(line) & ~lot & ~beds & ~land & ~on_street
-    wall = (F.size(F.regexp_extract_all(line, F.lit(rf"({r.AMOUNT})"), 1)) >= WALL) & ~lot & ~beds & r.leading_lot(line).isNull() & ~on_street
-    out = out.where(~fragment & ~wall).withColumn("estate_name", F.coalesce("estate_name", r.banner_estate(above)))
+    out = out.where(~_no_listing(t, F.col("lot_number"), F.col("bedrooms"), F.col("land_size_sqm"))).withColumn("estate_name", F.coalesce("estate_name", r.banner_estate(above)))
     out = out.withColumn("lot_address", F.coalesce(r.address_label(t, F.col("lot_number"), F.col("estate_name")), F.nullif(F.col("lot_address"), F.lit("")), F.left(clean(t), F.lit(110))))
     place = df.select(key, context, r.place_and_state(t).alias("_place")).where("_place.suburb IS NULL")  # from df, so that nothing else is read again
     banner = banner_localities(place, gaz, key, context, F.col("_place.state"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import number
-from ..operators import names, repairs
+from ..operators import names, repairs, research
 from .catalogue import query as _query
 from .listings import listings, table
 
@@ -90,18 +89,14 @@ def bounded_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs.crawl(links, spark.range(1).select(F.lit("n0").alias("url")), 2, 100)
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 850000 WHEN 1 THEN 900000 END::DOUBLE AS budget, CASE WHEN c_custkey % 4 = 0 THEN 3 END AS bedrooms_min, CASE c_custkey % 3 WHEN 0 THEN 'investor' WHEN 1 THEN 'owner_occupier' ELSE 'first_home' END AS buyer, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_suburbs FROM customer")
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 850000 WHEN 1 THEN 900000 ELSE 0 END::DOUBLE AS budget, CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 0 END::BIGINT AS bedrooms_min, CASE c_custkey % 3 WHEN 0 THEN 'Investor' WHEN 1 THEN 'Owner Occupier' ELSE 'First Home Buyer' END AS buyer, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_suburbs FROM customer")
 def brief_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs as untrusted JSON: numbers in any form, lists as lists or text, no invented minimum."""
     k = F.col("c_custkey")
     budget = F.when(k % 4 == 0, '"$850,000"').when(k % 4 == 1, "900000").when(k % 4 == 2, '"NaN"').otherwise('"1e400"')
-    text = F.concat(F.lit('{"budget": '), budget, F.lit(', "bedrooms_min": '), F.when(k % 4 == 0, '"3"').otherwise('"lots"'), F.lit(', "buyer_type": "'), F.when(k % 3 == 0, "An INVESTOR").when(k % 3 == 1, "Owner occupier").otherwise("first home buyer"), F.lit('", "suburbs": '), F.when(k % 2 == 0, '"Austral, Denman"').otherwise('["Austral"]'), F.lit("}"))
-    b = F.from_json(text, "budget string, bedrooms_min string, buyer_type string, suburbs string")
-    kind = F.lower(b["buyer_type"])
-    suburbs = F.filter(F.transform(F.split(F.regexp_replace(b["suburbs"], r'[\[\]"]', ""), ","), lambda s: F.trim(s)), lambda s: s != "")
-    return table(spark, sf_dir, "customer").select(
-        k.alias("id"), number(b["budget"]).alias("budget"), number(b["bedrooms_min"]).cast("int").alias("bedrooms_min"), F.when(kind.contains("invest"), "investor").when(kind.contains("owner"), "owner_occupier").otherwise("first_home").alias("buyer"), F.size(suburbs).alias("n_suburbs")
-    )
+    text = F.concat(F.lit('{"budget_max": '), budget, F.lit(', "bedrooms_min": '), F.when(k % 4 == 0, '"3"').otherwise('"lots"'), F.lit(', "buyer_type": "'), F.when(k % 3 == 0, "An INVESTOR").when(k % 3 == 1, "Owner occupier").otherwise("first home buyer"), F.lit('", "primary_suburbs": '), F.when(k % 2 == 0, '"Austral, Denman"').otherwise('["Austral"]'), F.lit("}"))
+    b = research.parse_briefs(table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("brief")), "brief")
+    return b.select("id", F.col("budget_max").alias("budget"), "bedrooms_min", F.col("buyer_type").alias("buyer"), F.size("primary_suburbs").alias("n_suburbs"))
 
 
 @query("SELECT id, '{\"name\":\"Lot ' || id || '\",\"price\":' || (id * 10) || '}' AS payload FROM LISTINGS")
