@@ -252,6 +252,57 @@ def test_license_spans_bear_an_edit(docs):
     assert (got[1].labels, got[1].base_labels, got[2].labels, got[3].labels) == ("mit", "", "", "cc-by-nc")
 
 
+def plain_spans(words):
+    """By definition: a template's best cover by the diagonals of one place and the next SHIFT, of groups of words compared one by one."""
+    best = {}
+    for text, label, base in [(*b, True) for b in license_scan.BASE] + [(*t, False) for t in license_scan.TEMPLATES]:
+        t, k = re.split(license_scan.SEPARATORS, text), license_scan.BASE_K if base else license_scan.K
+        groups = {i: t[i : i + k] for i in range(len(t) - k + 1) if base or set(t[i : i + k]) - license_scan.COMMON}
+        met = {}
+        for j in range(len(words) - k + 1):
+            for i, g in groups.items():
+                if words[j : j + k] == g:
+                    met.setdefault(j - i, set()).add(i)
+        reach = 0 if base else license_scan.SHIFT
+        share = max((len(set().union(*[met.get(d + n, set()) for n in range(reach + 1)])) / len(groups) for d in met), default=0)
+        alone = max((len(m) / len(groups) for m in met.values()), default=0)
+        cover = 1 if base else license_scan.COVER_LONG if len(groups) >= license_scan.LONG else license_scan.COVER
+        if share >= cover:
+            best.setdefault(label, []).append(alone if alone >= cover else share)
+    return best
+
+
+def test_license_labels_against_plain_code(docs):
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(r.randint(1, 3)):
+            t = r.choice(license_scan.TEMPLATES)[0].split()
+            for _ in range(r.choice((0, 1, 2, len(t) // 8, len(t) // 4))):  # words changed, left out or put in
+                at = r.randrange(len(t))
+                t[at : at + r.randint(0, 1)] = r.choice(([], ["zebra"], ["the"]))
+                t = t or ["zebra"]
+            w += ["and", *t, *r.choices(["the", "license", "mit", "of"], k=r.randint(0, 4))]
+        rows.append((i, " ".join(w)))
+    seen = set()
+    for x in license_scan.op6(docs(*rows)).collect():
+        want = plain_spans(rows[x.doc_id][1].split())
+        assert set(filter(None, x.labels.split(","))) == set(want), rows[x.doc_id]
+        assert bool(want) == (x.score > 0) and (not want or x.score >= min(license_scan.COVER_LONG, *[max(v) for v in want.values()]) - 1e-9)
+        seen |= set(want)
+    assert len(seen) > 10
+
+
+def test_wording_of_whole_licences(docs):
+    rows = (
+        (1, 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'), (2, "Boost Software License - Version 1.0"),
+        (3, "This is free and unencumbered software released into the public domain."), (4, "Redistribution and use in source and binary forms, with or without changes, are permitted provided that all of the following conditions are met:"),
+        (5, "Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."), (6, "The software is provided to all who want it, and it is free of charge to any person."),
+    )
+    assert {x.doc_id: x.labels for x in license_scan.op6(docs(*rows)).collect()} == {1: "as-is", 2: "boost", 3: "unlicense", 4: "bsd", 5: "bsd", 6: ""}
+
+
 def test_repeated_short_wording_keeps_its_label(docs):
     rows = ((1, "x " + "mozilla public license " * 4), (2, "Licensed under CC BY-NC " + "4.0 " * 12), (3, "mozilla public license"))
     assert {x.doc_id: x.labels for x in license_scan.op6(docs(*rows)).collect()} == {1: "mpl", 2: "cc-by-nc", 3: "mpl"}
