@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import attribution, audits, catalogue, evidence, inputs, lines, publish, repairs, reports, research, rows, sheets, shortlist, steps
+from .plans import attribution, audits, catalogue, evidence, files, inputs, lines, publish, repairs, reports, research, rows, sheets, shortlist, steps
 from .session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ def _ready(f: Query) -> Query:
     return run
 
 
-_MODULES = (catalogue, shortlist, evidence, lines, inputs, repairs, audits, rows, attribution, publish, sheets, steps, reports, research)
+_MODULES = (catalogue, shortlist, evidence, lines, inputs, repairs, audits, rows, attribution, publish, sheets, steps, reports, research, files)
 QUERIES: dict[str, Query] = {name: _ready(f) for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 

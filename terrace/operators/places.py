@@ -24,6 +24,18 @@ def gazetteer_side(gaz: DataFrame) -> DataFrame:
     return F.broadcast(g) if gaz.limit(MAX_GAZETTEER + 1).count() <= MAX_GAZETTEER else g
 
 
+def lookups(gaz: DataFrame) -> dict[str, DataFrame]:
+    """What a gazetteer (suburb, state, lat, lng) answers, a table each: ``points`` of (key, state), ``by_state`` (each state's localities with their points), ``states``
+    of a key, with ``only`` where there is one, and the one spelling (``names``) of a key. Keys are lower-cased; of repeated rows the smallest counts."""
+    g = gaz.select(F.lower(F.trim("suburb")).alias("key"), F.trim("suburb").alias("suburb"), F.upper(F.trim("state")).alias("state"), "lat", "lng").where("key <> '' AND state <> ''")
+    points = g.groupBy("key", "state").agg(F.min(F.struct("suburb", "lat", "lng")).alias("p")).select("key", "state", "p.suburb", "p.lat", "p.lng")
+    states = points.groupBy("key").agg(F.array_sort(F.collect_set("state")).alias("states"))  # there are few states
+    return {
+        "points": points.select("key", "state", "lat", "lng"), "by_state": points.select("state", "suburb", "lat", "lng"), "states": states.withColumn("only", F.when(F.size("states") == 1, F.get("states", F.lit(0)))),
+        "names": points.groupBy("key").agg(F.min("suburb").alias("name")),
+    }
+
+
 def composite_candidates(value: Column) -> Column:
     """(rank, text) for what may be the locality in a composite: the whole value, then its parts from the right without brackets and a trailing
     postcode, then each part's word tails, longest first."""

@@ -23,9 +23,18 @@ CELLS = "path string, sheet string, row int, cells array<string>, money array<bo
 REGISTRY = {"builder_name": 3, "states": 4, "contract_available": 5, "e_agent": 6, "portal_url": 7, "notes": 10}
 
 
+#: Registries are lists that people keep; a longer one is refused, since a search by part of a name compares every name with it.
+MAX_REGISTRY = 20_000
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, as text; a quote inside quotes is doubled, as spreadsheets write it."""
+    return spark.read.csv(path, header=True, mode="PERMISSIVE", escape='"')
+
+
 def comparables(spark: SparkSession, path: str) -> DataFrame:
     """CSV files with a header; rows without a suburb or a positive price go. Unreadable numbers are null."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    raw = _table(spark, path)
     have = {c.lower(): c for c in raw.columns}
     col = lambda c: blank(F.col(f"`{have[c]}`")) if c in have else F.lit(None).cast("string")
     out = raw.select(
@@ -35,7 +44,7 @@ def comparables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True)
+    raw = _table(spark, path)
     return raw.select(blank(F.col("suburb")).alias("suburb"), F.upper(blank(F.col("state"))).alias("state"), number(F.col("lat")).alias("lat"), number(F.col("lng")).alias("lng")).where("suburb IS NOT NULL AND state IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
 
 
@@ -58,7 +67,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _cells(line: Column, n: int = 12) -> Column:
     """The cells of one CSV line (quotes are honoured, a quoted line break isn't)."""
-    s = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(n))), {"mode": "PERMISSIVE"})
+    s = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(n))), {"mode": "PERMISSIVE", "escape": '"'})
     return F.array(*[F.coalesce(F.trim(s[f"c{i}"]), F.lit("")) for i in range(n)])
 
 
@@ -79,11 +88,15 @@ def builders_in_state(reg: DataFrame, state: str) -> DataFrame:
 
 
 def find_builder(reg: DataFrame, names: DataFrame) -> DataFrame:
-    """names (name) with the first registry row whose name holds it or is held by it; a blank name finds none. The registry is a short list."""
-    n = names.where(F.trim("name") != "")
+    """names (name) with the first registry row whose name holds it or is held by it; a blank name finds none. Each distinct name is searched once; the
+    registry's length is checked, and then it is broadcast."""
+    listed = reg.select("builder_name", "ord").where(F.trim("builder_name") != "")
+    if (n := listed.limit(MAX_REGISTRY + 1).count()) > MAX_REGISTRY:
+        raise ValueError(f"a registry of {n} rows or more; at most {MAX_REGISTRY}")
+    asked = names.select("name").where(F.trim("name") != "").distinct()
     a, b = F.lower("name"), F.lower("builder_name")
-    hit = n.join(F.broadcast(reg.select("builder_name", "ord")), b.contains(a) | a.contains(b))
-    best = hit.groupBy("name").agg(F.min_by("builder_name", "ord").alias("builder_name"))
+    hit = asked.join(F.broadcast(listed), b.contains(a) | a.contains(b))
+    best = hit.groupBy("name").agg(F.min_by("builder_name", F.struct("ord", "builder_name")).alias("builder_name"))
     return names.join(best, "name", "left")
 
 
@@ -125,7 +138,7 @@ def drop_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def drop_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV stocklists by header, with aliases. What a file doesn't state stays null."""
-    raw = spark.read.csv(path, header=True)
+    raw = _table(spark, path)
     have = {c.strip().lower(): c for c in raw.columns}
     pick = lambda *names: F.coalesce(*[blank(F.col(f"`{have[n]}`")) for n in names if n in have], F.lit(None).cast("string"))
     num = lambda n: number(pick(n))

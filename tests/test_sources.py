@@ -95,3 +95,26 @@ def test_stream_keeps_the_newest_whatever_the_order(spark, tmp_path):
     s = ingest.read_captures(spark, str(tmp_path / "in"), "k int, price double, seen int", 1)
     ingest.upsert_stream(s, str(tmp_path / "t"), "k", {"price": captures.STATED, "seen": captures.ALWAYS}, {"price": "before"}, ["seen"], str(tmp_path / "cp")).awaitTermination()
     assert rows(ingest.current(spark, str(tmp_path / "t"), "k", {"price": captures.STATED, "seen": captures.ALWAYS}, {"price": "before"}), "k", "price", "before") == [(1, 11.0, 10.0), (2, 7.0, None)]
+
+
+def test_lookups_of_a_gazetteer(spark):
+    from terrace.operators import places
+
+    rows = [("Wyee", "NSW", 1.0, 2.0), ("WYEE ", "nsw", 0.5, 2.0), ("Denman", "NSW", 1.0, 1.0), ("denman", "QLD", 3.0, 3.0), (" ", "NSW", 1.0, 1.0), (None, "VIC", 1.0, 1.0)]
+    said = places.lookups(spark.createDataFrame(rows, "suburb string, state string, lat double, lng double"))
+    assert {(r.key, r.state): (r.lat, r.lng) for r in said["points"].collect()} == {("wyee", "NSW"): (0.5, 2.0), ("denman", "NSW"): (1.0, 1.0), ("denman", "QLD"): (3.0, 3.0)}
+    assert {r.key: (r.states, r.only) for r in said["states"].collect()} == {"wyee": (["NSW"], "NSW"), "denman": (["NSW", "QLD"], None)}
+    assert {r.key: r.name for r in said["names"].collect()} == {"wyee": "WYEE", "denman": "Denman"} and said["by_state"].where("state = 'NSW'").count() == 2
+
+
+def test_a_long_registry_is_refused(spark, monkeypatch):
+    import pytest
+
+    from terrace.sources import files
+
+    monkeypatch.setattr(files, "MAX_REGISTRY", 2)
+    reg = spark.range(3).selectExpr("concat('Name ', id) AS builder_name", "id AS ord")
+    asked = spark.createDataFrame([("name",), ("Name 1 Homes",), ("",), (None,), ("name",)], "name string")
+    with pytest.raises(ValueError):
+        files.find_builder(reg, asked)
+    assert sorted(map(tuple, files.find_builder(reg.where("ord < 2"), asked).collect()), key=str) == sorted([("name", "Name 0"), ("Name 1 Homes", "Name 1"), ("", None), (None, None), ("name", "Name 0")], key=str)
