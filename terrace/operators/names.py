@@ -121,8 +121,8 @@ def unique_match(docs: DataFrame, candidates: DataFrame, rules: list[tuple[str,
     """doc_id, listing_id, rule: the first rule that fits decides; if it fits several listings, the document stays without one."""
     found = []
     for n, (name, keys) in enumerate(rules):
-        c = candidates.select(F.col("id").alias("listing_id"), *keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-        found.append(docs.join(c, keys).select("doc_id", "listing_id", F.lit(n).alias("n"), F.lit(name).alias("rule")))
-    all_ = reduce(DataFrame.unionByName, found)
-    first = all_.withColumn("m", F.min("n").over(Window.partitionBy("doc_id"))).where("n = m")
-    return first.groupBy("doc_id", "rule").agg(F.count_distinct("listing_id").alias("k"), F.min("listing_id").alias("listing_id")).where("k = 1").select("doc_id", "listing_id", "rule")
+        c = candidates.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        found.append(docs.join(c, keys).select("doc_id", F.lit(n).alias("n"), F.lit(name).alias("rule"), "low", "high"))
+    per = reduce(DataFrame.unionByName, found).groupBy("doc_id", "n", "rule").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    first = per.groupBy("doc_id").agg(F.min_by(F.struct("rule", "low", "high"), "n").alias("x"))
+    return first.where("x.low = x.high").select("doc_id", F.col("x.low").alias("listing_id"), "x.rule")

@@ -1,6 +1,10 @@
 """Queries whose work has to grow with their input: what crowded cells, long lists and large keys made slow, fail or wrong."""
 
-from terrace.operators import ladder
+from pyspark.sql import functions as F
+
+from terrace.functions import text
+from terrace.operators import audits, ladder, names
+from terrace.sources import files
 
 
 def plan(df):
@@ -20,3 +24,49 @@ def test_nearest_comparables_are_ranked_once_a_cell(spark):
     got = ladder.nearest(rows, comps, near, 5)
     assert {(r.id, r.comp_id, float(r.km), r["rank"]) for r in got.collect()} == want and len(want) > 500
     assert "windowspecdefinition(id#" not in plan(got)  # no window over a listing's own pairs
+
+
+def test_unique_match_meets_keys_and_not_listings(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "id % 10 AS lot", "id % 4 AS street")
+    listings = spark.range(40).selectExpr("100 + id AS id", "IF(id < 20, id % 8, NULL) AS lot", "id % 3 AS street").union(spark.sql("SELECT 103L, 3L, 0L"))
+    rules = [("both", ["lot", "street"]), ("lot", ["lot"])]
+    d, l = docs.collect(), listings.collect()
+    want = set()
+    for x in d:
+        for rule, keys in rules:
+            if hit := {y.id for y in l if all(x[k] == y[k] for k in keys)}:
+                want |= {(x.doc_id, min(hit), rule)} if len(hit) == 1 else set()
+                break
+    got = names.unique_match(docs, listings, rules)
+    assert {tuple(r) for r in got.collect()} == want and want
+    assert "Window" not in plan(got)
+
+
+def test_grid_rows_are_never_broadcast(spark):
+    bodies = spark.range(50).selectExpr("id", "concat('C:7=Size@2;C:5=Lot@1;D:x/5/A', id, '//0;D:y/7//20/0;') AS body")
+    got = files.grid_rows(bodies, r"C:(\d+)=(\w+)@(\d+);", r"D:(\w+)/(\d+)/(\w*)/([\d.]*)/(\d+);")
+    want = {(i, n, c) for i in range(50) for n, c in ((0, ("Lot", "Size")), (1, (f"A{i}", "")), (2, ("", "20")))}
+    assert {(r.id, r.row_no, tuple(r.cells)) for r in got.collect()} == want
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_registry_of_any_length_is_searched(spark):
+    reg = spark.range(20_005).selectExpr("concat('Builder #', id) AS builder_name", "-id AS ord")
+    asked = spark.createDataFrame([("20003",), ("the builder #77 of old",), ("er",), ("nobody",)], "name string")
+    assert {r.name: r.builder_name for r in files.find_builder(reg, asked).collect()} == {"20003": "Builder #20003", "the builder #77 of old": "Builder #77", "er": "Builder #20004", "nobody": None}
+
+
+def test_names_with_one_beginning_meet_whole(spark):
+    known = spark.range(30).selectExpr("concat('Supplier#', lpad(id, 4, '0')) AS name")
+    labels = known.selectExpr("concat('The ', upper(name), ' and ', IF(name > 'Supplier#0019', name, 'Supplier#0001')) AS label")
+    got = audits.contained_labels(labels, known)
+    assert {tuple(r) for r in got.collect()} == {(f"The SUPPLIER#{i:04d} and Supplier#{i if i > 19 else 1:04d}", f"Supplier#{i:04d}") for i in [1, *range(20, 30)]}
+    texts = known.selectExpr("name AS id", "concat('stock of ', lower(name), ', supplier 0003') AS text")
+    said = audits.mentions(texts, known)
+    assert {tuple(r) for r in said.collect()} == {(f"Supplier#{i:04d}", f"Supplier#{min(i, 3):04d}") for i in range(30)}
+    assert all("contains(" not in plan(df).lower() for df in (got, said))
+
+
+def test_numbers_of_lots_and_stages_have_any_length(spark):
+    row = spark.range(1).select(text.lot_number(F.lit("lot 1234567A here")).alias("lot"), F.lit("Stage 123456").rlike(names.NOT_A_COMPANY).alias("stage"), F.lit("Stage 12 Homes").rlike(names.NOT_A_COMPANY).alias("homes")).first()
+    assert tuple(row) == ("1234567A", True, False)
