@@ -243,7 +243,7 @@ def grid_rows(bodies: DataFrame, title_pattern: str, cell_pattern: str) -> DataF
     records on one place the last counts. A number of 1,000 or more with money in its format bits or its title gets its sign. A body is one row's text."""
     parts = lambda p, names: F.posexplode(F.arrays_zip(*[F.regexp_extract_all("body", F.lit(p), i).alias(n) for i, n in enumerate(names, 1)])).alias("at", "x")
     titles = bodies.select("id", parts(title_pattern, ("c", "t", "o"))).groupBy("id", "x.c").agg(F.max_by(F.struct(F.col("x.o").cast("int").alias("o"), F.col("x.t").alias("t")), "at").alias("y")).select("id", "c", "y.*")
-    found = bodies.select("id", parts(cell_pattern, ("r", "c", "s", "v", "f"))).select("id", "at", "x.*").join(titles, ["id", "c"], "left")
+    found = bodies.select("id", parts(cell_pattern, ("r", "c", "s", "v", "f"))).select("id", "at", "x.*").join(titles.hint("merge"), ["id", "c"], "left")
     value = F.col("v").try_cast("double")
     money = F.coalesce(F.shiftright(F.col("f").try_cast("long"), 12).bitwiseAND(F.lit(0x3FFF)).between(4644, 4647), F.lit(False)) | F.coalesce(F.col("t").rlike(MONEY_TITLE), F.lit(False))
     bare = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
@@ -252,8 +252,10 @@ def grid_rows(bodies: DataFrame, title_pattern: str, cell_pattern: str) -> DataF
     filled = F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("text") != "", F.struct("c", "text")))))  # a row's cells, one a column
     row = cell.groupBy("id", "r").agg(F.min("at").alias("at"), filled.alias("m"))
     heads = titles.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "c", "t"))).alias("h"))  # a grid's columns
-    lines = row.join(heads, "id").select("id", F.row_number().over(Window.partitionBy("id").orderBy("at")).alias("row_no"), F.transform("h", lambda h: F.coalesce(F.try_element_at(F.col("m"), h.c), F.lit(""))).alias("cells"))
-    return lines.unionByName(row.select("id").distinct().join(heads, "id").select("id", F.lit(0).alias("row_no"), F.col("h.t").alias("cells")))
+    # merged, never broadcast: columns repeat, so they look small when written, and there are as many of them as grids
+    sheet = row.join(heads.hint("merge"), "id").withColumn("row_no", F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    line = F.struct("row_no", F.transform("h", lambda h: F.coalesce(F.try_element_at(F.col("m"), h.c), F.lit(""))).alias("cells"))
+    return sheet.select("id", F.explode(F.when(F.col("row_no") == 1, F.array(F.struct(F.lit(0).alias("row_no"), F.col("h.t").alias("cells")), line)).otherwise(F.array(line))).alias("x")).select("id", "x.*")
 
 
 def mail_rows(messages: DataFrame, domains: DataFrame, wording: str = r"(?i)stock\s*list|price\s*list|house\s*(?:and|&)\s*land|availability|new\s*release") -> DataFrame:
