@@ -50,6 +50,17 @@ def canonical(names: DataFrame, known: DataFrame, aliases: DataFrame | None = No
     return names.join(best.select(F.col("name").alias("_n"), F.col("b.target").alias("_t")), F.col("name") == F.col("_n"), "left").withColumn("canonical", F.coalesce("_t", F.trim("name"))).drop("_n", "_t")
 
 
+def lengths_of(df: DataFrame, length: Column) -> DataFrame:
+    """One row: the distinct lengths."""
+    return df.agg(F.collect_set(length).alias("lengths"))
+
+
+def pieces(df: DataFrame, text: str, lengths: DataFrame) -> DataFrame:
+    """df with ``piece``: every distinct stretch of the text that has one of the lengths (one row: lengths)."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, n))
+    return df.join(F.broadcast(lengths)).withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length(text)), at))))).drop("lengths")
+
+
 def numbers_of(text: Column) -> Column:
     """Every distinct number of a text."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"), 1)

@@ -17,14 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, number
+from ..operators.names import lengths_of, pieces
 
 CELLS = "path string, sheet string, row int, cells array<string>, money array<boolean>, links array<string>"
 #: Registry columns that are never carried: logins and contacts.
 REGISTRY = {"builder_name": 3, "states": 4, "contract_available": 5, "e_agent": 6, "portal_url": 7, "notes": 10}
 
 
-#: Registries are lists that people keep; a longer one is refused, since a search by part of a name compares every name with it.
-MAX_REGISTRY = 20_000
+#: Registries are searched whole, however long they are. A caller who takes a longer list for a mistake sets the most rows that one may have.
+MAX_REGISTRY: int | None = None
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
@@ -88,15 +89,17 @@ def builders_in_state(reg: DataFrame, state: str) -> DataFrame:
 
 
 def find_builder(reg: DataFrame, names: DataFrame) -> DataFrame:
-    """names (name) with the first registry row whose name holds it or is held by it; a blank name finds none. Each distinct name is searched once; the
-    registry's length is checked, and then it is broadcast."""
-    listed = reg.select("builder_name", "ord").where(F.trim("builder_name") != "")
-    if (n := listed.limit(MAX_REGISTRY + 1).count()) > MAX_REGISTRY:
+    """names (name) with the first registry row whose name holds it or is held by it; a blank name finds none. What one name holds of the other is one of its stretches,
+    so both ways are equi-joins: stretches are cut only in the lengths that the other side has, and the first row of each is told before the join."""
+    listed = reg.where(F.trim("builder_name") != "").select(F.lower("builder_name").alias("b"), F.struct("ord", "builder_name").alias("x"))
+    if MAX_REGISTRY is not None and (n := listed.limit(MAX_REGISTRY + 1).count()) > MAX_REGISTRY:
         raise ValueError(f"a registry of {n} rows or more; at most {MAX_REGISTRY}")
-    asked = names.select("name").where(F.trim("name") != "").distinct()
-    a, b = F.lower("name"), F.lower("builder_name")
-    hit = asked.join(F.broadcast(listed), b.contains(a) | a.contains(b))
-    best = hit.groupBy("name").agg(F.min_by("builder_name", F.struct("ord", "builder_name")).alias("builder_name"))
+    listed = listed.groupBy("b").agg(F.min("x").alias("x"))
+    asked = names.select("name", F.lower("name").alias("a")).where(F.trim("name") != "").distinct()
+    holds = pieces(listed, "b", lengths_of(asked, F.length("a"))).groupBy("piece").agg(F.min("x").alias("x"))
+    held = pieces(asked, "a", lengths_of(listed, F.length("b"))).select("name", F.col("piece").alias("b"))
+    hit = asked.join(holds, F.col("a") == F.col("piece")).select("name", "x").unionByName(held.join(listed, "b").select("name", "x"))
+    best = hit.groupBy("name").agg(F.min("x").alias("x")).select("name", "x.builder_name")
     return names.join(best, "name", "left")
 
 
