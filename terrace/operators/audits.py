@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.listing import judge
 from ..functions.text import MIN_PRICE, blank, postcode, rejoin_money, specs
-from .names import singular, squash
+from .names import lengths_of, pieces, singular, squash
 
 #: A price is corrected only if the row's own text clearly beats it.
 UNDERSTATED_BY = 1.25
@@ -104,22 +104,26 @@ def retired_copies(df: DataFrame, is_copy: Column, key: list[str]) -> DataFrame:
 # --- names in labels and texts ---
 def contained_labels(labels: DataFrame, known: DataFrame) -> DataFrame:
     """label, name: the one known company whose squashed name stands in the squashed label. Both have eight letters or more; two companies in it give none.
-    Labels meet names by the name's first eight letters, so not every label is held against every name."""
+    A name in a label is one of its stretches: labels are cut in the lengths that names have and meet names whole, so a common beginning brings nobody together."""
     l = labels.select("label").distinct().withColumn("_l", squash(F.col("label"))).where(F.length("_l") >= LEAST_LABEL)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_l") - LEAST_LABEL + 1), lambda i: F.substr(F.col("_l"), i, F.lit(LEAST_LABEL))))
-    k = known.select("name", squash(F.col("name")).alias("_k")).where(F.length("_k") >= LEAST_LABEL).groupBy("_k").agg(F.min("name").alias("name"))
-    hit = l.select("label", "_l", F.explode(starts).alias("_s")).join(k.withColumn("_s", F.substring("_k", 1, LEAST_LABEL)), "_s").where(F.contains("_l", "_k"))
-    return hit.groupBy("label").agg(F.count_distinct("_k").alias("n"), F.min("name").alias("name")).where("n = 1").select("label", "name")
+    k = known.select("name", squash(F.col("name")).alias("piece")).where(F.length("piece") >= LEAST_LABEL).groupBy("piece").agg(F.min("name").alias("name"))
+    hit = pieces(l, "_l", lengths_of(k, F.length("piece"))).select("label", "piece").join(k, "piece")
+    return hit.groupBy("label").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1").select("label", "name")
 
 
 def mentions(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """id, name: the longest known name (four letters or more, then the first in order) that a text says as whole words. Met by the name's first word."""
+    """id, name: the longest known name (four letters or more, then the first in order) that a text says as whole words. Texts are cut in runs of as many words as
+    names have and meet names whole; of one spelling's names the first is told before. Every distinct text is read once."""
     words = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " "), " +", " "))
-    k = known.select("name", words(F.col("name")).alias("_k")).where(F.length("_k") >= LEAST_MENTION).distinct()
-    t = rows.select("id", words(F.col("text")).alias("_t")).withColumn("_w", F.explode(F.array_distinct(F.split("_t", " "))))
-    said = F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_k", F.lit(" ")))
-    hit = t.join(k.withColumn("_w", F.split_part("_k", F.lit(" "), F.lit(1))), "_w").where(said)
-    return hit.groupBy("id").agg(F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("x")).select("id", "x.name")
+    first = F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("x")
+    k = known.select("name", words(F.col("name")).alias("_k")).where(F.length("_k") >= LEAST_MENTION).groupBy("_k").agg(first)
+    t = rows.select("id", words(F.col("text")).alias("_t"))
+    w = F.split("_t", " ")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    said = t.select("_t").distinct().join(F.broadcast(lengths_of(k, F.size(F.split("_k", " ")))))
+    said = said.select("_t", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size(w)), runs)))).alias("_k"))
+    best = said.join(k, "_k").groupBy("_t").agg(F.min("x").alias("x"))
+    return t.join(best, "_t").groupBy("id").agg(F.min("x").alias("x")).select("id", "x.name")
 
 
 def display_names(names: DataFrame, registry: DataFrame) -> DataFrame:
