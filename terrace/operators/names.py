@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 MIN_SHARED = 5
 CODE_USES = 20
 #: Confirmed spellings by squashed form (fixed values are the caller's; none are built in).
-NOT_A_COMPANY = r"(?i)^\s*(?:level|lvl|floor|storey|story|stage|tower|building|block|unit|apt|apartment|precinct|release)\s*[-#]?\s*[0-9]{0,4}[a-z]?\s*$"
+NOT_A_COMPANY = r"(?i)^\s*(?:level|lvl|floor|storey|story|stage|tower|building|block|unit|apt|apartment|precinct|release)\s*[-#]?\s*[0-9]*[a-z]?\s*$"
 
 
 def squash(c: Column) -> Column:
@@ -129,7 +129,8 @@ def holdout(rows: DataFrame, key: str, builder: str) -> DataFrame:
 
 
 def unique_match(docs: DataFrame, candidates: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
-    """doc_id, listing_id, rule: the first rule that fits decides; if it fits several listings, the document stays without one."""
+    """doc_id, listing_id, rule: the first rule that fits decides; if it fits several listings, the document stays without one. Of the listings of a key only the
+    first and the last id matter, so no document meets them all."""
     found = []
     for n, (name, keys) in enumerate(rules):
         c = candidates.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.min("id").alias("low"), F.max("id").alias("high"))
