@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MONTHS, first_match
+from .text import MONTHS, first_match, let
 from .values import STATE_NAMES, STATES, lookup
 
 HEADER_WORDS = (
@@ -59,9 +59,17 @@ def address_tail(c: Column) -> dict[str, Column]:
         code = F.get(p, F.size(p) - 1).rlike(r"^\d{4}$")
         post = F.when(code, F.get(p, F.size(p) - 1))
         rest = F.when(code, F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
-        tail = F.upper(F.get(rest, F.size(rest) - 1))
+        return let(rest, lambda r: let(F.upper(F.get(r, F.size(r) - 1)), lambda tail: before_code(post, r, tail)))
+
+    def before_code(post: Column, rest: Column, tail: Column) -> Column:
         st = F.coalesce(F.when(tail.isin(*STATES), tail), lookup(F.lower(tail), STATE_NAMES))
+        return let(st, lambda state: before_state(post, rest, state))
+
+    def before_state(post: Column, rest: Column, st: Column) -> Column:
         rest2 = F.when(st.isNotNull(), F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+        return let(rest2, lambda r: place_of(post, st, r))
+
+    def place_of(post: Column, st: Column, rest2: Column) -> Column:
         suburb = F.get(rest2, F.size(rest2) - 1)
         head = F.slice(rest2, F.lit(1), F.greatest(F.size(rest2) - 1, F.lit(0)))
         lab = F.get(head, F.lit(0)).rlike(r"(?i)^\s*(lot|unit)\b")
@@ -69,7 +77,7 @@ def address_tail(c: Column) -> dict[str, Column]:
         street = F.array_join(F.when(lab, F.slice(head, F.lit(2), F.size(head))).otherwise(head), ", ")
         return F.struct(post.alias("postcode"), st.alias("state"), suburb.alias("suburb"), label.alias("label"), F.nullif(street, F.lit("")).alias("street"))
 
-    s = F.get(F.transform(F.array(parts), cut), F.lit(0))
+    s = let(parts, cut)
     return {k: s[k] for k in ("postcode", "state", "suburb", "label", "street")}
 
 

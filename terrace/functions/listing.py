@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .links import is_column_header, is_price_fragment
-from .text import amounts, clean, lot_number, price_first, specs
+from .text import amounts, clean, let, lot_number, price_first, specs
 from .values import STATE_NAMES, STATES
 
 # --- fixed values ---
@@ -25,14 +25,20 @@ WALL = 5
 
 def wall_of_prices(c: Column) -> Column:
     """Five amounts or more and nothing that identifies a property: a summary or a table on its side."""
-    t = clean(c)
+    return let(clean(c), _is_wall)
+
+
+def _is_wall(t: Column) -> Column:
     own = lot_number(t).isNotNull() | specs(t)["bedrooms"].isNotNull() | t.rlike(STREET) | t.rlike(r"^\d{1,5}[A-Za-z]?\s+[A-Za-z]{3,}")
     return (F.size(F.regexp_extract_all(t, F.lit(r"(\$\s?[\d,.]+)"), 1)) >= WALL) & ~own
 
 
 def judge(c: Column) -> Column:
     """Why a stored line would not be read as a listing today; empty if it would, or if there is nothing to judge."""
-    t = clean(c)
+    return let(clean(c), lambda t: _judged(c, t))
+
+
+def _judged(c: Column, t: Column) -> Column:
     priced = price_first(t).isNotNull() | (F.size(amounts(t)) > 0)
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")

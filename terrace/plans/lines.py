@@ -54,8 +54,7 @@ def ordered_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 3 END::INT AS bedrooms, CASE p_size % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2.5 WHEN 3 THEN 2 END::DOUBLE AS bathrooms, CASE p_size % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INT AS car_spaces FROM part")
 def bbc_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _say("4 beds / 2 baths / 2 cars, 312 m2, $612,000", "12/08/2026 3x2x1 Lot 14", "5 | 2.5 | 2 Q2 2027", "3B2B from 5.5%", "4 beds or 3 bed", "Total 149 149 55 10 20")
-    s = text.specs(line)
-    return _part(spark, sf_dir).select(_k().alias("id"), s["bedrooms"].alias("bedrooms"), s["bathrooms"].alias("bathrooms"), s["car_spaces"].alias("car_spaces"))
+    return _part(spark, sf_dir).select(_k().alias("id"), text.specs(line).alias("s")).select("id", "s.*")
 
 
 @query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN '3064' WHEN 1 THEN '4207' WHEN 4 THEN '2765' END AS postcode FROM part")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from terrace.functions import text
+from terrace.functions import links, listing, rows, text, values
 from terrace.operators import audits, ladder, names
 from terrace.sources import files
 
@@ -70,3 +70,13 @@ def test_names_with_one_beginning_meet_whole(spark):
 def test_numbers_of_lots_and_stages_have_any_length(spark):
     row = spark.range(1).select(text.lot_number(F.lit("lot 1234567A here")).alias("lot"), F.lit("Stage 123456").rlike(names.NOT_A_COMPANY).alias("stage"), F.lit("Stage 12 Homes").rlike(names.NOT_A_COMPANY).alias("homes")).first()
     assert tuple(row) == ("1234567A", True, False)
+
+
+def test_no_fact_of_a_line_is_written_out_twice_over(spark):
+    """Each step of a reading is computed once: written out at every use, plans grew by a factor a step, and the time per line with them."""
+    line = spark.range(1).selectExpr("concat('Lot ', id) AS line")
+    t = F.col("line")
+    facts = {"variant": values.variant_key(t), "rooms": text.specs(t), "gift": text.incentive(t), "storey": text.storey(t), "tail": links.address_tail(t)["street"], "judged": listing.judge(t), "price": rows.price_fields(t, rows.stated_prices(t))}
+    plans = {k: plan(line.select(c.alias("x"))).lower() for k, c in facts.items()}
+    steps = {k: p.count("regexp_") + p.count("rlike") for k, p in plans.items()}
+    assert {k for k, n in steps.items() if n > 80} == set(), steps
