@@ -80,3 +80,8 @@ def test_no_fact_of_a_line_is_written_out_twice_over(spark):
     plans = {k: plan(line.select(c.alias("x"))).lower() for k, c in facts.items()}
     steps = {k: p.count("regexp_") + p.count("rlike") for k, p in plans.items()}
     assert {k for k, n in steps.items() if n > 80} == set(), steps
+
+
+def test_a_long_lot_names_its_address(spark):
+    line = F.lit("Lot 1234567 4 bed 2 bath 350 m2 $300,000 $250,000 $1,784,567")
+    assert spark.range(1).select(rows.address_label(line, text.lot_number(line), F.lit("Aberdeen"))).first()[0] == "Lot 1234567, Aberdeen"
