@@ -3,7 +3,8 @@ has been measured.
 
 All keys of all rows are one long table (id, kind, key). What the named rows say is summed up per key, with map-side combine, to the number of
 companies and the two that bound them in order; that suffices to take a row, or a whole company, out again and see whether one answer is left. So
-neither the measures nor the names need a row to meet another; only the overlap of numbers is a join of rows, by rare numbers first (``names.fingerprint_matches``).
+neither the measures nor the names need a row to meet another; only the overlap of numbers is a join, by rare numbers first (``names.fingerprint_matches``), and
+of each price's distinct sets of numbers, not of the rows that have them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import VOLATILE
+from ..session import cut
 from . import names
 
 #: Kinds of keys with one key per row, kinds with a key per word (they count where the word points at one company), and the overlap of numbers.
@@ -81,7 +83,10 @@ def row_keys(rows: DataFrame, places: DataFrame | None = None) -> DataFrame:
 def what_keys_say(keys: DataFrame, builders: DataFrame) -> DataFrame:
     """kind, key, companies, low, high: per key the number of companies that use it, and of these the first and the last in order, each with its count.
     keys: of the named rows; builders: id, builder."""
-    per = keys.join(builders, "id").groupBy("kind", "key", "builder").agg(F.count("*").alias("n"))
+    return _summed_up(keys.join(builders, "id").groupBy("kind", "key", "builder").agg(F.count("*").alias("n")))
+
+
+def _summed_up(per: DataFrame) -> DataFrame:
     return per.groupBy("kind", "key").agg(F.count("*").alias("companies"), F.min(F.struct("builder", "n")).alias("low"), F.max(F.struct("builder", "n")).alias("high"), F.sum("n").alias("n"))
 
 
@@ -103,12 +108,21 @@ def _without(own: Column, own_n: Column) -> tuple[Column, Column, Column]:
 
 
 def _by_numbers(rows: DataFrame, builders: DataFrame, asked: DataFrame) -> DataFrame:
-    """id, own, builder: companies of the named rows that share a row's price and enough other numbers. asked: id, own (null if pooled)."""
+    """id, own, builder: companies of the named rows that share a row's price and enough other numbers. asked: id, own (null if pooled). Rows of one price and the
+    same numbers are one class: classes meet, not rows, and a row is offered what its class is offered, itself left out."""
     price = F.col("price").cast("double")
     numbers = F.filter(names.numbers_of(F.coalesce("source_text", F.lit(""))), lambda x: x != F.round(price, 2))
-    pairs = names.fingerprint_matches(rows.where("price <> 0").select("id", price.alias("price"), numbers.alias("numbers")))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.*")
-    return both.join(builders.select(F.col("id").alias("other"), "builder"), "other").join(asked, "id").select("id", "own", "builder").distinct()
+    alike = ["p", "numbers"]
+    sets = cut(rows.where("price <> 0").select("id", F.round(price).alias("p"), numbers.alias("numbers")).where(F.size("numbers") >= names.MIN_SHARED))  # read three times
+    classes = sets.groupBy(*alike).agg(F.min("id").alias("c"))
+    members = cut(sets.join(classes, alike).select("id", "c"))
+    pairs = names.fingerprint_matches(classes.select(F.col("c").alias("id"), F.col("p").alias("price"), "numbers"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    both = both.unionByName(classes.select("c", F.col("c").alias("other")))
+    sold = members.join(builders, "id").groupBy(F.col("c").alias("other"), "builder").agg(F.count("*").alias("n"))
+    offered = both.join(sold, "other").groupBy("c", "builder").agg(F.sum("n").alias("n"))
+    found = members.join(asked, "id").join(offered, "c")
+    return found.where(F.col("n") > F.when(F.col("builder") == F.col("own"), 1).otherwise(0)).select("id", "own", "builder")
 
 
 def measure(rows: DataFrame, builders: DataFrame, places: DataFrame | None = None) -> DataFrame:
@@ -116,11 +130,11 @@ def measure(rows: DataFrame, builders: DataFrame, places: DataFrame | None = Non
     is among them), and how many rows are given a company although all rows of their own are taken out. builders: id, builder of the named rows;
     labels that stand for one company are to be made one before (``repairs.label_classes``)."""
     named = rows.join(builders.select("id"), "id", "left_semi")
-    keys = row_keys(named, places)
-    said = what_keys_say(keys, builders)
     own = builders.withColumnRenamed("builder", "own")
-    mine = keys.join(own, "id").groupBy("kind", "key", "own").agg(F.count("*").alias("own_n"))
-    keyed = keys.join(own, "id").join(said, ["kind", "key"]).join(mine, ["kind", "key", "own"])
+    keys = cut(row_keys(named, places).join(own, "id"))  # read five times
+    mine = keys.groupBy("kind", "key", "own").agg(F.count("*").alias("own_n"))
+    said = _summed_up(mine.toDF("kind", "key", "builder", "n"))
+    keyed = keys.join(said, ["kind", "key"]).join(mine, ["kind", "key", "own"])
     recovered = _answers(keyed, *_without(F.col("own"), F.col("own_n") - 1))
     invented = _answers(keyed, *_without(F.col("own"), F.lit(0))).where("answers = 1")
     near = _by_numbers(named, builders, own)

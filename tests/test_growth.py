@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrace.functions import links, listing, rows, text, values
-from terrace.operators import audits, ladder, names
+from terrace.operators import audits, ladder, names, pooled
 from terrace.sources import files
 
 
@@ -85,3 +85,19 @@ def test_no_fact_of_a_line_is_written_out_twice_over(spark):
 def test_a_long_lot_names_its_address(spark):
     line = F.lit("Lot 1234567 4 bed 2 bath 350 m2 $300,000 $250,000 $1,784,567")
     assert spark.range(1).select(rows.address_label(line, text.lot_number(line), F.lit("Aberdeen"))).first()[0] == "Lot 1234567, Aberdeen"
+
+
+def test_numbers_meet_by_sets_and_not_by_rows(spark, monkeypatch):
+    """Rows of the same numbers are one side of a pair, however many they are; each still hears of the others of its own set."""
+    said = lambda *n: " ".join(map(str, n))
+    texts = [said(1, 2, 3, 4, 5)] * 40 + [said(1, 2, 3, 4, 5, 6)] * 30 + [said(1, 2, 3, 9)] * 5 + [said(1, 2, 3, 4, 7, 8)] * 2 + [said(2, 3, 4, 5, 6, 11, 12)]
+    rows = [(i, 100.0, t, None if i % 4 == 0 else "abc"[i % 3] if i != 41 else "z") for i, t in enumerate(texts)]
+    met, matches = [], names.fingerprint_matches
+    monkeypatch.setattr(names, "fingerprint_matches", lambda r, *a, **k: met.append(r.count()) or matches(r, *a, **k))
+    df = spark.createDataFrame(rows, "id int, price double, source_text string, builder string")
+    named = df.where("builder IS NOT NULL").select("id", "builder")
+    got = {tuple(r) for r in pooled._by_numbers(df, named, df.select("id", df.builder.alias("own"))).collect()}
+    sets = [set(t.split()) for t in texts]
+    want = {(i, rows[i][3], b) for i in range(len(rows)) for j, (*_, b) in enumerate(rows) if b and i != j and len(sets[i] & sets[j]) >= 5}
+    assert got == want and (40, None, "z") in got and (41, "z", "z") not in got
+    assert met == [4]
