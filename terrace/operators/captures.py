@@ -28,27 +28,33 @@ def same_listing(df: DataFrame, facts: list[str], order: list[Column], row: str)
     return first_by(df.withColumn("first_row", F.min(row).over(w)), facts, order)
 
 
-def losers(df: DataFrame, key: list[str], fresh: list[str]) -> DataFrame:
-    """id, winner for every row that a fresher one of its key replaces. Rows with a null in ``key`` are to be left out before."""
+def losers(df: DataFrame, key: list[str], fresh: list[str], nulls: bool = True) -> DataFrame:
+    """id, winner for every row that a fresher one of its key replaces. Rows with a null in ``key`` are to be left out before, or are alike in it. Without nulls
+    rows that are dealt out by their key already stay where they are."""
     top = df.groupBy(*key).agg(F.max(F.struct(*fresh, "id")).alias("_w"), F.count("*").alias("_n")).where("_n > 1")
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) if nulls else F.col(f"a.{k}") == F.col(f"b.{k}") for k in key])
     return df.alias("a").join(top.alias("b"), same).select("a.id", F.col("b._w.id").alias("winner")).where("id <> winner")
 
 
 def supersede(df: DataFrame, lot: list[str], lot_named: list[str], text: list[str], fresh: list[str]) -> DataFrame:
     """id, survivor: rows replaced by a fresher capture of the same lot or of the same source line. The lot decides first; a row that
-    lost keeps that winner; winners that lose themselves are followed to the end (pointer doubling, which ends because freshness only grows)."""
+    lost keeps that winner; winners that lose themselves are followed to the end (pointer doubling, which ends because freshness only grows).
+    A row that has come to its end is not followed again."""
     named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in lot_named])
-    one = losers(df.where(named), lot, fresh)
     said = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in text])
-    two = losers(df.where(said), text, fresh).join(one.select("id"), "id", "left_anti")
-    at = one.unionByName(two)
-    moved = True
-    while moved:  # freshness only grows along the links, so they have no cycle and doubling ends
-        nxt = at.alias("x").join(at.select(F.col("id").alias("_i"), F.col("winner").alias("_w")), F.col("x.winner") == F.col("_i"), "left")
+    one, two = losers(df.where(named), lot, fresh), losers(df.where(said), text, fresh, nulls=False)
+    both = one.select("id", F.col("winner").alias("lot"), F.lit(None).cast(two.schema["winner"].dataType).alias("text")).unionByName(two.select("id", F.lit(None).cast(one.schema["winner"].dataType).alias("lot"), F.col("winner").alias("text")))
+    at = both.groupBy("id").agg(F.coalesce(F.max("lot"), F.max("text")).alias("winner"))  # one row of each at most
+    ended, open_ = None, at
+    while True:  # freshness only grows along the links, so they have no cycle and doubling ends
+        nxt = open_.alias("x").join(at.select(F.col("id").alias("_i"), F.col("winner").alias("_w")), F.col("x.winner") == F.col("_i"), "left")
         step = cut(nxt.select("x.id", F.coalesce("_w", "x.winner").alias("winner"), F.col("_w").isNotNull().alias("moved")))
-        at, moved = step.select("id", "winner"), not step.where("moved").isEmpty()
-    return at.select("id", F.col("winner").alias("survivor"))
+        stay = step.where("NOT moved").drop("moved")
+        ended = stay if ended is None else ended.unionByName(stay)
+        open_ = step.where("moved").drop("moved")
+        if open_.isEmpty():
+            return ended.select("id", F.col("winner").alias("survivor"))
+        at = ended.unionByName(open_)
 
 
 #: How a column takes a new reading.

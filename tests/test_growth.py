@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrace.functions import links, listing, rows, text, values
-from terrace.operators import audits, ladder, names, pooled
+from terrace.operators import audits, captures, ladder, names, pooled
 from terrace.sources import files
 
 
@@ -101,3 +101,18 @@ def test_numbers_meet_by_sets_and_not_by_rows(spark, monkeypatch):
     want = {(i, rows[i][3], b) for i in range(len(rows)) for j, (*_, b) in enumerate(rows) if b and i != j and len(sets[i] & sets[j]) >= 5}
     assert got == want and (40, None, "z") in got and (41, "z", "z") not in got
     assert met == [4]
+
+
+def test_supersede_follows_only_rows_that_have_not_ended(spark, monkeypatch):
+    """A long chain beside many rows that end at once: the rows written per round fall, and rows dealt out by their line are not dealt out again."""
+    chain = [(i, f"L{i // 2}", f"t{(i + 1) // 2}", i) for i in range(32)]  # lots and lines alternate: each row leads to the next
+    ends = [(100 + i, f"M{i // 2}", f"u{i}", i) for i in range(200)]
+    df = spark.createDataFrame(chain + ends, "id int, lot string, txt string, fresh int")
+    written, cut = [], captures.cut
+    monkeypatch.setattr(captures, "cut", lambda d: written.append((out := cut(d)).count()) or out)
+    got = {(r.id, r.survivor) for r in captures.supersede(df, ["lot"], ["lot"], ["txt"], ["fresh"]).collect()}
+    assert got == {(i, 31) for i in range(31)} | {(100 + i, 101 + i) for i in range(0, 200, 2)}
+    assert written[0] == 131 and max(written[1:]) < 31 and sum(written) < 300
+    dealt = df.repartition("txt")
+    two = captures.losers(dealt.where("txt IS NOT NULL"), ["txt"], ["fresh"], nulls=False)
+    assert two._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # each side of the join by its own reading of the same rows
