@@ -4,8 +4,9 @@ A file of a known company: its lot, if the company has one such row; a lot of se
 street, if one row's address has it. Then its design words in order: the first that stands in the company's rows, but not in so many that it can't be a
 design, takes all of them. A file of nobody needs two signs at once: a lot and a word that stand together on one row of all.
 
-Rows meet by key: company and lot, company and a piece of the address around the house number, company and word. Words are looked up in an index of those that
-some file asks for, with the number of rows that have each.
+Files meet what is summed up per key, not its rows: the first and last listing of a company's lot, of an address (met by a piece of it around the house number,
+once per street), of a lot and word. Words are looked up in an index of those that some file asks for, with the number of rows that have each. Only a design takes
+all its listings: that many rows are the result, and they are dealt out by pieces of a key's files (``FILES``), so that few keys are many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word may stand in so many of a company's rows, or in this share of them, and still be a design.
 MOST_ROWS, MOST_SHARE = 3, 4
+#: Files, about, that meet the listings of a company's word in one piece.
+FILES = 1000
 # --- fixed values: lots, streets, words of file names that say nothing ---
 LOT = r"(?i)\bl(?:ot)?[\s\-_]*(\d{1,5})\b"
 STREET_TYPES = "st|street|rd|road|ave|avenue|dr|drive|ct|court|pl|place|cres|crescent|way|cct|circuit|pde|parade|blvd|boulevard|tce|terrace|cl|close|ln|lane|gr|grove|rise|loop|esp|esplanade|walk|mews|green"
@@ -57,6 +60,15 @@ def _corners(address: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.length(address), F.lit(2))), lambda i: F.substr(address, i, F.lit(1)) == " "), lambda i: F.substr(address, i - 1, F.lit(4))))
 
 
+def _dealt(files: DataFrame, index: DataFrame) -> DataFrame:
+    """files joined to index by (b, word), in pieces of FILES files."""
+    pieces = files.groupBy("b", "word").agg(F.ceil(F.count("*") / FILES).cast("int").alias("pieces"))
+    tasks, keys = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["b", "word", "piece"]  # a number, or the few bytes that meet would be one task
+    left = files.join(pieces, ["b", "word"]).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")).drop("pieces").repartition(tasks, *keys)
+    right = index.join(pieces, ["b", "word"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces").repartition(tasks, *keys)
+    return left.hint("merge").join(right, keys)
+
+
 def match(docs: DataFrame, listings: DataFrame) -> DataFrame:
     """doc_id, listing_id, rule (lot, street, design, lot and word). docs: doc_id, builder, filename; listings: id, builder, lot_number, lot_address, suburb,
     estate_name, source_text. A design may take several listings, every other rule takes one; a file that fits nothing has no row."""
@@ -65,15 +77,18 @@ def match(docs: DataFrame, listings: DataFrame) -> DataFrame:
     d = docs.select("doc_id", company(F.col("builder")).alias("b"), file_lot(text("filename")).alias("lot"), file_street(text("filename")).alias("street"), file_words(text("filename")).alias("words"))
     lot = F.ltrim(F.trim(text("lot_number")), F.lit("0"))
     l = listings.select("id", company(F.col("builder")).alias("b"), lot.alias("lot"), _flat(text("lot_address")).alias("address"), "source_text", F.concat_ws(" ", "lot_address", "suburb", "estate_name", "source_text").alias("said"))
+    ends = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))  # noqa: E731  one listing if they are the same
     known, unknown = d.where("b IS NOT NULL"), d.where("b IS NULL")
 
-    by_lot = known.where("lot IS NOT NULL").join(l.select("b", "lot", "id"), ["b", "lot"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("id").alias("listing_id"))
+    lots = l.groupBy("b", "lot").agg(F.count("*").alias("n"), F.min("id").alias("listing_id"))
+    by_lot = known.where("lot IS NOT NULL").join(lots, ["b", "lot"]).groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("listing_id").alias("listing_id"))
     rest = known.join(by_lot.select("doc_id"), "doc_id", "left_anti")
 
     corner = F.concat(F.substr(F.col("street"), F.instr("street", " ") - 1, F.lit(4)))
     streets = rest.where("street IS NOT NULL").select("doc_id", "b", "street", corner.alias("corner"))
-    homes = l.where("b IS NOT NULL").select("b", "id", "address", F.explode(_corners(F.col("address"))).alias("corner"))
-    by_street = streets.join(homes, ["b", "corner"]).where(F.contains("address", "street")).groupBy("doc_id").agg(F.count_distinct("id").alias("n"), F.min("id").alias("listing_id")).where("n = 1")
+    homes = l.where("b IS NOT NULL").groupBy("b", "address").agg(*ends("id", "id")).withColumn("corner", F.explode(_corners(F.col("address"))))
+    met = streets.select("b", "street", "corner").distinct().join(homes, ["b", "corner"]).where(F.contains("address", "street")).groupBy("b", "street").agg(*ends("low", "high"))
+    by_street = streets.join(met, ["b", "street"]).groupBy("doc_id").agg(*ends("low", "high")).where("low = high").withColumnRenamed("low", "listing_id")
     rest = rest.join(by_street.select("doc_id"), "doc_id", "left_anti")
 
     asked = rest.select("doc_id", "b", F.posexplode("words").alias("at", "word"))
@@ -81,11 +96,12 @@ def match(docs: DataFrame, listings: DataFrame) -> DataFrame:
     size = l.where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("rows"))
     rare = index.groupBy("b", "word").agg(F.count("*").alias("n")).join(size, "b").where(F.col("n") <= F.greatest(F.lit(MOST_ROWS), F.floor(F.col("rows") / MOST_SHARE)))
     first = asked.join(rare.select("b", "word"), ["b", "word"]).groupBy("doc_id", "b").agg(F.min_by("word", "at").alias("word"))
-    by_design = first.join(index, ["b", "word"]).select("doc_id", F.col("id").alias("listing_id"))
+    by_design = _dealt(first, index).select("doc_id", F.col("id").alias("listing_id"))
 
     loose = unknown.where("lot IS NOT NULL").select("doc_id", "lot", F.explode("words").alias("word")).distinct()
     spoken = l.where("trim(lot) <> ''").join(loose.select("lot").distinct(), "lot", "left_semi").select("lot", "id", F.explode(_words_in(F.col("said"))).alias("word"))
-    alone = loose.join(spoken, ["lot", "word"]).groupBy("doc_id").agg(F.count_distinct("id").alias("n"), F.min("id").alias("listing_id")).where("n = 1")
+    said = spoken.groupBy("lot", "word").agg(*ends("id", "id"))
+    alone = loose.join(said, ["lot", "word"]).groupBy("doc_id").agg(*ends("low", "high")).where("low = high").withColumnRenamed("low", "listing_id")
 
     out = lambda df, rule: df.select("doc_id", "listing_id", F.lit(rule).alias("rule"))
     return out(by_lot.where("n = 1"), "lot").unionByName(out(by_street, "street")).unionByName(out(by_design, "design")).unionByName(out(alone, "lot and word"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrace.functions import links, listing, rows, text, values
-from terrace.operators import audits, captures, ladder, names, pooled
+from terrace.operators import audits, brochures, captures, ladder, names, pooled
 from terrace.sources import files
 
 
@@ -116,3 +116,20 @@ def test_supersede_follows_only_rows_that_have_not_ended(spark, monkeypatch):
     dealt = df.repartition("txt")
     two = captures.losers(dealt.where("txt IS NOT NULL"), ["txt"], ["fresh"], nulls=False)
     assert two._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # each side of the join by its own reading of the same rows
+
+
+def test_brochures_meet_sums_of_listings_and_designs_are_dealt_out(spark, monkeypatch):
+    """One lot, one street and one design that very many files and listings share: files meet sums of keys, and a design's pieces are several tasks."""
+    monkeypatch.setattr(brochures, "FILES", 10)
+    listing = [(i, "B0", "7", "12 High Street", None, None, "Lot of OTHER" if i % 5 else "Lot of VESPER") for i in range(100)] + [(100, "B0", "8", "14 Low Road", None, None, "KESTREL"), (101, None, "9", "1 A St", None, None, "TUVALA")]
+    named = ["Lot 7.pdf", "12 High Road flyer.pdf", "draft vesper x.pdf", "Lot 8.pdf", "14 Low Road.pdf", "kestrel.pdf"]
+    docs = [(i, "b0", named[i % 6]) for i in range(240)] + [(900, None, "Lot 9 tuvala.pdf"), (901, None, "Lot 7 vesper.pdf")]
+    rows = spark.createDataFrame(listing, "id int, builder string, lot_number string, lot_address string, suburb string, estate_name string, source_text string")
+    out = brochures.match(spark.createDataFrame(docs, "doc_id int, builder string, filename string"), rows)
+    want = {(i, j, "design") for i in range(2, 240, 6) for j in range(0, 100, 5)} | {(i, 100, r) for i in range(240) for k, r in ((3, "lot"), (4, "street"), (5, "design")) if i % 6 == k} | {(900, 101, "lot and word")}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    key = [("b0", "vesper")]
+    dealt = brochures._dealt(spark.createDataFrame([(i, *key[0]) for i in range(80)], "doc_id int, b string, word string"), spark.createDataFrame([(i, *key[0]) for i in range(20)], "id int, b string, word string"))
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()  # one key, several tasks
+    assert sum(r[1] for r in sizes) == 1600 and len(sizes) > 1
