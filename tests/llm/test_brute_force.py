@@ -359,6 +359,41 @@ def test_bits_are_a_distribution_over_words():
     assert math.isclose(kraft, 1.0)
 
 
+def test_spelling_is_learned_from_every_occurrence(spark):
+    """A slot's counts are the bits of all occurrences of all training words."""
+    words = [(b"ab", 1000), (b"abc", 9), (b"ba", 1), (b"cab", 0)]
+    code = context_mixing.Code(np.bincount([97, 98, 99, 32, 10], minlength=256))
+    got = context_mixing.slot_counts(spark.createDataFrame(words, "w binary, c long").repartition(3), code)
+    want = np.zeros_like(got)
+    for w, c in words:
+        b = context_mixing.Bits([w], code)
+        for j in range(context_mixing.ORDERS):
+            for slot, bit in zip(b.slots[j], b.bit):
+                want[j, slot, int(bit)] += c
+    assert (got == want).all() and got.max() >= 1000
+
+
+def test_many_texts_are_read_as_one_by_one():
+    r = random.Random(5)
+    texts = [[r.randrange(k) for _ in range(n)] for k, n in [(1, 1), (1, 30), (2, 50), (3, 2), (9, 200), (40, 1), (5, 90)]]
+
+    def plain(words):
+        hits, misses, given, after, run = [0] * 8, [0] * 8, [], {}, 0
+        for i in range(1, len(words)):
+            if (bet := after.get(words[i - 1])) is not None:
+                (hits if bet == words[i] else misses)[run] += 1
+                given += [i] if bet == words[i] else []
+                run = min(7, run + 1) if bet == words[i] else 0
+            after[words[i - 1]] = words[i]
+        return hits, misses, given
+
+    sizes = np.array([len(t) for t in texts])
+    hits, misses, given = context_mixing.read_all(np.concatenate(texts), sizes)
+    want = [plain(t) for t in texts]
+    assert hits.tolist() == [w[0] for w in want] and misses.tolist() == [w[1] for w in want]
+    assert given.tolist() == [x + at for at, w in zip(np.cumsum(sizes) - sizes, want) for x in w[2]]
+
+
 def test_match_predictor_pays_off_on_repetition():
     hits, misses, given = context_mixing.read([b"a", b"b"] * 500)
     assert len(given) == sum(hits) and context_mixing.match_log10(hits, misses) > -10
