@@ -133,3 +133,17 @@ def test_brochures_meet_sums_of_listings_and_designs_are_dealt_out(spark, monkey
     dealt = brochures._dealt(spark.createDataFrame([(i, *key[0]) for i in range(80)], "doc_id int, b string, word string"), spark.createDataFrame([(i, *key[0]) for i in range(20)], "id int, b string, word string"))
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()  # one key, several tasks
     assert sum(r[1] for r in sizes) == 1600 and len(sizes) > 1
+
+
+def test_members_of_tiers_are_dealt_to_many_tasks(spark, sf_dir, monkeypatch):
+    """A few listings and comparables make many members, however few bytes they are: they are dealt by their number, and results stay as they are."""
+    from terrace.plans import shortlist
+
+    rows, comps, near = shortlist._comparables(spark, sf_dir)
+    whole = sorted(map(tuple, ladder.competitive(rows, comps, near).collect()))
+    monkeypatch.setattr(ladder, "TASK_MEMBERS", 100)
+    choices = ladder._grouped(ladder._chosen(ladder.tier_counts(rows, comps, near)).where("n_comps >= 4"))
+    tasks, pieces = ladder.shares(choices)
+    dealt = ladder.members(choices, comps, near, tasks, pieces)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 4 and dealt.count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+    assert sorted(map(tuple, ladder.competitive(rows, comps, near).collect())) == whole
