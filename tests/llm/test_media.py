@@ -100,3 +100,23 @@ def test_crowded_cells_lose_no_copies(spark, monkeypatch, crowd):
     monkeypatch.setattr(media, "BLOCK", 16, raising=False)
     got = {x.id: x.copy_group for x in media.copies(None, None).collect()}
     assert got == {i: i % 1000 for i in got} and len(got) == 40 + crowd
+
+
+def test_copies_that_share_no_cell_are_linked(spark, monkeypatch):
+    """Every part of every descriptor has three bits changed, so that no table cell is shared; all links are counted, also those inside a group."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(5):
+        words = r.integers(0, 2**63, (12, 2)).astype(np.uint64)
+        keys = np.array([(20 + 9 * k, 30 + 5 * (k % 3), 1, 0) for k in range(12)], np.int32)
+        for copy, bits in enumerate((0, 7, 56, 448)):
+            mine = (words.view(np.uint32) ^ np.uint32(bits)).view(np.uint64)
+            rows.append((10 * i + copy, bytes([i, copy]), 12, keys.tobytes(), mine.tobytes()))
+    shown = [(np.frombuffer(k, np.int32).reshape(-1, 4).astype(np.int64), np.frombuffer(w, np.uint64).reshape(-1, 2)) for *_, k, w in rows]
+    links = [(a[0], b[0]) for x, a in enumerate(rows) for y, b in enumerate(rows) if a[0] < b[0] and media.same_picture(shown[x], shown[y])]
+    table = spark.createDataFrame(rows, media.FEATURES)
+    monkeypatch.setattr(media, "features", lambda *_: table)
+    monkeypatch.setattr(media, "BLOCK", 6)
+    got = {x.id: x for x in media.copies(None, None).collect()}
+    assert {i: x.copy_group for i, x in got.items()} == {i: i // 10 * 10 for i in got} and len(links) >= 15
+    assert {i: x.n_links for i, x in got.items()} == {i: sum(i in link for link in links) for i in got}
