@@ -1,5 +1,7 @@
 """Queries whose work has to grow with their input: what crowded cells, long lists and large keys made slow, fail or wrong."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from terrace.functions import links, listing, rows, text, values
@@ -147,3 +149,21 @@ def test_members_of_tiers_are_dealt_to_many_tasks(spark, sf_dir, monkeypatch):
     dealt = ladder.members(choices, comps, near, tasks, pieces)._jdf.queryExecution().executedPlan().toString()
     assert tasks > 4 and dealt.count(f", {tasks}), REPARTITION_BY_NUM") >= 2
     assert sorted(map(tuple, ladder.competitive(rows, comps, near).collect())) == whole
+
+
+def test_fingerprints_are_dealt_by_the_pairs_that_may_meet(spark, monkeypatch):
+    """One price, numbers that very many rows have and more numbers than have bits: many tasks however few bytes, no task with a whole number, and all pairs once."""
+    monkeypatch.setattr(names, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(names, "TASK_PAIRS", 1024)
+    plans, deal = [], names._dealt
+    monkeypatch.setattr(names, "_dealt", lambda *a: plans.append(deal(*a)) or plans[-1])
+    r = random.Random(3)
+    data = [(i, 100.0, [float(x) for x in {r.randrange(3), *(r.randrange(3, 400) for _ in range(8)), *((500, 501) if i % 40 == 0 else ())}]) for i in range(240)]
+    for least in (1, 2):
+        got = sorted(map(tuple, names.fingerprint_matches(spark.createDataFrame(data, "id int, price double, numbers array<double>"), least=least).collect()))
+        sets = [set(n) for *_, n in data]
+        assert got == [(a, b, n) for a in range(240) for b in range(a + 1, 240) if (n := len(sets[a] & sets[b])) >= least]
+    dealt = plans[0]
+    assert dealt.rdd.getNumPartitions() > 4
+    cells = dealt.groupBy("g", "x", "y").agg(F.count_if("as_a").alias("a"), F.count_if("as_b").alias("b"))
+    assert cells.agg(F.max("a"), F.max("b")).first()[0] < 40 and cells.groupBy("g").count().agg(F.max("count")).first()[0] >= 16
