@@ -120,3 +120,19 @@ def test_copies_that_share_no_cell_are_linked(spark, monkeypatch):
     got = {x.id: x for x in media.copies(None, None).collect()}
     assert {i: x.copy_group for i, x in got.items()} == {i: i // 10 * 10 for i in got} and len(links) >= 15
     assert {i: x.n_links for i, x in got.items()} == {i: sum(i in link for link in links) for i in got}
+
+
+def test_few_pictures_are_several_tasks_and_all_pairs(spark, monkeypatch):
+    """Pictures of one block, and of few bytes: blocks are dealt to tasks by their number, and links are those of every pair held by itself."""
+    r = np.random.default_rng(8)
+    vectors = r.random((150, 64)).astype(np.float32)
+    vectors[140:] = vectors[:10]
+    vectors[140:, 63] += 0.02
+    written, keep = [], media.materialize
+    monkeypatch.setattr(media, "materialize", lambda d: written.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = {x.vec_id: x.n_links for x in media.op3(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    seen = media.describe(np.stack([media.picture_of(v) for v in vectors]))
+    links = [(a, b) for a in range(150) for b in range(a + 1, 150) if media.same_picture(seen[a], seen[b])]
+    assert len(links) >= 10 and got == {i: sum(i in x for x in links) for i in range(150)}
+    assert any("FlatMapGroupsInPandas" in p and "x#" in p and ", 3), REPARTITION_BY_NUM" in p for p in written)
