@@ -136,3 +136,33 @@ def test_few_pictures_are_several_tasks_and_all_pairs(spark, monkeypatch):
     links = [(a, b) for a in range(150) for b in range(a + 1, 150) if media.same_picture(seen[a], seen[b])]
     assert len(links) >= 10 and got == {i: sum(i in x for x in links) for i in range(150)}
     assert any("FlatMapGroupsInPandas" in p and "x#" in p and ", 3), REPARTITION_BY_NUM" in p for p in written)
+
+
+def test_rounds_copy_few_pictures_and_lose_no_pair(spark, monkeypatch):
+    """Block pairs are dealt in rounds, none of which copies more than half of the pictures (or ROUND); sums of rounds are folded, and links are those of all pairs."""
+    r = np.random.default_rng(8)
+    vectors = r.random((60, 64)).astype(np.float32)
+    vectors[40:] = vectors[np.arange(20) % 7]
+    vectors[40:, 63] += 0.02 + 0.001 * np.arange(20)
+    for name, value in (("BLOCK", 10), ("ROUND", 12), ("FOLD", 5), ("LEAST_SHARE", 20)):
+        monkeypatch.setattr(media, name, value, raising=False)
+    written, keep, key = [], media.materialize, "spark.sql.parquet.compression.codec"
+    monkeypatch.setattr(media, "materialize", lambda d: written.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d))
+    before = spark.conf.get(key)
+    rows = [(i, v.tolist()) for i, v in enumerate([*vectors, *vectors[:9]])]  # and pictures of equal pixels
+    got = {x.vec_id: (x.n_links, x.copy_group) for x in media.op3(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    seen = media.describe(np.stack([media.picture_of(v) for v in vectors]))
+    links = [(a, b) for a in range(60) for b in range(a + 1, 60) if media.same_picture(seen[a], seen[b])]
+    group = list(range(60))
+    for _ in range(60):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {i: (sum(i in x for x in links), group[i]) for i in range(60)}
+    assert got == want | {60 + i: want[i] for i in range(9)} and max(n for n, _ in want.values()) >= 2
+    rounds = [p for p in written if "FlatMapGroupsInPandas" in p]
+    assert len(rounds) >= 10 and spark.conf.get(key) == before
+    for blocks in range(1, 9):
+        for most in (1, 3, 7, 100):
+            dealt = list(media._rounds(blocks, most))
+            assert sorted(x for pairs in dealt for x in pairs) == [(x, y) for x in range(blocks) for y in range(x, blocks)]
+            assert max(len({*pair}) for pair in dealt[0]) <= 2 and all(sum(len({*x}) for x in pairs) <= max(most, 2) for pairs in dealt)
