@@ -114,7 +114,7 @@ def _by_numbers(rows: DataFrame, builders: DataFrame, asked: DataFrame) -> DataF
     numbers = F.filter(names.numbers_of(F.coalesce("source_text", F.lit(""))), lambda x: x != F.round(price, 2))
     alike = ["p", "numbers"]
     sets = cut(rows.where("price <> 0").select("id", F.round(price).alias("p"), numbers.alias("numbers")).where(F.size("numbers") >= names.MIN_SHARED))  # read three times
-    classes = sets.groupBy(*alike).agg(F.min("id").alias("c"))
+    classes = cut(sets.groupBy(*alike).agg(F.min("id").alias("c")))  # read five times
     members = cut(sets.join(classes, alike).select("id", "c"))
     pairs = names.fingerprint_matches(classes.select(F.col("c").alias("id"), F.col("p").alias("price"), "numbers"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))).alias("x")).select("x.*")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import links, listing, rows, text, values
@@ -167,3 +168,26 @@ def test_fingerprints_are_dealt_by_the_pairs_that_may_meet(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() > 4
     cells = dealt.groupBy("g", "x", "y").agg(F.count_if("as_a").alias("a"), F.count_if("as_b").alias("b"))
     assert cells.agg(F.max("a"), F.max("b")).first()[0] < 40 and cells.groupBy("g").count().agg(F.max("count")).first()[0] >= 16
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_rows_of_a_crowded_price_travel_once(spark, monkeypatch, block):
+    """A price whose rows mostly share numbers is dealt out by its rows, once for both sides of a pair; one of rare numbers still by its numbers. All pairs once either way."""
+    for name, value in (("FEW_ROWS", 8), ("BLOCK_PRICE", block)):
+        monkeypatch.setattr(names, name, value, raising=False)
+    dealt, cells = [], getattr(names, "_cells", None)
+    monkeypatch.setattr(names, "_cells", lambda *a: dealt.append(cells(*a)) or dealt[-1], raising=False)
+    r = random.Random(5)
+    crowded = [(i, 100.0, [float(x) for x in {r.randrange(4), *(r.randrange(70, 90) for _ in range(4)), *((91, 92) if i % 30 == 0 else ())}]) for i in range(120)]
+    rare = [(200 + i, 300.0, [float(x) for x in {r.randrange(2000) for _ in range(9)}]) for i in range(150)]
+    few = [(400 + i, 500.0, [1.0, 2.0, 3.0 + i % 2, None]) for i in range(5)] + [(410, 600.0, [1.0, 2.0]), (411, None, [1.0, 2.0]), (412, 500.0, None)]
+    sets = {i: (p, {x for x in v or [] if x is not None}) for i, p, v in [*crowded, *rare, *few] if p is not None}
+    for least in (1, 2):
+        out = names.fingerprint_matches(spark.createDataFrame(crowded + rare + few, "id int, price double, numbers array<double>"), least=least)
+        want = [(a, b, n) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and (n := len(sets[a][1] & sets[b][1])) >= least]
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    whole = dealt[0].groupBy("id").agg(F.count("*").alias("copies"))
+    ids = {x.id: x.copies for x in whole.collect()}
+    assert set(range(120)) <= set(ids) and not any(200 <= i < 400 for i in ids)
+    assert max(ids.values()) == (1 if block == 1000 else 15)  # of eight blocks a row is dealt to 15 cells
